@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mixing, quality_rules, simhash, token_counts, toxicity
+from ledgerloom.llm import decontaminate, line_dedup, mixing, pii, quality_rules, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), removed_col="n_removed_lines")
+    return out.select("doc_id", "text", "n_removed_lines")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_decontaminate, op5_simhash, op6_quality_rules, op8_mixing, op9_toxicity)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(_table(spark, sf_dir, "documents"), key="ledgerloom-demo-key")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_decontaminate, op5_simhash, op6_quality_rules, op7_line_dedup, op8_mixing, op9_toxicity, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import stored
@@ -193,18 +193,34 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _roots(ids: DataFrame) -> DataFrame:
+    """``fp`` rows with other columns, one per fingerprint, with the ``root`` of their component."""
+    roots = components(links(ids.select("fp")))
+    return stored(ids.join(roots, ids.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
+
+
 def grouped(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``component_id``, its group's smallest id."""
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), size).alias("fp")))
-    ids = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(ids.select("fp")))
-    groups = ids.join(roots, ids.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    groups = stored(groups)
+    groups = _roots(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))))
     least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_per_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of its smallest id."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), row.alias("row"))
+    rows = stored(docs.select(first.alias("first"), fingerprints(F.col(text_col), size).alias("fp")))
+    groups = _roots(stored(rows.groupBy("fp").agg(F.min("first").alias("first"))))
+    stay = groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__stay"))
+    out = docs.withColumn("__row", row).join(stay, F.col("__row") == F.col("__stay"), "left_semi")
+    # Rows that are equal in id and text share ``__row``; the join has put them together.
+    out = out.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).filter("__n = 1")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def simhash_report(docs: DataFrame, **cols: str) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of each document."""
     return grouped(docs, 4, **cols).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
