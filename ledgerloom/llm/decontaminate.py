@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"\w+")
@@ -257,15 +257,19 @@ def leaked(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", threshold: float = 0.6, overlap: float = 0.8, max_index_chars: int = 50_000_000) -> DataFrame:
     """The rows of ``docs`` that contain no test item."""
-    for part in _parts(benchmark, item_col, "text", max_index_chars):
+
+    def leaks(part: DataFrame) -> Column:
         key, sent = _indexed(part)
 
-        def flags(batches: Iterator[pd.Series], key: str = key, sent: object = sent) -> Iterator[pd.Series]:
+        def flags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             index = _index(key, sent.value)
             for texts in batches:
                 has = np.zeros(len(texts), bool)
                 has[[i for i, *_ in index.leaks(texts.tolist(), threshold, overlap)]] = True
                 yield pd.Series(has)
 
-        docs = docs.filter(~F.pandas_udf(flags, "boolean")(F.col(text_col)))
+        return F.pandas_udf(flags, "boolean")(F.col(text_col))
+
+    for part in _parts(benchmark, item_col, "text", max_index_chars):
+        docs = docs.filter(~leaks(part))
     return docs

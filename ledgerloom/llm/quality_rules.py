@@ -89,10 +89,11 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", **limits: float) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    The text is measured once for the hosts and once for the rows, which costs
-    less than moving every text by id.
+    The rows are written with their verdict, so texts are measured once and no
+    filter can be pushed into the measures, which would compute them many times.
     """
     rows = measured(docs, text_col, prefix="__q_").withColumn("__q_failed", base_failed("__q_"))
+    rows = stored(rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__q_failed"))
     hosts = host_verdicts(rows.select(F.col(host_col).alias("host"), F.col("__q_failed").alias("failed")), **limits)
     bad = hosts.filter(~F.col("host_ok")).select(F.col("host").alias("__q_host"))
-    return rows.filter(~F.col("__q_failed")).join(bad, F.col(host_col).eqNullSafe(F.col("__q_host")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.filter(~F.col("__q_failed")).drop("__q_failed").join(bad, F.col(host_col).eqNullSafe(F.col("__q_host")), "left_anti")
