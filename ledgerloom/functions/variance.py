@@ -61,7 +61,7 @@ def quoted_price(quoted: Column, ordered: Column, tolerance: Column) -> Column:
 
 def tax_basis(total: Column, subtotal: Column, tax: Column, lines: Column) -> Column:
     """Whether a total has tax in it: gross, net or unknown."""
-    line_sum = F.round(F.aggregate(F.coalesce(lines, F.array().cast("array<struct<amount:double>>")), F.lit(0.0), lambda s, x: s + F.coalesce(x["amount"], F.lit(0.0))), 2) if lines is not None else F.lit(0.0)
+    line_sum = F.coalesce(F.round(F.aggregate(lines, F.lit(0.0), lambda s, x: s + F.coalesce(x["amount"], F.lit(0.0))), 2), F.lit(0.0))
     return (
         F.when(total.isNull(), F.lit("unknown"))
         .when(F.coalesce(tax, F.lit(0.0)) != 0, F.lit("gross"))
