@@ -94,7 +94,8 @@ def rounded(items: DataFrame, n_docs: int, seed: int = 11) -> DataFrame:
     while True:
         block = F.pmod(F.xxhash64("k", F.lit(seed + level)), F.lit(blocks))
         grouped = items.groupBy("source", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "size", "p"))).alias("items"))
-        got = stored(grouped.select("source", _round_block(F.col("items"), seed + level).alias("r")))
+        # A task takes 64 blocks; small levels need neither more tasks nor more files.
+        got = stored(grouped.select("source", _round_block(F.col("items"), seed + level).alias("r")).coalesce(max(1, blocks // 64)))
         done.append(got.select(F.explode("r.settled").alias("s")).select("s.k", "s.up"))
         items = got.filter("r.rest is not null").select("source", "r.rest.k", "r.rest.size", "r.rest.p")
         if blocks == 1:
