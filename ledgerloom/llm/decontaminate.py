@@ -246,9 +246,10 @@ def leaked(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
             index = _index(key, sent.value)
             for batch in batches:
                 found = index.leaks(batch["text"].tolist(), threshold, overlap)
-                out = pd.DataFrame(found, columns=["i", "item_id", "score", "question_overlap", "answer_overlap"])
-                out.insert(0, "doc_id", batch["doc_id"].to_numpy()[out.pop("i").to_numpy(np.int64)] if found else [])
-                yield out
+                if found:
+                    out = pd.DataFrame(found, columns=["i", "item_id", "score", "question_overlap", "answer_overlap"])
+                    out["doc_id"] = batch["doc_id"].to_numpy()[out["i"]]
+                    yield out.drop(columns="i")
 
         return docs.mapInPandas(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 

@@ -52,7 +52,7 @@ class Lengths(dict):
 def pretokens(text: str) -> list[str]:
     """Pre-tokens of a text that isn't empty, each without its first space."""
     text = text.replace("▁", " ")
-    if "  " in text or " \n" in text:
+    if text[0] == " " or "  " in text or " \n" in text:
         return [p if p[0] == "\n" else p[1:] for p in PRETOKEN.findall(" " + text)]
     return text.replace("\n", " \n").split(" ")
 
@@ -83,8 +83,8 @@ def token_counts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_
                     seen.update(p for p in pretokens(text) if len(p) <= CACHE_CHARS)
             if len(seen) > 4 * frequent:
                 seen = Counter(dict(seen.most_common(2 * frequent)))
-        kept = seen.most_common(frequent)
-        yield pd.DataFrame({"pretoken": [p for p, _ in kept], "n": [c for _, c in kept]})
+        if kept := seen.most_common(frequent):
+            yield pd.DataFrame({"pretoken": [p for p, _ in kept], "n": [c for _, c in kept]})
 
     top = sample.mapInPandas(tally, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.desc("n"), "pretoken").limit(frequent).select("pretoken")
