@@ -29,9 +29,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # 25 nations in 5 regions.
     places = read("nation").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    supplier = read("supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", "r_name")
+    supplier = read("supplier").select("s_suppkey", "s_name", "s_nationkey")
     orders = read("orders").select("o_orderkey", "o_totalprice")
+    # Suppliers join before their places, so the planner sees the size of their table and not a product of sizes.
     rows = read("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
     nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
     cents = lambda c: F.round(F.col(c) * 100).cast("long")
     rows = rows.withColumns({"ext": cents("l_extendedprice"), "disc": cents("l_discount"), "tax_pct": cents("l_tax"), "qty": F.col("l_quantity").cast("long"), "nth": nth})
