@@ -17,6 +17,13 @@ Equal fingerprints are merged before, so hot copies cost one node.  Texts
 without words (null, empty, blank) have fingerprint zero and link like others.
 Repeated rows give a row each.  A null id never is a component's smallest id
 unless the component has no other.
+
+``one_per_alike`` has another contract: texts link if their sets of five-word
+shingles have a Jaccard similarity of 0.8 or more.  There two fingerprints of 64
+bits differ in about ten bits, and no bands reach all of them short of all
+pairs.  So it retrieves by repeated fingerprints, 24 of four minima of hashed
+shingles each, of which one agrees at 0.8 but for about three pairs in a
+million, and links only pairs whose shingles, compared exactly, are that alike.
 """
 
 from __future__ import annotations
@@ -35,20 +42,33 @@ from ledgerloom.llm.common import stored
 RADIUS = 4
 #: Bands of 11, 11, 11, 11, 10 and 10 bits, as (shift, width).
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Least Jaccard similarity of near copies in the pipeline, as a fraction.
+ALIKE = (4, 5)
+#: Repeated fingerprints, and minima in each.
+REPEATS, MINIMA = 24, 4
+_ODD = np.random.default_rng(7).integers(0, 1 << 63, (REPEATS * MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of the map of candidate rows, at most.
+MAP_BITS = 26
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """SimHash of word shingles; words are what ASCII white space separates, A-Z in lower case."""
+def _hashes(text: str | None, size: int) -> np.ndarray:
+    """Hashes of word shingles; words are what ASCII white space separates, A-Z in lower case."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - size + 1)
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[size - 1 :] if len(words) >= size else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """SimHash of word shingles; zero without words."""
+    hashes = _hashes(text, size)
+    n = len(hashes)
     bits = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         bits += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -195,32 +215,178 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _roots(ids: DataFrame) -> DataFrame:
+def _roots(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """``fp`` rows with other columns, one per fingerprint, with the ``root`` of their component."""
-    roots = components(links(ids.select("fp")))
+    roots = components(edges)
     return stored(ids.join(roots, ids.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
 
 
 def grouped(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``component_id``, its group's smallest id."""
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), size).alias("fp")))
-    groups = _roots(stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))))
+    ids = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    groups = _roots(ids, links(ids.select("fp")))
     least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = groups.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of its smallest id."""
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), row.alias("row"))
-    rows = stored(docs.select(first.alias("first"), fingerprints(F.col(text_col), size).alias("fp")))
-    groups = _roots(stored(rows.groupBy("fp").agg(F.min("first").alias("first"))))
+def sketches(text: Column, size: int) -> Column:
+    """``fp``, a hash of a text's set of shingles, and its repeated fingerprints; none without words."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        fps, keys = [], []
+        for t in texts:
+            have = np.unique(_hashes(t, size))
+            fps.append(xxhash.xxh64_intdigest(have.tobytes()) if len(have) else 0)
+            if not len(have):
+                keys.append(np.empty(0, np.int64))
+                continue
+            least = np.min([(have[at : at + 1024] * _ODD).min(axis=1) for at in range(0, len(have), 1024)], axis=0).reshape(REPEATS, MINIMA)
+            keys.append(np.array([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least)], np.uint64).view(np.int64))
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
+
+    return F.pandas_udf(of, "fp long, keys array<long>")(text)
+
+
+def shingle_sets(text: Column, size: int) -> Column:
+    """A text's different shingles as sorted hashes of eight bytes."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_hashes(t, size)).tobytes() for t in texts], dtype=object)
+
+    return F.pandas_udf(of, "binary")(text)
+
+
+def set_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(place, another of its group) that span the groups of sets with Jaccard similarity of ``ALIKE`` or more.
+
+    One minus the similarity is a metric.  Pivots are taken until each set is
+    within the radius of one, and a link between two sets then leads to a set
+    within twice the radius of a pivot; only those are held against the pivot's
+    own, until one links.  So no link that joins two groups is missed.
+    """
+    num, den = ALIKE
+    up = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def union(i: int, j: int) -> None:
+        i, j = root(i), root(j)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+
+    sizes = np.array([len(x) for x in sets])
+    every, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mark = np.zeros(len(every), np.int64)
+
+    def common(i: int, others: np.ndarray | None = None) -> np.ndarray:
+        """Shingles that a set shares with all sets, or with others."""
+        mine = codes[starts[i] : ends[i]]
+        mark[mine] = 1
+        if others is None:
+            got = np.add.reduceat(mark[codes], starts)
+        else:
+            got = np.array([mark[codes[starts[j] : ends[j]]].sum() for j in others])
+        mark[mine] = 0
+        return got
+
+    free = np.ones(len(sets), bool)
+    for i in range(len(sets)):
+        if not free[i]:
+            continue
+        both = common(i)
+        all_of = sizes + sizes[i] - both
+        own = np.flatnonzero(den * both >= num * all_of)
+        free[own] = False
+        for j in own.tolist():
+            union(i, j)
+        # Within twice the radius: similarity of at least 2 * num / den - 1.
+        near = np.flatnonzero((den * both < num * all_of) & (den * both >= (2 * num - den) * all_of))
+        for j in near.tolist():
+            at, step = 0, 16
+            while root(j) != root(i) and at < len(own):
+                some = own[at : at + step]
+                shared = common(j, some)
+                hits = some[den * shared >= num * (sizes[some] + sizes[j] - shared)]
+                if len(hits):
+                    union(j, int(hits[0]))
+                at, step = at + step, 2 * step
+    return [(i, r) for i in range(len(sets)) if (r := root(i)) != i]
+
+
+def _row_map(rows: DataFrame, n: int) -> Column:
+    """Whether column ``__row`` may be one of ``n`` rows: a bit map of bounded size, which spares others a shuffle."""
+    bits = min(MAP_BITS, max(10, int(32 * n).bit_length()))
+    place = F.col("row").bitwiseAND(F.lit((1 << bits) - 1))
+    words = rows.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row & 31 as int))")).alias("v")).toPandas()
+    have = np.zeros(1 << (bits - 5), np.int64)
+    have[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(have.astype(np.uint32))
+
+    def of(row: pd.Series) -> pd.Series:
+        x = row.to_numpy(np.int64)
+        at = x & ((1 << bits) - 1)
+        return pd.Series(((shared.value[at >> 5] >> (x & 31).astype(np.uint32)) & 1) == 1)
+
+    return F.pandas_udf(of, "boolean")(F.col("__row"))
+
+
+def alike_links(docs: DataFrame, ids: DataFrame, size: int, text_col: str) -> DataFrame:
+    """``fp, keys, first`` rows, and ``docs`` with ``__row``, to ``a, b`` links that span the groups of near copies."""
+    keyed = ids.select("fp", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
+    # Close copies meet in many keys, mostly the same of them.
+    met = stored(met.select("fps").distinct().withColumn("bucket", F.xxhash64("fps")))
+    asked = met.select("bucket", F.explode("fps").alias("fp"))
+    rows = stored(asked.select("fp").distinct().join(ids, "fp").select("fp", F.col("first.row").alias("row")))
+    some = docs.filter(_row_map(rows, rows.count())).select("__row", F.col(text_col).alias("text"))
+    texts = some.join(rows, some["__row"] == rows["row"]).groupBy("fp").agg(F.min("text").alias("text"))
+    sets = stored(texts.select("fp", shingle_sets(F.col("text"), size).alias("set")))
+
+    def of(group: pd.DataFrame) -> pd.DataFrame:
+        fps = group["fp"].tolist()
+        found = set_links([np.frombuffer(x, np.uint64) for x in group["set"]])
+        return pd.DataFrame([(fps[i], fps[j]) for i, j in found], columns=["a", "b"], dtype="int64")
+
+    return asked.join(sets, "fp").groupBy("bucket").applyInPandas(of, "a long, b long").distinct()
+
+
+def _firsts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """``docs`` with ``__row``, a hash of id and text, and what orders rows by their id."""
+    docs = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return docs, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+
+
+def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: that of its smallest id."""
     stay = groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__stay"))
-    out = docs.withColumn("__row", row).join(stay, F.col("__row") == F.col("__stay"), "left_semi")
+    out = docs.join(stay, F.col("__row") == F.col("__stay"), "left_semi")
     # Rows that are equal in id and text share ``__row``; the join has put them together.
     out = out.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).filter("__n = 1")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.drop("__row", "__n")
+
+
+def one_per_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of fingerprints within the radius: that of its smallest id."""
+    docs, first = _firsts(docs, id_col, text_col)
+    rows = stored(docs.select(first.alias("first"), fingerprints(F.col(text_col), size).alias("fp")))
+    ids = stored(rows.groupBy("fp").agg(F.min("first").alias("first")))
+    return _one_of_each(docs, _roots(ids, links(ids.select("fp"))))
+
+
+def one_per_alike(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of texts that are ``ALIKE``: that of its smallest id."""
+    docs, first = _firsts(docs, id_col, text_col)
+    rows = stored(docs.select(first.alias("first"), sketches(F.col(text_col), size).alias("s")).select("first", "s.fp", "s.keys"))
+    ids = stored(rows.groupBy("fp").agg(F.min("first").alias("first"), F.any_value("keys").alias("keys")))
+    return _one_of_each(docs, _roots(ids.drop("keys"), alike_links(docs, ids, size, text_col)))
 
 
 def simhash_report(docs: DataFrame, **cols: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import decontaminate, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
 
 W = re.compile("[^\x20\x09-\x0d]+")
@@ -139,6 +140,71 @@ def test_components_with_a_hot_node_and_a_chain(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jaccard5(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def changed(r, text, n):
+    """n words of the text replaced, spread over it."""
+    w = text.split()
+    for at in r.sample(range(len(w) // 6), n):
+        w[at * 6] = "".join(r.choices("uvwxyz", k=8))
+    return " ".join(w)
+
+
+def test_stage_keeps_one_of_each_near_copy_group(spark):
+    r = random.Random(12)
+    fresh = lambda n: " ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(n))
+    docs, group = [], []
+    for g in range(40):
+        base = fresh(r.randint(100, 240))
+        n = len(base.split())
+        family = [base]
+        while len(family) < 4:  # like the one before in 0.8 to 0.95, so chains as well
+            new = changed(r, family[-1], r.randint(1, max(1, n // 50)))
+            if 0.8 <= jaccard5(new, family[-1]) < 0.95:
+                family.append(new)
+        other = changed(r, base, n // 20)
+        while jaccard5(other, base) >= 0.8 or any(jaccard5(other, x) >= 0.8 for x in family):
+            other = changed(r, other, n // 20)
+        docs += [*family, other]
+        group += [g] * 4 + [100 + g]
+    far = sum(bin(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).count("1") > simhash.RADIUS for a, b in zip(docs, docs[1:]) if jaccard5(a, b) >= 0.8)
+    assert far > 60, "beyond the radius of op5"
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(docs)] + [(900, None, None, None, None), (901, "", None, None, 0), (902, "two words", None, None, 0), (903, "Two  words", None, None, 0)]
+    left = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, frame(spark, [*rows, rows[0]]), "").collect())
+    assert left == [*[i for i in range(len(docs)) if group.index(group[i]) == i], 900, 902]
+    assert corpus_pipeline.near_duplicates(spark, empty(spark), "").count() == 0
+
+
+def test_set_links_find_every_group():
+    r = random.Random(4)
+    sets = [np.array(sorted(r.sample(range(120), 100)), np.uint64) for _ in range(150)] + [np.array(sorted(r.sample(range(70), 60)), np.uint64) for _ in range(100)]
+    sets += [np.arange(k, 300 + k, dtype=np.uint64) for k in range(1000, 1200, 20)]
+    want = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(x, sets[j]))
+            if 5 * both >= 4 * (len(x) + len(sets[j]) - both) and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = [new if w == old else w for w in want]
+    got = list(range(len(sets)))
+    for i, j in simhash.set_links(sets):
+        got[i] = j
+    assert got == want and 3 < len(set(want)) < len(sets) - 20
+
+
+def test_repeated_fingerprints_meet_at_the_least_similarity():
+    r, met, tried = random.Random(2), 0, 2000
+    for _ in range(tried):
+        s = np.array([r.getrandbits(64) for _ in range(180)], np.uint64)
+        a, b = s[:162], s[18:]  # 144 of 180 in common
+        least = [(x * simhash._ODD).min(axis=1).reshape(simhash.REPEATS, simhash.MINIMA) for x in (a, b)]
+        met += bool((least[0] == least[1]).all(axis=1).any())
+    assert met == tried
+
+
 def test_line_dedup(spark):
     r = random.Random(8)
     fresh = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
