@@ -12,7 +12,8 @@ words differ from its target by at most half its residual document's size (that
 last fraction goes to the nearer side).
 
 Null texts have size 0 and are not taken.  A null source is a source, the last
-one.  Repeated rows are rounded one by one.  Random numbers come from hashes of
+one.  Of n equal rows the whole copies among n fractions are given out first, one
+to a row, and what is left is rounded as one row's fraction.  Random numbers come from hashes of
 ids, so reruns agree.
 """
 
@@ -84,7 +85,7 @@ def _round_block(items: Column, seed: int) -> Column:
 
 
 def rounded(items: DataFrame, n_docs: int, seed: int = 11) -> DataFrame:
-    """``source, k, size, p`` rows to ``k, up``: which fractions become 1.
+    """``source, k, size, p`` rows to ``source, k, up``: which fractions become 1.
 
     ``n_docs``: the most rows that a source has; it sets the number of levels.
     """
@@ -96,10 +97,10 @@ def rounded(items: DataFrame, n_docs: int, seed: int = 11) -> DataFrame:
         grouped = items.groupBy("source", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "size", "p"))).alias("items"))
         # A task takes 64 blocks; small levels need neither more tasks nor more files.
         got = stored(grouped.select("source", _round_block(F.col("items"), seed + level).alias("r")).coalesce(max(1, blocks // 64)))
-        done.append(got.select(F.explode("r.settled").alias("s")).select("s.k", "s.up"))
+        done.append(got.select("source", F.explode("r.settled").alias("s")).select("source", "s.k", "s.up"))
         items = got.filter("r.rest is not null").select("source", "r.rest.k", "r.rest.size", "r.rest.p")
         if blocks == 1:
-            last = items.select("k", (F.col("p") >= 0.5).alias("up"))
+            last = items.select("source", "k", (F.col("p") >= 0.5).alias("up"))
             return reduce(DataFrame.unionByName, [*done, last])
         blocks = -(-blocks // BLOCK)
         level += 1
@@ -108,21 +109,23 @@ def rounded(items: DataFrame, n_docs: int, seed: int = 11) -> DataFrame:
 def copies(sized: DataFrame, **mix: object) -> DataFrame:
     """``source, k, size`` rows (``k``: a struct of longs a, b) to one row per (source, k, size).
 
-    Adds ``n`` (rows that were equal; all get as many copies), ``copies``,
-    ``source_size`` and ``target``.
+    Adds ``n`` (rows that were equal), ``copies`` (that each of them gets),
+    ``more`` (how many of them get another), ``source_size`` and ``target``.
     """
     targets = stored(source_targets(sized.select("source", "size"), **mix))
     keys = sized.groupBy("source", "k", "size").agg(F.count(F.lit(1)).alias("n"))
     base = keys.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")), "left").select("d.*", "t.source_size", "t.target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = base.withColumn("whole", F.floor(ratio + 1e-9).cast("int"))
-    base = base.withColumn("p", F.greatest(F.lit(0.0), ratio - F.col("whole")))
+    fraction = F.greatest(F.lit(0.0), ratio - F.col("whole")) * F.col("n")
+    base = base.withColumn("most", F.floor(fraction + 1e-9).cast("int")).withColumn("p", F.greatest(F.lit(0.0), fraction - F.col("most")))
     most = targets.agg(F.max("n_docs")).first()[0] or 0
-    up = rounded(base.filter("size > 0 and p > 1e-9").select("source", "k", (F.col("size") * F.col("n")).alias("size"), "p"), most)
-    up = up.filter("up").select(F.col("k").alias("k_up"))
-    out = base.join(up, F.col("k") == F.col("k_up"), "left")
-    taken = F.col("whole") + F.col("k_up").isNotNull().cast("int")
-    return out.select("source", "k", "size", "n", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).alias("copies"))
+    up = rounded(base.filter("size > 0 and p > 1e-9").select("source", "k", "size", "p"), most)
+    up = up.filter("up").select(F.col("source").alias("source_up"), F.col("k").alias("k_up"))
+    out = base.join(up, (F.col("k") == F.col("k_up")) & F.col("source").eqNullSafe(F.col("source_up")), "left")
+    more = F.col("most") + F.col("k_up").isNotNull().cast("int")
+    taken = lambda x: F.when(F.col("size") > 0, x).otherwise(0)
+    return out.select("source", "k", "size", "n", "source_size", "target", taken(F.col("whole")).alias("copies"), taken(more).alias("more"))
 
 
 def mix_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix: object) -> DataFrame:
@@ -130,15 +133,20 @@ def mix_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     size = n_words_of(F.col(text_col))
     k = F.struct(F.col(id_col).cast("long").alias("a"), size.alias("b"))
     got = copies(stored(docs.select(F.col(source_col).alias("source"), k.alias("k"), size.alias("size"))), **mix)
-    got = got.withColumn("doc_id", F.explode(F.array_repeat("k.a", F.col("n").cast("int"))))
-    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    got = got.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    copies_of = F.col("copies") + (F.col("i") <= F.col("more")).cast("int")
+    return got.select(F.col("k.a").alias("doc_id"), "size", "source_size", "target", (copies_of * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix: object) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    k = F.struct(F.xxhash64(id_col).alias("a"), F.xxhash64(F.col(text_col), F.col(source_col)).alias("b"))
-    sized = stored(docs.select(F.col(source_col).alias("source"), k.alias("k"), n_words_of(F.col(text_col)).alias("size")))
-    got = copies(sized, **mix).filter("copies > 0").select(F.col("k").alias("__mix_k"), F.col("copies").alias("__mix_n"))
+    source = F.col(source_col)
+    k = F.struct(F.xxhash64(id_col).alias("a"), F.xxhash64(F.col(text_col), source, source.isNull()).alias("b"))
+    sized = stored(docs.select(source.alias("source"), k.alias("k"), n_words_of(F.col(text_col)).alias("size")))
+    got = copies(sized, **mix).filter("copies + more > 0").select(F.col("k").alias("__mix_k"), F.col("copies").alias("__mix_n"), F.col("more").alias("__mix_more"))
     out = docs.withColumn("__mix", k).join(got, F.col("__mix") == F.col("__mix_k"))
-    out = out.withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
+    # Equal rows share ``__mix``; the join has put them together.
+    place = F.row_number().over(Window.partitionBy("__mix").orderBy("__mix"))
+    out = out.withColumn("__mix_i", place).withColumn("__mix_n", F.col("__mix_n") + (F.col("__mix_i") <= F.col("__mix_more")).cast("int"))
+    out = out.filter("__mix_n > 0").withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -262,6 +262,28 @@ def test_mixing(spark):
     assert mixing.mix_report(empty(spark)).count() == mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixing_keeps_sources_and_repeated_rows_apart(spark):
+    # Equal ids and sizes in three sources, and a third of a source's rows without id, all of one size.
+    rows = [(i, "word " * (10 + i % 3), "en", f"s{s}", 1) for s in range(3) for i in range(60 + s)]
+    rows += [(None, "word " * 10, "en", "s2", 1)] * 31 + [(7, "other " * 11, "en", None, 1)] * 9
+    df = frame(spark, rows)
+    targets = brute_targets(collections.Counter({s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in ("s0", "s1", "s2", None)}))
+    got = mixing.mix_report(df).collect()
+    assert len(got) == len(rows)
+    source_of = {round(t, 6): s for s, t in targets.items()}
+    assert len(source_of) == 4
+    taken = collections.Counter()
+    for r in got:
+        ratio = r.target / r.source_size
+        assert r.taken in {int(ratio + 1e-9) * r.size, -int(-(ratio - 1e-9) // 1) * r.size}
+        taken[source_of[round(r.target, 6)]] += r.taken
+    mixed = collections.Counter()
+    for r in mixing.mixed(df).collect():
+        mixed[r.source] += len(r.text.split())
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 12 and abs(mixed[s] - t) <= 12
+
+
 def test_decontaminate(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 5)))
