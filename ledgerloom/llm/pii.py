@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 
 # Shapes, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:(?i:AKIA)[A-Za-z0-9]{16}|[0-9a-fA-F]{32,}|(?<=(?i:password)[=:])[^\s\"']{8,})(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "ip": rf"(?<![\d.]){_ADDRESS}",
+    "phone": rf"(?<![\d+])(?:\+\d{{1,3}}[ .-]?)(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?:[ .-](?!{_ADDRESS}))?\d{{2,4}}){{1,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)",
+    "card": rf"(?<![\d-])\d(?:(?:[ -](?!{_ADDRESS}))?\d){{12,18}}(?![\d-])",
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
 ROUNDS = 10
@@ -121,6 +122,23 @@ def _ip(key: str, x: Column) -> Column:
     return F.get(F.transform(F.array(moved), lambda m: F.concat_ws(".", *parts(m["l"]), *parts(m["r"]))), F.lit(0))
 
 
+def card_in(x: Column) -> Column:
+    """What of a match in a card's shape is a card: all of it, else the first of its runs of groups that passes the check; null if none."""
+
+    def valid(y: Column) -> Column:
+        d = _digits(y)
+        n = F.length(d)
+        return n.between(13, 19) & (_check_digit(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1)))
+
+    n = F.length(x)
+    places = F.sequence(F.lit(1), n)
+    apart = lambda i: F.substring(x, i, F.lit(1)).isin(" ", "-")
+    starts = F.filter(places, lambda i: (i == 1) | apart(i - 1))
+    ends = F.filter(places, lambda j: (j == n) | apart(j + 1))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: j - i >= 12), lambda j: F.substring(x, i, j - i + 1))))
+    return F.when(valid(x), x).when(x.rlike("[ -]"), F.get(F.filter(runs, valid), F.lit(0)))
+
+
 def _hashed(key: str, kind: str, x: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), x), 256)
 
@@ -128,9 +146,6 @@ def _hashed(key: str, kind: str, x: Column) -> Column:
 def kind_of(x: Column) -> Column:
     """The kind of a match; null if it fails its check."""
     whole = {k: x.rlike(f"^(?:{p})$") for k, p in SHAPES.items() if k not in ("secret", "card", "date")}
-    digits = _digits(x)
-    n = F.length(digits)
-    payload = F.substring(digits, F.lit(1), n - 1)
     real_date = x.rlike(r"^(?:\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4})$")
     days = F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy")])
     card = x.rlike(r"^\d(?:[ -]?\d){12,18}$")
@@ -139,7 +154,7 @@ def kind_of(x: Column) -> Column:
         .when(real_date, F.when(days.isNotNull(), F.lit("date")))
         .when(whole["ssn"], F.lit("ssn"))
         .when(whole["ip"], F.lit("ip"))
-        .when(card, F.when(_check_digit(payload) == F.substring(digits, n, F.lit(1)), F.lit("card")))
+        .when(card, F.when(card_in(x).isNotNull(), F.lit("card")))
         .when(x.rlike(r"^(?:\+\d|\(\d{3}\))"), F.lit("phone"))
         .otherwise(F.lit("secret"))
     )
@@ -150,9 +165,16 @@ def pseudonym(key: str, kind: Column, x: Column) -> Column:
     digits = _digits(x)
     country = F.regexp_extract(x, r"^(\+\d{1,3}(?=\D))?", 1)
     local = F.substring(x, F.length(country) + 1, F.length(x))
-    payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new_payload = permuted_digits(key, "card", payload)
-    card = F.get(F.transform(F.array(new_payload), lambda p: _refilled(x, F.concat(p, _check_digit(p)))), F.lit(0))
+
+    def card_of(run: Column) -> Column:
+        """The match with its card replaced."""
+        d = _digits(run)
+        new_payload = permuted_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
+        new = F.get(F.transform(F.array(new_payload), lambda p: _refilled(run, F.concat(p, _check_digit(p)))), F.lit(0))
+        at = F.instr(x, run)
+        return F.concat(F.substring(x, F.lit(1), at - 1), new, F.substring(x, at + F.length(run), F.length(x)))
+
+    card = F.get(F.transform(F.array(card_in(x)), card_of), F.lit(0))
     long_hash = F.repeat(_hashed(key, "secret", x), F.ceil(F.length(x) / 64).cast("int"))
     secret = F.when(x.rlike("^(?i:AKIA)"), F.concat(F.substring(x, 1, 4), F.upper(F.substring(_hashed(key, "secret", x), 1, 16)))).otherwise(F.substring(long_hash, F.lit(1), F.length(x)))
     return (

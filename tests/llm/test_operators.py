@@ -347,6 +347,18 @@ def test_pii(spark):
     assert pii.pii_report(empty(spark), "k").count() == 0
 
 
+def test_pii_of_neighbouring_numbers(spark):
+    card, ip, phone = "4417744280351547", "97.51.17.173", "+1 (826) 555-4081"
+    texts = [card, ip, phone, f"{card} 123", f"123 {card}", f"{card} {ip}", f"{phone} 190.137.223.9", f"{phone} {ip}", "4417 7442 8035 1547 123", f"{card}-12 x"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    out = {r.doc_id: r.text for r in pii.pii_report(frame(spark, rows), "k").collect()}
+    c, i, p = out[0], out[1], out[2]
+    assert c != card and i != ip and p != phone
+    assert out[3] == f"{c} 123" and out[4] == f"123 {c}" and out[5] == f"{c} {i}" and out[7] == f"{p} {i}"
+    assert out[6].startswith(f"{p} ") and "190.137.223.9" not in out[6]
+    assert out[8] == " ".join([c[:4], c[4:8], c[8:12], c[12:], "123"]) and out[9] == f"{c}-12 x"
+
+
 def test_feistel_permutes(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = [r.p for r in digits.select(pii.permuted_digits("key", "t", F.col("d")).alias("p")).collect()]
