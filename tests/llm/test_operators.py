@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import decontaminate, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from ledgerloom.llm import decontaminate, line_dedup, mixing, pii, quality_classifier, quality_rules, simhash, token_counts, toxicity
 
 W = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -402,23 +402,3 @@ def test_quality_classifier(spark):
     unseen = got[(got.doc_id >= 300) & (got.doc_id < 600)].merge(pd.DataFrame(labels, columns=["doc_id", "y", "t"]), on="doc_id")
     assert ((unseen.kept) == (unseen.y == 1)).mean() > 0.95
     assert quality_classifier.quality_scores(empty(spark), known).count() == 0
-
-
-def test_html_extract(spark):
-    page = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a>News</a></li></ul></nav><!-- x --><div class="ad">Buy now this thing.</div><article><h1>Head &amp; tail</h1><p><b>First\n  words<br>here.<p>Second, longer paragraph of the article with words.</article><footer>&copy; site</footer></body></html>'
-    rows = [(1, "u", page), (2, "v", None), (3, None, ""), (4, "w", "<nav><ul><li><a>Only</a></li></ul></nav>"), (1, "u", page)]
-    got = sorted(tuple(r) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text", "n_chars").collect())
-    text = "Head & tail\n\nFirst words here.\n\nSecond, longer paragraph of the article with words."
-    assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "", 0)]
-    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_labeller_on_unseen_pages():
-    net, make, r = html_extract.BiLSTM(list(html_extract.trained())), html_extract.Vectors(), random.Random(77)
-    right = total = 0
-    for _ in range(150):
-        page = html_extract.example_page(r)
-        p, _ = net.forward(*html_extract._padded([make.of([(t, path, a) for t, path, a, _ in page])]))
-        right += sum((q > 0.5) == bool(y) for q, (*_, y) in zip(p[:, 0], page, strict=True))
-        total += len(page)
-    assert right / total > 0.98
