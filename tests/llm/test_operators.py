@@ -300,8 +300,8 @@ def test_decontaminate(spark):
         rows.append((i, text, "en", "s", 1))
     rows += [(500, None, None, None, None), (501, "", "en", "s", 0)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = {(i, k) for i, t, *_ in rows for k, x in items if t and x and len(x.split()) >= 5 and f" {x} " in f" {t.lower()} "}
-    for size in (50_000_000, 4_000):  # in one index, in several
+    want = {(i, k) for i, t, *_ in rows for k, x in items if t and x and f" {x} " in f" {t.lower()} "}
+    for size in (50_000_000, 6_000):  # in one index, in several
         got = {(x.doc_id, x.item_id) for x in decontaminate.leaked(frame(spark, rows), bench, max_index_chars=size).collect()}
         assert got == want
     kept = {x.doc_id for x in decontaminate.clean(frame(spark, rows), bench).collect()}
@@ -310,21 +310,67 @@ def test_decontaminate(spark):
     assert decontaminate.clean(empty(spark), bench).count() == 0
 
 
-def test_wand_retrieves_all_above_threshold():
+def brute_scores(index, words):
+    """Score of every entry that shares a word with a passage."""
+    have = set(words) - {-1}
+    score = collections.Counter()
+    for t in have:
+        a, b = index.first[index.at[t]], index.first[index.at[t + 1]]
+        for e, x in zip(index.entry[a:b].tolist(), index.share[a:b].tolist()):
+            score[e] += x
+    return score
+
+
+@pytest.mark.parametrize("vocabulary, threshold", [(120, 0.45), (120, 0.7), (2000, 0.3), (15, 0.6)])
+def test_wand_retrieves_all_above_threshold(vocabulary, threshold):
     r = random.Random(6)
-    words = [f"w{k}" for k in range(120)]
-    index = decontaminate.Index([(k, " ".join(r.choices(words, k=r.randint(10, 60)))) for k in range(50)])
-    texts = [r.choices(words, k=r.randint(1, 400)) for _ in range(30)] + [[]]
-    want = set()
+    words = [f"w{k}" for k in range(vocabulary)]
+    items = [(k, " ".join(r.choices(words, k=r.randint(1, 200)))) for k in range(70)]
+    index = decontaminate.Index(items).ready()
+    texts = [r.choices(range(-1, len(index.vocabulary)), k=r.randint(1, 400)) for _ in range(30)] + [[]]
+    texts += [[index.ids[w] for w in t.split()] for _, t in items[:20]]
+    want = {}
     for i, text in enumerate(texts):
         for start in range(0, max(1, len(text)), 80):
-            have = {index.ids[w] for w in text[start : start + 160]}
-            score = collections.Counter()
-            for t in have:
-                for e, x in index.postings[t] if t >= 0 else []:
-                    score[e] += x
-            want |= {(i, start, e) for e, s in score.items() if s >= 0.45}
-    assert {(i, a, e) for i, a, e, _ in index.retrieve(texts, 0.45)} == want and want
+            want |= {(i, start, e): s for e, s in brute_scores(index, text[start : start + 160]).items() if s >= threshold}
+    found = index.retrieve(texts, threshold)
+    got = {(i, a, e): s for i, a, e, s in found}
+    assert len(got) == len(found) and want.keys() <= got.keys() and len(want) > 10
+    assert all(s > threshold - 1e-5 for s in got.values()) and all(abs(got[k] - s) < 1e-5 for k, s in want.items())
+
+
+def test_results_do_not_depend_on_the_parts(spark):
+    r = random.Random(16)
+    words = [f"w{k}" for k in range(300)]
+    items = [(f"i{k}", " ".join(r.choices(words, k=80))) for k in range(400)] + [("short", "w1 w2 w3"), ("kana", "東京は日本の首都です"), ("kana", "東京は日本の首都です")]
+    rows = []
+    for k in range(60):
+        w = items[k][1].split()
+        for at in r.sample(range(16), k % 12):
+            w[at * 5] = "changed"
+        rows.append((f"d{k}", " ".join(r.choices(words, k=r.randint(0, 50)) + w + r.choices(words, k=20))))
+    rows += [("s", "x w1 w2 w3 y"), ("s2", "w1 w2 x w3"), ("k", "私は東京は日本の首都ですと言う"), (None, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = []
+    for chars in (50_000_000, 120_000, 12_000):
+        found = decontaminate.leaked(docs, bench, max_index_chars=chars).collect()
+        got.append(sorted((x.doc_id, x.item_id, round(x.score, 4)) for x in found))
+    assert got[0] == got[1] == got[2] and {f"d{k}" for k in range(60) if k % 12 < 2} <= {x[0] for x in got[0]}
+    pairs = [x[:2] for x in got[0]]
+    assert ("s", "short") in pairs and ("s2", "short") not in pairs and pairs.count(("k", "kana")) == 2
+    assert decontaminate.clean(docs.withColumn("item_id", F.lit(1)), bench, max_index_chars=120_000).columns == ["doc_id", "text", "item_id"]
+
+
+def test_many_items_and_a_long_text_take_seconds():
+    import time
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(500)]
+    index = decontaminate.Index([(k, " ".join(r.choices(words, k=80))) for k in range(4000)])
+    assert index.nbytes <= 24 * 80 * 4000
+    began = time.perf_counter()
+    index.leaks([" ".join(r.choices(words, k=4000))], 0.6, 0.8)
+    assert time.perf_counter() - began < 20  # seconds of a busy machine
 
 
 def test_pii(spark):
