@@ -11,10 +11,13 @@ meet in the blocks of the next level, up to one per source, so a source's taken
 words differ from its target by at most half its residual document's size (that
 last fraction goes to the nearer side).
 
-Null texts have size 0 and are not taken.  A null source is a source, the last
-one.  Of n equal rows the whole copies among n fractions are given out first, one
-to a row, and what is left is rounded as one row's fraction.  Random numbers come from hashes of
-ids, so reruns agree.
+Null and empty texts have size 0 and are not taken; very long ones are counted
+whole.  A null source is a source, the last one.  Of n equal rows (for the
+report: equal in source, id and size; for ``mixed``: in all columns) the whole
+copies among n fractions are given out first, one to a row, and what is left is
+rounded as one row's fraction.  Ids may have any type and may be null or repeat.
+Random numbers come from hashes of rows, so reruns agree.  Empty tables give no
+rows, and extra columns pass through ``mixed`` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import n_words_of, stored
+from ledgerloom.llm.common import fresh, n_words_of, row_hash, stored
 
 #: Documents of a block, on average.
 BLOCK = 64
@@ -84,24 +87,26 @@ def _round_block(items: Column, seed: int) -> Column:
     return F.aggregate(items, F.struct(nobody.alias("rest"), settled.alias("settled")), step)
 
 
-def rounded(items: DataFrame, n_docs: int, seed: int = 11) -> DataFrame:
+def rounded(items: DataFrame, most: int, total: int, sources: int, seed: int = 11) -> DataFrame:
     """``source, k, size, p`` rows to ``source, k, up``: which fractions become 1.
 
-    ``n_docs``: the most rows that a source has; it sets the number of levels.
+    ``most``: rows of the largest source, which set the number of levels;
+    ``total``: rows of all ``sources``, which set the number of tasks.
     """
     done: list[DataFrame] = []
-    blocks = -(-max(1, n_docs) // BLOCK)
+    blocks = -(-max(1, most) // BLOCK)
     level = 0
     while True:
         block = F.pmod(F.xxhash64("k", F.lit(seed + level)), F.lit(blocks))
         grouped = items.groupBy("source", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("k", "size", "p"))).alias("items"))
-        # A task takes 64 blocks; small levels need neither more tasks nor more files.
-        got = stored(grouped.select("source", _round_block(F.col("items"), seed + level).alias("r")).coalesce(max(1, blocks // 64)))
+        # A task takes 64 full blocks; small levels need neither more tasks nor more files.
+        got = stored(grouped.select("source", _round_block(F.col("items"), seed + level).alias("r")).coalesce(max(1, total // (64 * BLOCK))))
         done.append(got.select("source", F.explode("r.settled").alias("s")).select("source", "s.k", "s.up"))
         items = got.filter("r.rest is not null").select("source", "r.rest.k", "r.rest.size", "r.rest.p")
         if blocks == 1:
             last = items.select("source", "k", (F.col("p") >= 0.5).alias("up"))
             return reduce(DataFrame.unionByName, [*done, last])
+        total = min(total, sources * blocks)
         blocks = -(-blocks // BLOCK)
         level += 1
 
@@ -111,42 +116,54 @@ def copies(sized: DataFrame, **mix: object) -> DataFrame:
 
     Adds ``n`` (rows that were equal), ``copies`` (that each of them gets),
     ``more`` (how many of them get another), ``source_size`` and ``target``.
+    Columns beyond these are part of the key.
     """
     targets = stored(source_targets(sized.select("source", "size"), **mix))
-    keys = sized.groupBy("source", "k", "size").agg(F.count(F.lit(1)).alias("n"))
+    key = sized.columns
+    keys = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     base = keys.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")), "left").select("d.*", "t.source_size", "t.target")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = base.withColumn("whole", F.floor(ratio + 1e-9).cast("int"))
     fraction = F.greatest(F.lit(0.0), ratio - F.col("whole")) * F.col("n")
     base = base.withColumn("most", F.floor(fraction + 1e-9).cast("int")).withColumn("p", F.greatest(F.lit(0.0), fraction - F.col("most")))
-    most = targets.agg(F.max("n_docs")).first()[0] or 0
-    up = rounded(base.filter("size > 0 and p > 1e-9").select("source", "k", "size", "p"), most)
+    most, total, sources = targets.agg(F.max("n_docs"), F.sum("n_docs"), F.count(F.lit(1))).first()
+    up = rounded(base.filter("size > 0 and p > 1e-9").select("source", "k", "size", "p"), most or 0, total or 0, sources)
     up = up.filter("up").select(F.col("source").alias("source_up"), F.col("k").alias("k_up"))
     out = base.join(up, (F.col("k") == F.col("k_up")) & F.col("source").eqNullSafe(F.col("source_up")), "left")
     more = F.col("most") + F.col("k_up").isNotNull().cast("int")
     taken = lambda x: F.when(F.col("size") > 0, x).otherwise(0)
-    return out.select("source", "k", "size", "n", "source_size", "target", taken(F.col("whole")).alias("copies"), taken(more).alias("more"))
+    return out.select(*key, "n", "source_size", "target", taken(F.col("whole")).alias("copies"), taken(more).alias("more"))
 
 
 def mix_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix: object) -> DataFrame:
     """One row per document: ``size``, ``source_size``, ``target`` and ``taken`` words."""
     size = n_words_of(F.col(text_col))
-    k = F.struct(F.col(id_col).cast("long").alias("a"), size.alias("b"))
-    got = copies(stored(docs.select(F.col(source_col).alias("source"), k.alias("k"), size.alias("size"))), **mix)
-    got = got.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    k = F.struct(F.xxhash64(id_col).alias("a"), size.alias("b"))
+    got = copies(stored(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("doc_id"), k.alias("k"), size.alias("size"))), **mix)
+    got = got.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     copies_of = F.col("copies") + (F.col("i") <= F.col("more")).cast("int")
-    return got.select(F.col("k.a").alias("doc_id"), "size", "source_size", "target", (copies_of * F.col("size")).cast("long").alias("taken"))
+    return got.select("doc_id", "size", "source_size", "target", (copies_of * F.col("size")).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mix: object) -> DataFrame:
+def mixed(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", **mix: object) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    source = F.col(source_col)
-    k = F.struct(F.xxhash64(id_col).alias("a"), F.xxhash64(F.col(text_col), source, source.isNull()).alias("b"))
+    source, key, there, n, i = F.col(source_col), fresh("key"), fresh("k"), fresh("n"), fresh("i")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    k = F.struct(row_hash(docs, 1).alias("a"), row_hash(docs, 2).alias("b"))
     sized = stored(docs.select(source.alias("source"), k.alias("k"), n_words_of(F.col(text_col)).alias("size")))
-    got = copies(sized, **mix).filter("copies + more > 0").select(F.col("k").alias("__mix_k"), F.col("copies").alias("__mix_n"), F.col("more").alias("__mix_more"))
-    out = docs.withColumn("__mix", k).join(got, F.col("__mix") == F.col("__mix_k"))
-    # Equal rows share ``__mix``; the join has put them together.
-    place = F.row_number().over(Window.partitionBy("__mix").orderBy("__mix"))
-    out = out.withColumn("__mix_i", place).withColumn("__mix_n", F.col("__mix_n") + (F.col("__mix_i") <= F.col("__mix_more")).cast("int"))
-    out = out.filter("__mix_n > 0").withColumn("__mix_i", F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    got = stored(copies(sized, **mix).select(F.col("k").alias(key), "n", "copies", "more").filter("copies + more > 0"))
+
+    def repeated(rows: DataFrame, times: DataFrame) -> DataFrame:
+        both = rows.join(times, F.col(there) == F.col(key))
+        return both.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own)
+
+    # Rows alone get their own copies; of rows that repeat, some get another, and as they are alike, one stands for those.
+    alone = F.when(F.col("n") == 1, F.col("more")).otherwise(0)
+    keyed = docs.withColumn(there, k)
+    every = repeated(keyed, got.select(key, (F.col("copies") + alone).cast("int").alias(n)).filter(F.col(n) > 0))
+    again = stored(got.filter("n > 1 and more > 0").select(key, F.col("more").cast("int").alias(n)))
+    if again.isEmpty():
+        return every
+    some = keyed.join(again.select(key), F.col(there) == F.col(key), "left_semi")
+    some = some.groupBy(there).agg(*[F.first(c).alias(name) for c, name in zip(own, docs.columns, strict=True)])
+    return every.unionByName(repeated(some, again))
