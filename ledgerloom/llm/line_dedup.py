@@ -14,8 +14,10 @@ are compared with those of the lines that have its hash.  Only hashes and
 places are shuffled for the search; texts move once, to meet their verdicts.
 
 Null texts stay null, lines without a word stay where they are, and texts that
-lose all their lines become empty.  Rows that are equal in id and text count as
-one document and lose the same lines.
+lose all their lines become empty.  Very long texts take time in proportion to
+their lines.  Rows that are equal in id and text count as one document and lose
+the same lines; ids may have any type and may be null or repeat.  Empty tables
+give no rows, and extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import WORD, stored
+from ledgerloom.llm.common import WORD, fresh, let, stored
 
 
 def _instances(docs: DataFrame, min_words: int, modulus: int) -> DataFrame:
@@ -37,12 +39,14 @@ def _instances(docs: DataFrame, min_words: int, modulus: int) -> DataFrame:
         lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")),
     )
     docs = docs.select("k", "doc_id", F.filter(lines, lambda x: x["w"] > 0).alias("l"))
+    # Used more than once below, so that it is worked out once a text.
+    docs = docs.withColumn("hashes", F.transform("l", lambda y: y["h"]))
     n = F.size("l")
     at = lambda i: F.get(F.col("l"), i)
     window = F.transform(
         F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")),
         lambda j: F.struct(
-            F.lit(0).alias("kind"), F.xxhash64(at(j)["h"], at(j + 1)["h"]).alias("h"), at(j)["i"].alias("s"), at(j + 1)["i"].alias("e"),
+            F.lit(0).alias("kind"), F.xxhash64(F.get("hashes", j), F.get("hashes", j + 1)).alias("h"), at(j)["i"].alias("s"), at(j + 1)["i"].alias("e"),
             at(j)["h"].alias("hs"), at(j + 1)["h"].alias("he"), at(j)["w"].alias("ws"), at(j + 1)["w"].alias("we"), j.alias("j"),
         ),
     )
@@ -61,7 +65,7 @@ def _instances(docs: DataFrame, min_words: int, modulus: int) -> DataFrame:
     chunk = F.transform(
         F.col("spans"),
         lambda x: F.struct(
-            F.lit(2).alias("kind"), F.xxhash64(F.slice(F.transform("l", lambda y: y["h"]), x["a"] + 1, x["b"] - x["a"] + 1)).alias("h"), at(x["a"])["i"].alias("s"), at(x["b"])["i"].alias("e"),
+            F.lit(2).alias("kind"), F.xxhash64(F.slice("hashes", x["a"] + 1, x["b"] - x["a"] + 1)).alias("h"), at(x["a"])["i"].alias("s"), at(x["b"])["i"].alias("e"),
             at(x["a"])["h"].alias("hs"), at(x["b"])["h"].alias("he"), at(x["a"])["w"].alias("ws"), at(x["b"])["w"].alias("we"), x["a"].alias("j"),
         ),
     )
@@ -92,23 +96,31 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` without the repeated lines; ``removed_col`` names a column for their number, if wanted."""
     k = F.xxhash64(F.col(id_col), F.col(text_col))
     found = stored(_instances(docs.select(k.alias("k"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_words, modulus))
-    verdicts = _verdicts(found, min_words).select(F.col("k").alias("__k2"), F.col("drop").alias("__drop"), F.col("kept").alias("__kept"))
-    both = stored(docs.withColumn("__k", k).join(verdicts, F.col("__k") == F.col("__k2"), "left").drop("__k", "__k2"))
-    return _without(both, docs.columns, text_col, removed_col)
+    own, there, drop, kept = fresh("own"), fresh("k"), fresh("drop"), fresh("kept")
+    verdicts = _verdicts(found, min_words).select(F.col("k").alias(there), F.col("drop").alias(drop), F.col("kept").alias(kept))
+    both = docs.withColumn(own, k).join(verdicts, F.col(own) == F.col(there), "left").drop(there)
+    both = stored(both.withColumn(drop, F.coalesce(drop, F.array().cast(_PLACES))))
+    return _without(both, docs.columns, text_col, own, drop, kept, removed_col)
 
 
-def _without(both: DataFrame, columns: list[str], text_col: str, removed_col: str | None) -> DataFrame:
-    text = F.col(text_col)
-    lines = both.filter("__drop is not null").select(F.split(text, "\n").alias("l"), F.explode(F.concat("__drop", "__kept")).alias("x"))
-    bytes_of = lines.select(F.col("x.h").alias("h"), F.get("l", F.col("x.i")).alias("line")).groupBy("h").agg(F.min("line").alias("a"), F.max("line").alias("b"))
+_PLACES = "array<struct<i:int,h:bigint>>"
+
+
+def _without(both: DataFrame, columns: list[str], text_col: str, own: str, drop: str, kept: str, removed_col: str | None) -> DataFrame:
+    text, gone = F.col(text_col), F.col(drop)
+    split = F.split(text, "\n")
+    # Every line that may go or stands for others, with its bytes.
+    lines = let(split, lambda ls: F.transform(F.concat(gone, F.coalesce(kept, F.array().cast(_PLACES))), lambda x: F.struct(x["h"].alias("h"), F.get(ls, x["i"]).alias("line"))))
+    bytes_of = both.filter(F.size(drop) + F.coalesce(F.size(kept), F.lit(0)) > 0).select(F.explode(lines).alias("x")).groupBy("x.h").agg(F.min("x.line").alias("a"), F.max("x.line").alias("b"))
     # Different lines of one 64-bit hash: none are expected, and a few among trillions of lines.
-    clash = [r.h for r in bytes_of.filter("a <> b").select("h").collect()]
-    gone = F.filter(F.coalesce("__drop", F.array().cast("array<struct<i:int,h:bigint>>")), lambda x: ~x["h"].isin(clash) if clash else F.lit(True))
-    both = both.withColumn("__gone", F.transform(gone, lambda x: x["i"]))
-    kept: Column = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    new = {text_col: F.when(F.size("__gone") > 0, kept).otherwise(text)}
-    out = both.withColumns(new)
-    if removed_col:
-        out = out.withColumn(removed_col, F.size("__gone").cast("long"))
-        columns = [*columns, removed_col]
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    clash = stored(bytes_of.filter("a <> b").select("h"))
+    if not clash.isEmpty():
+        fine = both.select(F.col(own).alias("k"), F.explode(drop).alias("x")).join(clash, F.col("x.h") == clash["h"], "left_anti")
+        fine = fine.groupBy("k").agg(F.collect_set("x").alias("fine"))
+        key, left = fresh("k"), fresh("fine")
+        both = both.join(fine.select(F.col("k").alias(key), F.col("fine").alias(left)), F.col(own) == F.col(key), "left")
+        gone = F.coalesce(F.col(left), F.array().cast(_PLACES))
+    rest = let(split, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform(gone, lambda x: x["i"])), lambda i: F.get(ls, i)))
+    new: Column = F.when(F.size(gone) > 0, F.array_join(rest, "\n")).otherwise(text)
+    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
+    return both.select(*out, *([F.size(gone).cast("long").alias(removed_col)] if removed_col else []))
