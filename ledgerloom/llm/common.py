@@ -30,14 +30,23 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    path = f"{shared_folder(df.sparkSession)}/ledgerloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ledgerloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out, path = _written(df)
     if _OPEN:
         _OPEN[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 @contextmanager
@@ -48,8 +57,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _OPEN.pop():
-            there = spark._jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+            _delete(spark, path)
+
+
+def in_turn(spark: SparkSession, docs: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``docs`` through steps, each on the rows that the one before wrote.
+
+    What a step stored for itself is deleted with its end, and its own rows
+    once the next step has written its.
+    """
+    before = None
+    for step in steps:
+        with scratch(spark):
+            docs, path = _written(step(docs))
+        if before:
+            _delete(spark, before)
+        before = path
+    return docs
 
 
 def fresh(name: str) -> str:
