@@ -1,39 +1,64 @@
 """Personal data to linked pseudonyms of the same format, in built-in functions alone.
 
 Numbers that pass their check (payment cards by Luhn, IPv4 octets, social
-security and phone shapes) and dates that exist are permuted by a keyed Feistel
-network over exactly their format: the digits of a number, the octets of an
-address, the days from 1900 to 2099.  A permutation gives equal values equal
-pseudonyms and different values different ones, in any document.  Cards keep a
-valid check digit, phones their country code, separators their places.  E-mail
+security numbers that can be issued, phone shapes) and dates that exist are
+permuted by a keyed Feistel network over exactly their format: the digits of a
+number, the octets of an address, the days from 1900 to 2099.  A permutation
+gives equal values equal pseudonyms and different values different ones, in any
+document.  Cards keep a valid check digit, phones their country code or leading
+zero, separators their places.  ``dd/mm`` is tried before ``mm/dd``; what can
+only be the latter is permuted among its like.  E-mail addresses, IPv6
 addresses and secrets have no fixed domain; they get a keyed hash in their own
-shape.
-
-Only texts with a digit or an at sign are searched, each as a whole.  Null and
-empty texts stay as they are; rows are treated one by one, so repeated rows and
-ties get the same result.
+shape.  Secrets are what follows a password's name, what follows a key's or
+token's name and has a digit, keys of known beginnings, and long hexadecimals.
+
+Each text is searched as a whole, however long, unless it has none of the signs
+that every shape needs (a digit, ``@``, ``:`` or ``=``).  Null and empty texts
+stay as they are; rows are treated one by one, so repeated rows and ties get
+the same result, and an empty table gives no rows.  Extra columns pass through
+``pseudonymised`` whatever their names.
 """
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import fresh
+
 # Shapes, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
+#: Where a run of digit groups ends for something of another shape.
+_OTHER = rf"(?!{_ADDRESS}|\d{{3}}-\d{{2}}-\d{{4}}(?!\d)|\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?!\d)|(?:19|20)\d\d-\d\d-\d\d(?!\d)|0\d{{2,4}}[ /-]\d{{6,8}}(?!\d))"
+_NAMED = r"(?i:passwords?|passwd|passphrase|pwd)(?:[\"']?: ?[\"']| = [\"']?|[\"']?[=:][\"']?)"
+_KEYED = r"(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|private[_-]?key|(?:auth|access)?[_-]?token)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+_KNOWN = r"(?:(?i:AKIA|ASIA)(?=[A-Za-z0-9]{16}(?![A-Za-z0-9]))|[spr]k[-_](?:(?:live|test|proj)[-_])?(?=[A-Za-z0-9_-]{16})|gh[pousr]_(?=[A-Za-z0-9]{30})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[A-Za-z0-9_-]{30})|eyJ(?=[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.))"
 SHAPES = {
+    "secret": rf"(?<![A-Za-z0-9])(?:{_NAMED}[^\s\"'<>]{{6,}}|{_KEYED}(?=[^\s\"'<>,;]*\d)[^\s\"'<>,;]{{8,}}|{_KNOWN}[A-Za-z0-9._-]*[A-Za-z0-9]|[0-9a-fA-F]{{32,}}(?![A-Za-z0-9]))",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:(?i:AKIA)[A-Za-z0-9]{16}|[0-9a-fA-F]{32,}|(?<=(?i:password)[=:])[^\s\"']{8,})(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "ip": rf"(?<![\d.]){_ADDRESS}",
-    "phone": rf"(?<![\d+])(?:\+\d{{1,3}}[ .-]?)(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?:[ .-](?!{_ADDRESS}))?\d{{2,4}}){{1,4}}(?!\d)|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)",
-    "card": rf"(?<![\d-])\d(?:(?:[ -](?!{_ADDRESS}))?\d){{12,18}}(?![\d-])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?=(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(?![\p{L}\p{N}:]))(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*[0-9])[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5}::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?)",
+    "phone": (
+        rf"(?<![\d+])(?:\+\d{{1,3}}[ .-]?)(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?:[ .-]{_OTHER})?\d{{2,4}}){{1,4}}(?!\d)"
+        r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.+/-])[2-9]\d\d[-.]\d{3}[-.]\d{4}(?![\d-]|\.\d)|(?<![\d.+/-])0[1-9]\d{1,3}[ /-]\d{6,8}(?![\d-]|\.\d)"
+    ),
+    "card": rf"(?<![\d-])\d(?:(?:[ -]{_OTHER})?\d){{12,18}}(?![\d-])",
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
+#: What begins a secret and stays.
+SECRET_HEAD = rf"^(?:{_NAMED}|{_KEYED}|{_KNOWN})"
+#: A sign that each shape has.
+SIGNS = "[0-9@:=]"
 ROUNDS = 10
 _DAYS = (17, 4297)  # their product: the days from 1900-01-01 to 2099-12-31
+#: Month and day of the dates that can't be read the other way round, of a year without a leap day.
+LATE = [d.strftime("%m/%d") for d in (date(1999, 1, 1) + timedelta(k) for k in range(365)) if d.day > 12]
+LEAP_YEARS = [y for y in range(1900, 2100) if y % 4 == 0 and y != 1900]
 
 
 def _prf(key: str, kind: Column, i: Column, value: Column, modulus: Column) -> Column:
@@ -104,17 +129,34 @@ def _digits(x: Column) -> Column:
 
 def _date(key: str, x: Column) -> Column:
     """A date of 1900 to 2099 in its own notation; null if there is no such day."""
-    out = F.lit(None).cast("string")
     base = F.lit("1900-01-01").cast("date")
-    for pattern in ("MM/dd/yyyy", "dd.MM.yyyy", "dd/MM/yyyy", "yyyy-MM-dd"):
+    of = lambda moved, use: F.get(F.transform(F.array(moved), use), F.lit(0))
+    # Month before day, where the day is above 12: by year and place in the year, leap days by year alone.
+    late, leap = F.array(*map(F.lit, LATE)), F.array(*map(F.lit, LEAP_YEARS))
+    year = F.substring(x, 7, 4).try_cast("int")
+    moved = feistel(key, F.lit("late"), year - 1900, F.array_position(late, F.substring(x, 1, 5)) - 1, F.lit(200), F.lit(len(LATE)))
+    out = of(moved, lambda m: F.concat(F.get(late, m["r"].cast("int")), F.lit("/"), (m["l"] + 1900).cast("string")))
+    place = F.array_position(leap, year) - 1
+    moved = feistel(key, F.lit("leap"), F.floor(place / 7), place % 7, F.lit(7), F.lit(7))
+    leap_day = of(moved, lambda m: F.concat(F.lit("02/29/"), F.get(leap, (m["l"] * 7 + m["r"]).cast("int")).cast("string")))
+    out = F.when(x.rlike(r"^(?:0[1-9]|1[0-2])/(?:1[3-9]|[23]\d)/"), F.when(F.array_contains(late, F.substring(x, 1, 5)), out).when(x.startswith("02/29") & (place >= 0), leap_day))
+    for pattern in ("dd.MM.yyyy", "dd/MM/yyyy", "yyyy-MM-dd"):
         day = F.try_to_timestamp(x, F.lit(pattern)).cast("date")
         k = F.datediff(day, base)
         moved = feistel(key, F.lit("date"), F.floor(k / _DAYS[1]), k % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]))
-        text = F.get(F.transform(F.array(moved), lambda m: F.date_format(F.date_add(base, (m["l"] * _DAYS[1] + m["r"]).cast("int")), pattern)), F.lit(0))  # noqa: B023
-        out = F.when(day.isNotNull(), text).otherwise(out)
+        out = F.when(day.isNotNull(), of(moved, lambda m: F.date_format(F.date_add(base, (m["l"] * _DAYS[1] + m["r"]).cast("int")), pattern))).otherwise(out)  # noqa: B023
     return out
 
 
+def _ssn(key: str, x: Column) -> Column:
+    """A number that can be issued to another such: areas but 000, 666 and 900 on, groups but 00, serials but 0000."""
+    part = lambda i: F.split_part(x, F.lit("-"), F.lit(i)).cast("long")
+    area = part(1) - F.when(part(1) > 666, 2).otherwise(1)
+    moved = feistel(key, F.lit("ssn"), area * 99 + part(2) - 1, part(3) - 1, F.lit(898 * 99), F.lit(9999))
+    three = lambda a: a + F.when(a >= 665, 2).otherwise(1)
+    return F.get(F.transform(F.array(moved), lambda m: F.concat_ws("-", F.lpad(three(F.floor(m["l"] / 99)).cast("string"), 3, "0"), F.lpad((m["l"] % 99 + 1).cast("string"), 2, "0"), F.lpad((m["r"] + 1).cast("string"), 4, "0"))), F.lit(0))
+
+
 def _ip(key: str, x: Column) -> Column:
     o = lambda i: F.split_part(x, F.lit("."), F.lit(i)).cast("long")
     moved = feistel(key, F.lit("ip"), o(1) * 256 + o(2), o(3) * 256 + o(4), F.lit(65536), F.lit(65536))
@@ -144,26 +186,21 @@ def _hashed(key: str, kind: str, x: Column) -> Column:
 
 
 def kind_of(x: Column) -> Column:
-    """The kind of a match; null if it fails its check."""
-    whole = {k: x.rlike(f"^(?:{p})$") for k, p in SHAPES.items() if k not in ("secret", "card", "date")}
-    real_date = x.rlike(r"^(?:\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4})$")
-    days = F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy")])
-    card = x.rlike(r"^\d(?:[ -]?\d){12,18}$")
-    return (
-        F.when(whole["email"], F.lit("email"))
-        .when(real_date, F.when(days.isNotNull(), F.lit("date")))
-        .when(whole["ssn"], F.lit("ssn"))
-        .when(whole["ip"], F.lit("ip"))
-        .when(card, F.when(card_in(x).isNotNull(), F.lit("card")))
-        .when(x.rlike(r"^(?:\+\d|\(\d{3}\))"), F.lit("phone"))
-        .otherwise(F.lit("secret"))
-    )
+    """The kind of a match: that of the first shape it has as a whole; null if it fails its check."""
+    out = F.when(F.lit(False), F.lit(""))
+    for kind, shape in SHAPES.items():
+        # What a shape wants around a match isn't there any more; cards, dates and known kinds are told by what they are.
+        out = out.when(x.rlike(f"^(?:{shape})$"), F.when(card_in(x).isNotNull(), F.lit(kind)) if kind == "card" else F.when(_day(x).isNotNull(), F.lit(kind)) if kind == "date" else F.lit(kind))
+    return out
+
+
+def _day(x: Column) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(p)) for p in ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy")])
 
 
 def pseudonym(key: str, kind: Column, x: Column) -> Column:
     """What stands for a match; a match without a kind stays."""
-    digits = _digits(x)
-    country = F.regexp_extract(x, r"^(\+\d{1,3}(?=\D))?", 1)
+    country = F.regexp_extract(x, r"^(\+\d{1,3}(?=\D)|0)?", 1)
     local = F.substring(x, F.length(country) + 1, F.length(x))
 
     def card_of(run: Column) -> Column:
@@ -175,13 +212,18 @@ def pseudonym(key: str, kind: Column, x: Column) -> Column:
         return F.concat(F.substring(x, F.lit(1), at - 1), new, F.substring(x, at + F.length(run), F.length(x)))
 
     card = F.get(F.transform(F.array(card_in(x)), card_of), F.lit(0))
-    long_hash = F.repeat(_hashed(key, "secret", x), F.ceil(F.length(x) / 64).cast("int"))
-    secret = F.when(x.rlike("^(?i:AKIA)"), F.concat(F.substring(x, 1, 4), F.upper(F.substring(_hashed(key, "secret", x), 1, 16)))).otherwise(F.substring(long_hash, F.lit(1), F.length(x)))
+    head = F.regexp_extract(x, SECRET_HEAD, 0)
+    value = F.substring(x, F.length(head) + 1, F.length(x))
+    hashed = F.substring(F.repeat(_hashed(key, "secret", value), F.ceil(F.length(x) / 64).cast("int")), F.lit(1), F.length(value))
+    secret = F.concat(head, F.when(x.rlike("^(?i:AKIA|ASIA)"), F.upper(hashed)).otherwise(hashed))
+    shape = F.lower(x)
+    ipv6 = F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(_hashed(key, "ipv6", shape), i + 1, F.lit(1)))), "")
     return (
         F.when(kind == "email", F.concat(F.lit("u"), F.substring(_hashed(key, "email", F.lower(x)), 1, 12), F.lit("@example.invalid")))
         .when(kind == "date", _date(key, x))
-        .when(kind == "ssn", _refilled(x, permuted_digits(key, "ssn", digits)))
+        .when(kind == "ssn", _ssn(key, x))
         .when(kind == "ip", _ip(key, x))
+        .when(kind == "ipv6", ipv6)
         .when(kind == "card", card)
         .when(kind == "phone", F.concat(country, _refilled(local, permuted_digits(key, "phone", _digits(local)))))
         .when(kind == "secret", secret)
@@ -192,19 +234,20 @@ def pseudonym(key: str, kind: Column, x: Column) -> Column:
 def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in the text; ``count_col`` names a struct with the number of each kind, if wanted."""
     text = F.col(text_col)
-    docs = docs.withColumn("__found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    docs = docs.withColumn("__kinds", F.transform("__found", kind_of))
-    new = F.zip_with("__found", "__kinds", lambda x, k: F.when(k.isNull(), x).otherwise(pseudonym(key, k, x)))
-    docs = docs.withColumn("__new", F.when(F.size("__found") > 0, new))
-    parts = F.zip_with(F.split(text, ANY), "__new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    out = docs.withColumn(text_col, F.when(F.col("__new").isNotNull(), F.array_join(parts, "")).otherwise(text))
-    if count_col:
-        n = lambda k: F.size(F.filter(F.coalesce("__kinds", F.array().cast("array<string>")), lambda x: x == k)).cast("long")
-        out = out.withColumn(count_col, F.struct(*[n(k).alias(k) for k in SHAPES]))
-    return out.drop("__found", "__kinds", "__new")
+    found, kinds, new = fresh("found"), fresh("kinds"), fresh("new")
+    rows = docs.withColumn(found, F.when(text.rlike(SIGNS), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn(kinds, F.transform(found, kind_of))
+    made = F.zip_with(found, kinds, lambda x, k: F.when(k.isNull(), x).otherwise(pseudonym(key, k, x)))
+    rows = rows.withColumn(new, F.when(F.size(found) > 0, made))
+    parts = F.zip_with(F.split(text, ANY), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    changed = F.when(F.col(new).isNotNull(), F.array_join(parts, "")).otherwise(text)
+    out = [changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    n = lambda k: F.size(F.filter(F.coalesce(kinds, F.array().cast("array<string>")), lambda x: x == k)).cast("long")
+    return rows.select(*out, *([F.struct(*[n(k).alias(k) for k in SHAPES]).alias(count_col)] if count_col else []))
 
 
 def pii_report(docs: DataFrame, key: str) -> DataFrame:
     """One row per document: ``doc_id``, the new ``text`` and how many of each kind it had."""
-    out = pseudonymised(docs.select("doc_id", "text"), key, count_col="__n")
-    return out.select("doc_id", "text", *[F.col(f"__n.{k}").alias(f"n_{k}") for k in SHAPES])
+    counts = fresh("n")
+    out = pseudonymised(docs.select("doc_id", "text"), key, count_col=counts)
+    return out.select("doc_id", "text", *[F.col(f"{counts}.{k}").alias(f"n_{k}") for k in SHAPES])

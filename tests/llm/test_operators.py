@@ -405,6 +405,37 @@ def test_pii_of_neighbouring_numbers(spark):
     assert out[8] == " ".join([c[:4], c[4:8], c[8:12], c[12:], "123"]) and out[9] == f"{c}-12 x"
 
 
+def test_pii_of_secrets_phones_and_addresses(spark):
+    cases = {  # text: what must be gone, with its kind
+        "password=correcthorsebattery": ("correcthorsebattery", "secret"), "password=+1supersecretword": ("supersecretword", "secret"), "password=(123)secretletters": ("secretletters", "secret"),
+        'pwd: "abcdefg"': ("abcdefg", "secret"), "api_key=sk_live_abcdEFGH12345678 x": ("abcdEFGH12345678", "secret"), "a sk-abcdefghijklmnop1234 b": ("abcdefghijklmnop1234", "secret"), "token=abc123def456": ("abc123def456", "secret"),
+        "call 555-123-4567 now": ("123-4567", "phone"), "call 0171 5557713 now": ("5557713", "phone"), "ip 2001:db8::ff00:42:8329 x": ("2001:db8", "ipv6"), "fe80:0:0:0:200:f8ff:fe21:67cf": ("f8ff", "ipv6"), "ssn 123-45-6789": ("123-45-6789", "ssn"),
+        "4417744280351547 555-123-4567": ("123-4567", "phone"), "000-00-0000 123-45-6789": ("123-45-6789", "ssn"), "12/31/1999": ("12/31/1999", "date"), "02/29/2000": ("02/29/2000", "date"),
+    }
+    same = ["ssn 000-00-0000", "02/29/1999", "13/13/2000", "The secret: patience. token: value, password: please", "at 12:30:45 std::vector a::b", "version 1.2.3 price 100.00", "x=1 y:2 z@w"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*cases, *same])]
+    out = {r.doc_id: r for r in pii.pii_report(frame(spark, rows).withColumn("__found", F.lit(7)), "k").collect()}
+    for i, (text, (gone, kind)) in enumerate(cases.items()):
+        assert gone not in out[i].text and out[i][f"n_{kind}"] == 1 and len(out[i].text) == len(text), text
+    assert [out[len(cases) + k].text for k in range(len(same))] == same
+    kept = pii.pseudonymised(frame(spark, rows).withColumn("__found", F.lit(7)), "k")
+    assert kept.columns[-1] == "__found" and {r["__found"] for r in kept.collect()} == {7}
+    long = " ".join(f"word{k} a{k}@b.example" for k in range(4000))
+    assert pii.pii_report(frame(spark, [(1, long, None, None, 1)]), "k").first().n_email == 4000
+
+
+def test_dates_and_numbers_of_one_notation_stay_apart(spark):
+    from datetime import date, timedelta
+
+    days = [date(1990, 1, 1) + timedelta(k) for k in range(4000)]
+    texts = sorted({f"{d:%d/%m/%Y}" for d in days} | {f"{d:%m/%d/%Y}" for d in days})
+    got = [r.p for r in spark.createDataFrame([(t,) for t in texts], "d string").select(pii._date("k", F.col("d")).alias("p")).collect()]
+    assert None not in got and len(set(got)) == len(texts)
+    ssn = [f"{a:03}-{g:02}-{n:04}" for a in (1, 665, 667, 899) for g in (1, 99) for n in range(1, 9999, 500)]
+    got = [r.p for r in spark.createDataFrame([(t,) for t in ssn], "d string").select(pii._ssn("k", F.col("d")).alias("p")).collect()]
+    assert len(set(got)) == len(ssn) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in got)
+
+
 def test_feistel_permutes(spark):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = [r.p for r in digits.select(pii.permuted_digits("key", "t", F.col("d")).alias("p")).collect()]
