@@ -1,11 +1,12 @@
 """Personal data to linked pseudonyms of the same format, in built-in functions alone.
 
-Numbers that pass their check (payment cards by Luhn, IPv4 octets, social
+Numbers that pass their check (payment cards by issuer and Luhn, IPv4 octets, social
 security numbers that can be issued, phone shapes) and dates that exist are
 permuted by a keyed Feistel network over exactly their format: the digits of a
 number, the octets of an address, the days from 1900 to 2099.  A permutation
 gives equal values equal pseudonyms and different values different ones, in any
-document.  Cards keep a valid check digit, phones their country code or leading
+document.  Cards keep their issuer's two
+digits and a valid check digit, phones their country code or leading
 zero, separators their places.  ``dd/mm`` is tried before ``mm/dd``; what can
 only be the latter is permuted among its like.  E-mail addresses, IPv6
 addresses and secrets have no fixed domain; they get a keyed hash in their own
@@ -50,6 +51,8 @@ SHAPES = {
     "card": rf"(?<![\d-])\d(?:(?:[ -]{_OTHER})?\d){{12,18}}(?![\d-])",
 }
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
+#: Beginnings and lengths of card numbers that are issued.
+ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12}|35\d{14,17}|6\d{15,18})$"
 #: What begins a secret and stays.
 SECRET_HEAD = rf"^(?:{_NAMED}|{_KEYED}|{_KNOWN})"
 #: A sign that each shape has.
@@ -170,7 +173,7 @@ def card_in(x: Column) -> Column:
     def valid(y: Column) -> Column:
         d = _digits(y)
         n = F.length(d)
-        return n.between(13, 19) & (_check_digit(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1)))
+        return d.rlike(ISSUED) & (_check_digit(F.substring(d, F.lit(1), n - 1)) == F.substring(d, n, F.lit(1)))
 
     n = F.length(x)
     places = F.sequence(F.lit(1), n)
@@ -206,7 +209,7 @@ def pseudonym(key: str, kind: Column, x: Column) -> Column:
     def card_of(run: Column) -> Column:
         """The match with its card replaced."""
         d = _digits(run)
-        new_payload = permuted_digits(key, "card", F.substring(d, F.lit(1), F.length(d) - 1))
+        new_payload = F.concat(F.substring(d, 1, 2), permuted_digits(key, "card", F.substring(d, F.lit(3), F.length(d) - 3)))
         new = F.get(F.transform(F.array(new_payload), lambda p: _refilled(run, F.concat(p, _check_digit(p)))), F.lit(0))
         at = F.instr(x, run)
         return F.concat(F.substring(x, F.lit(1), at - 1), new, F.substring(x, at + F.length(run), F.length(x)))
