@@ -1,15 +1,25 @@
-"""Quality scores by co-training two views of a document.
-
-The content view is the mean weight of a text's hashed words, their shapes and
-pairs of shapes; the page view knows no words: language, source, length and
-layout (lines, shares of capitals, digits, marks, spaces, repeated words).  Each
-view learns from labelled rows, then labels the rows of an unlabelled pool that
-it is sure of for the other view, round after round.  Both are calibrated on
-labelled rows kept apart, and their mean log odds score every document.
-
-The labelled rows and the pool are bounded samples (``per_class``, ``pool``);
-every document is scored on its whole text.  Null and empty texts are scored as
-empty, unknown languages and sources add nothing, repeated rows agree.
+"""Quality scores by co-training two separate views of a document.
+
+The content view reads the text alone: the mean weight of its hashed words,
+their shapes and pairs of shapes, and what its characters and lines are like.  The metadata view never sees the text: it
+knows language, source and the order of magnitude of the stated length.  Each
+view learns from labelled rows.  Then, round after round, both score every
+unlabelled document in a Spark pass, and what a view is sure of is taught to the
+other: ``each`` rows of each class at most, drawn by hash from all that are
+sure.  Both views are calibrated on labelled rows kept apart; a document's score
+multiplies their odds (each against the classes' own), so a view that knows
+nothing changes nothing.
+
+Only the rows that a fit reads are bounded samples (``per_class`` labelled rows
+and ``each`` taught ones of each class); one row of each id is chosen before it
+is collected, as counts of hashed features, whose size is bounded whatever the
+text's length.  Where all documents have labels, those not learnt from take part
+as unlabelled ones.  Every document is scored on its whole text.
+
+Null and empty texts are scored as empty; nulls in metadata and values not met
+in the fit add nothing.  Repeated rows agree, ids may have any type and may be
+null, an empty table gives no rows, without labels every score is a half, and
+columns other than those named don't reach the result.
 """
 
 from __future__ import annotations
@@ -21,17 +31,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import stored
 from ledgerloom.llm.toxicity import fold
 
-BITS = 15
-LAYOUT = 12
-HASHED = 32
+BITS, HASHED = 15, 256
 RUNS = (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+"))
 TABLE_WORDS = 300_000
 
+LAYOUT = 12
+
+#: Places and counts of a text's hashed features, and its layout.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
 def shape(token: str) -> str:
     for run, mark in zip(RUNS, "Xx9", strict=True):
@@ -39,166 +53,246 @@ def shape(token: str) -> str:
     return token[:12]
 
 
-class Tokens(dict):
-    """Token to the places of its word and its shape."""
+class Tokens:
+    """Texts to places of the content view's features; remembers those of words."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > TABLE_WORDS:
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.at = np.empty((1024, 2), np.int64)
+
+    def _add(self, token: str) -> int:
+        i = self.ids[token] = len(self.ids)
+        if i == len(self.at):
+            self.at = np.concatenate([self.at, np.empty_like(self.at)])
+        self.at[i] = (xxhash.xxh32_intdigest(token.lower()) >> (32 - BITS), xxhash.xxh32_intdigest("shape " + shape(token)) >> (32 - BITS))
+        return i
+
+    def places(self, text: str | None) -> np.ndarray:
+        """Places of the features, repeats included."""
+        words = text.split() if text else []
+        if not words:
+            return np.zeros(1, np.int64)
+        if len(self.ids) > TABLE_WORDS:
             self.clear()
-        kind = shape(token)
-        found = self[token] = (xxhash.xxh32_intdigest(token.lower()) >> (32 - BITS), xxhash.xxh32_intdigest("shape " + kind) >> (32 - BITS))
-        return found
+        get, add = self.ids.get, self._add
+        rows = np.fromiter((add(w) if (i := get(w)) is None else i for w in words), np.int64, len(words))
+        at = self.at[rows]
+        pairs = (at[:-1, 1] * 31 + at[1:, 1] * 17 + 7) & ((1 << BITS) - 1)
+        return np.concatenate([at.ravel(), pairs])
 
 
-def content(text: str | None, tokens: Tokens) -> np.ndarray:
-    """Places of the content view's features, repeats included."""
-    words = text.split() if text else []
-    if not words:
-        return np.zeros(1, np.int32)
-    at = np.array([tokens[w] for w in words], np.int32)
-    pairs = (at[:-1, 1] * 31 + at[1:, 1] * 17 + 7) & ((1 << BITS) - 1)
-    return np.concatenate([at.ravel(), pairs])
-
-
-def page(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    """The page view: layout shares, then hashed language and source."""
-    out = np.zeros(LAYOUT + HASHED)
+def layout(text: str | None) -> np.ndarray:
+    """Shares of kinds of characters, of lines and of repeated words."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    n = max(1, len(raw))
-    count = np.bincount(raw, minlength=256)
+    n, count = max(1, len(raw)), np.bincount(raw, minlength=256)
     words = text.split() if text else []
     marks = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
     lines = int(count[10]) + 1
-    out[:LAYOUT] = (
+    return np.array((
         np.log1p(len(words)) / 5, np.log1p(lines) / 3, np.log1p(len(words) / lines) / 4, count[65:91].sum() / n * 3, count[48:58].sum() / n * 5, marks / n * 3,
         count[124] / n * 20, count[33] / n * 20, (count[35:39].sum() + count[42]) / n * 10, count[32] / n * 3, len(set(words)) / max(1, len(words)), len(words) < 20,
-    )
-    for kind, value in (("lang", lang), ("source", source)):
-        if value is not None:
-            out[LAYOUT + xxhash.xxh32_intdigest(f"{kind} {value}") % HASHED] = 0.3
-    return out
+    ), np.float64)
+
+
+def _p(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Content:
-    """Logistic regression on mean feature weights."""
+    """Logistic regression on mean feature weights and the layout."""
 
     def __init__(self) -> None:
-        self.w, self.b = np.zeros(1 << BITS), 0.0
+        self.w, self.v, self.b = np.zeros(1 << BITS), np.zeros(LAYOUT), 0.0
 
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(r) for r in rows])
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        return np.bincount(doc, self.w[np.concatenate(rows)], len(rows)) / sizes + self.b
+    def logits(self, rows: list[Counts]) -> np.ndarray:
+        return np.array([float(self.w[at] @ n) / n.sum() + float(self.v @ x) for at, n, x in rows]) + self.b
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.5, l2: float = 1e-6) -> None:
-        sizes = np.array([len(r) for r in rows])
-        at, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-        m, v = np.zeros_like(self.w), np.zeros_like(self.w)
+    def fit(self, rows: list[Counts], y: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.5, l2: float = 1e-6) -> None:
+        doc = np.repeat(np.arange(len(rows)), [len(at) for at, *_ in rows])
+        at, dense = np.concatenate([at for at, *_ in rows]), np.array([x for *_, x in rows])
+        part = np.concatenate([n / n.sum() for _, n, _ in rows])
+        size = len(self.w)
+        m, v = np.zeros(size + LAYOUT), np.zeros(size + LAYOUT)
         for k in range(1, steps + 1):
-            z = np.bincount(doc, self.w[at], len(rows)) / sizes + self.b
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-            grad = np.bincount(at, (g / sizes)[doc], len(self.w)) + l2 * self.w
+            g = (_p(np.bincount(doc, self.w[at] * part, len(rows)) + dense @ self.v + self.b) - y) * weight
+            grad = np.concatenate([np.bincount(at, g[doc] * part, size) + l2 * self.w, g @ dense + l2 * self.v])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            self.w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-7)
+            step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-7)
+            self.w -= step[:size]
+            self.v -= step[size:]
             self.b -= g.sum()
 
 
-class Page:
-    """Logistic regression on the page view, by Newton steps."""
+#: What the metadata view knows of a document.
+Meta = tuple[str | None, str | None, int | None]
 
-    def __init__(self) -> None:
-        self.w = np.zeros(LAYOUT + HASHED + 1)
 
-    @staticmethod
-    def _wide(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x, np.ones((len(x), 1))], axis=1)
+class Metadata:
+    """Logistic regression on hashed language, source and magnitude of length, by Newton steps."""
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return self._wide(x) @ self.w
+    def __init__(self) -> None:
+        self.w = np.zeros(HASHED + 1)
+        self.seen: dict[Meta, float] = {}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 12, l2: float = 1e-3) -> None:
-        x = self._wide(x)
+    @staticmethod
+    def row(meta: Meta) -> np.ndarray:
+        out = np.zeros(HASHED + 1)
+        out[-1] = 1.0
+        for kind, value in zip(("lang", "source", "length"), meta, strict=True):
+            if value is not None:
+                out[xxhash.xxh32_intdigest(f"{kind} {value}") % HASHED] += 1.0
+        return out
+
+    def logits(self, rows: list[Meta]) -> np.ndarray:
+        if len(self.seen) > TABLE_WORDS:
+            self.seen.clear()
+        for r in set(rows) - self.seen.keys():
+            self.seen[r] = float(self.row(r) @ self.w)
+        return np.array([self.seen[r] for r in rows])
+
+    def fit(self, rows: list[Meta], y: np.ndarray, weight: np.ndarray, steps: int = 12, l2: float = 3.0) -> None:
+        x = np.array([self.row(r) for r in rows])
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
+            p = _p(x @ self.w)
             h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + l2 * np.eye(x.shape[1])
             self.w -= np.linalg.solve(h, x.T @ ((p - y) * weight) + l2 * self.w)
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and offset that make logits probabilities."""
+    """Scale (0 or more) and offset that make logits probabilities."""
     a, b = 1.0, 0.0
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        a = max(0.05, a - 0.5 * float(((p - y) * z).mean() + 1e-3 * (a - 1)) / max(1.0, float((z**2).mean())))
+    for _ in range(300):
+        p = _p(a * z + b)
+        a = max(0.0, a - 0.5 * float(((p - y) * z).mean() + 1e-3 * a) / max(1.0, float((z**2).mean())))
         b -= 0.5 * float((p - y).mean())
     return a, b
 
 
-def co_train(texts: list[np.ndarray], pages: np.ndarray, y: np.ndarray, pool_texts: list[np.ndarray], pool_pages: np.ndarray, rounds: int = 3, sure: float = 0.97, each: int = 300) -> tuple[Content, Page, tuple[float, float], tuple[float, float]]:
-    """Fit both views; every fourth labelled row is kept for calibration."""
-    apart = np.arange(len(y)) % 4 == 3
-    learn, test = np.flatnonzero(~apart), np.flatnonzero(apart)
-    taught: list[dict[int, float]] = [{}, {}]  # pool rows that each view has been given, with their labels
-    content_view, page_view = Content(), Page()
-    for k in range(rounds + 1):
-        content_view, page_view = Content(), Page()
-        for view, rows, pool, given in ((content_view, texts, pool_texts, taught[0]), (page_view, pages, pool_pages, taught[1])):
-            extra = list(given)
-            target = np.concatenate([y[learn], np.array([given[i] for i in extra])])
-            weight = np.where(target == 1, 0.5 / max(1, (target == 1).sum()), 0.5 / max(1, (target == 0).sum()))
-            if isinstance(view, Content):
-                view.fit([rows[i] for i in learn] + [pool[i] for i in extra], target, weight)
-            else:
-                view.fit(np.concatenate([rows[learn], pool[extra]]) if extra else rows[learn], target, weight * len(target))
-        if k == rounds or not len(pool_pages):
-            break
-        for view, pool, other in ((content_view, pool_texts, taught[1]), (page_view, pool_pages, taught[0])):
-            p = 1 / (1 + np.exp(-np.clip(view.logits(pool), -30, 30)))
-            for label, order in ((1.0, np.argsort(-p, kind="stable")), (0.0, np.argsort(p, kind="stable"))):
-                picked = [int(i) for i in order[: len(other) + each] if (p[i] >= sure if label else p[i] <= 1 - sure) and int(i) not in other][:each]
-                other.update(dict.fromkeys(picked, label))
-    checks = [_platt(content_view.logits([texts[i] for i in test]), y[test]), _platt(page_view.logits(pages[test]), y[test])] if len(test) else [(1.0, 0.0)] * 2
-    return content_view, page_view, checks[0], checks[1]
-
-
-def _samples(docs: DataFrame, labels: DataFrame, per_class: int, pool: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Labelled rows outside the held-out part, and unlabelled ones; both chosen by hash and bounded."""
-    order = F.xxhash64(F.col("doc_id"), F.lit(9))
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    usable = known.filter(fold(F.col("doc_id")) != 1)
-    picked = usable.filter("y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(usable.filter("y = 0").orderBy(order, "doc_id").limit(per_class))
-    rest = docs.select("doc_id").filter("doc_id is not null").join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool)
-    every = picked.unionByName(rest.select("doc_id", F.lit(-1).alias("y")))
-    # At most 2 * per_class + pool ids are broadcast and as many texts come back.
-    found = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(every), "doc_id").withColumn("h", order).toPandas()
-    found = found.sort_values(["h", "doc_id", "text"]).drop_duplicates("doc_id")
-    return found[found.y >= 0], found[found.y < 0]
+def _balanced(y: np.ndarray) -> np.ndarray:
+    return np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+
+
+class Taught:
+    """Rows that a view learns from: those labelled and those that the other view was sure of."""
+
+    def __init__(self, rows: list, y: np.ndarray):
+        self.rows, self.y = list(rows), list(y)
+
+    def add(self, rows: list, label: int) -> None:
+        self.rows += rows
+        self.y += [label] * len(rows)
+
+    def fitted(self, view: Content | Metadata) -> Content | Metadata:
+        y = np.array(self.y, float)
+        if len(y):
+            view.fit(self.rows, y, _balanced(y) * (len(y) if isinstance(view, Metadata) else 1))
+        return view
+
+
+def _meta(docs: DataFrame, lang_col: str, source_col: str, length_col: str | None) -> list[Column]:
+    """Language, source and magnitude of the length, as columns of their own names."""
+    length = F.floor(2 * F.log1p(F.greatest(F.col(length_col), F.lit(0)).cast("double"))) if length_col else F.lit(None)
+    return [F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), length.cast("long").alias("length")]
+
+
+def _metas(d: pd.DataFrame) -> list[Meta]:
+    whole = lambda s: [None if pd.isna(x) else x for x in s]
+    return list(zip(whole(d["lang"]), whole(d["source"]), [None if pd.isna(x) else int(x) for x in d["length"]], strict=True))
+
+
+def counted(text: Column) -> Column:
+    """Places and counts of a text's features."""
+
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens()
+        for batch in texts:
+            found = [np.unique(tokens.places(t), return_counts=True) for t in batch]
+            yield pd.DataFrame({"places": [a.astype(np.int32) for a, _ in found], "counts": [n.astype(np.int32) for _, n in found], "layout": [layout(t) for t in batch]})
+
+    return F.pandas_udf(of, "places array<int>, counts array<int>, layout array<double>")(text)
+
+
+def _collected(rows: DataFrame, picked: DataFrame) -> pd.DataFrame:
+    """The picked ids (a bounded number) with one row's metadata and feature counts each."""
+    found = rows.join(F.broadcast(picked), "doc_id")
+    kept = [c for c in found.columns if c != "doc_id"]
+    one = found.groupBy("doc_id").agg(F.min_by(F.struct(*kept), F.xxhash64("text", "lang", "source", "length")).alias("r")).select("doc_id", "r.*")
+    out = one.select("doc_id", "lang", "source", "length", *[c for c in kept if c == "y"], counted(F.col("text")).alias("f")).withColumn("h", F.xxhash64("doc_id", F.lit(9))).toPandas()
+    return out.sort_values("h", kind="stable")
+
+
+def _counts(d: pd.DataFrame) -> list[Counts]:
+    return [(np.asarray(f["places"], np.int64), np.asarray(f["counts"], np.float64), np.asarray(f["layout"], np.float64)) for f in d["f"]]
 
 
 _WORKER: dict[str, Tokens] = {}
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, per_class: int = 1000, pool: int = 1500, threshold: float = 0.5, **fit: float) -> DataFrame:
-    """One row per document: ``held_out``, the two views' scores, ``score`` and ``kept``."""
-    known, unknown = _samples(docs, labels, per_class, pool)
-    tokens = Tokens()
-    views = lambda d: ([content(t, tokens) for t in d.text], np.array([page(*r) for r in zip(d.text, d.lang, d.source, strict=True)]).reshape(-1, LAYOUT + HASHED))
-    c, p, cal_c, cal_p = co_train(*views(known), known.y.to_numpy(float), *views(unknown), **fit) if len(known) else (Content(), Page(), (1.0, 0.0), (1.0, 0.0))
-    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((c.w.astype(np.float32), c.b, p.w, cal_c, cal_p))
-
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        view, other = Content(), Page()
-        view.w, view.b, other.w, (a, b), (e, f) = sent.value
+def _scorer(docs: DataFrame, views: tuple[Content, Metadata]) -> object:
+    """A function of text, lang, source and length to both views' logits."""
+    content, meta = views
+    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((content.w.astype(np.float32), content.v, content.b, meta.w))
+
+    @F.pandas_udf("content double, meta double")
+    def logits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        w, v, b, known = sent.value
+        other = Metadata()
+        other.w = known
         if key not in _WORKER:
+            tokens = next(iter(_WORKER.values()), None) or Tokens()
             _WORKER.clear()
-            _WORKER[key] = Tokens()
-        known_tokens = _WORKER[key]
-        for texts, langs, sources in batches:
-            z = a * np.array([view.w[content(t, known_tokens)].mean() + view.b for t in texts]) + b
-            y = e * other.logits(np.array([page(*r) for r in zip(texts, langs, sources, strict=True)]).reshape(-1, LAYOUT + HASHED)) + f
-            s = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            yield pd.DataFrame({"content_score": s(z), "page_score": s(y), "score": s((z + y) / 2)})
-
-    scored = F.pandas_udf(score, "content_score double, page_score double, score double")
-    out = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), scored("text", "lang", "source").alias("s"))
-    return out.select("doc_id", "held_out", "s.*").withColumn("kept", F.col("score") >= threshold)
+            _WORKER[key] = tokens
+        tokens = _WORKER[key]
+        for texts, langs, sources, lengths in batches:
+            rows = _metas(pd.DataFrame({"lang": langs, "source": sources, "length": lengths}))
+            yield pd.DataFrame({"content": np.array([float(w[tokens.places(t)].mean()) + float(v @ layout(t)) for t in texts]) + b, "meta": other.logits(rows)})
+
+    return logits
+
+
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", length_col: str | None = "n_chars", label_col: str = "quality",
+    per_class: int = 1000, rounds: int = 2, each: int = 300, sure: float = 0.97, threshold: float = 0.5,
+) -> DataFrame:
+    """One row per document: ``held_out``, the two views' scores, ``score`` and ``kept``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *_meta(docs, lang_col, source_col, length_col))
+    order = F.xxhash64(F.col("doc_id"), F.lit(9))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+    usable = known.filter(fold(F.col("doc_id")) != 1)
+    picked = stored(usable.filter("y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(usable.filter("y = 0").orderBy(order, "doc_id").limit(per_class)))
+    learnt = _collected(rows, picked)
+    y, apart = learnt["y"].to_numpy(float), np.arange(len(learnt)) % 4 == 3
+    counts, metas = _counts(learnt), _metas(learnt)
+    some = lambda x, where: [v for v, w in zip(x, where, strict=True) if w]
+    contents, metadata = Taught(some(counts, ~apart), y[~apart]), Taught(some(metas, ~apart), y[~apart])
+    views = contents.fitted(Content()), metadata.fitted(Metadata())
+    free = rows.filter("doc_id is not null").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti")
+    given: set = set()
+    for _ in range(rounds if len(learnt) else 0):
+        scored = stored(free.select("doc_id", "lang", "source", "length", _scorer(docs, views)("text", "lang", "source", "length").alias("z")).select("*", "z.*", order.alias("h")).drop("z"))
+        limit = float(np.log(sure / (1 - sure)))
+        for label, sign in ((1, 1.0), (0, -1.0)):
+            # Bounded draws from all rows that a view is sure of; ids that were taught before are not taught again.
+            told = scored.filter(sign * F.col("content") >= limit).orderBy("h", "doc_id").limit(each).select("doc_id", "lang", "source", "length").toPandas()
+            new = ~told["doc_id"].map(lambda i: ("meta", i) in given).to_numpy(bool)
+            metadata.add(some(_metas(told), new), label)
+            given |= {("meta", i) for i in told["doc_id"]}
+            ids = scored.filter(sign * F.col("meta") >= limit).orderBy("h", "doc_id").limit(each).select("doc_id").distinct()
+            told = _collected(rows, ids)
+            new = ~told["doc_id"].map(lambda i: ("content", i) in given).to_numpy(bool)
+            contents.add(some(_counts(told), new), label)
+            given |= {("content", i) for i in told["doc_id"]}
+        views = contents.fitted(Content()), metadata.fitted(Metadata())
+    content, meta = views
+    fits = (_platt(content.logits(some(counts, apart)), y[apart]), _platt(meta.logits(some(metas, apart)), y[apart])) if apart.any() else ((1.0, 0.0), (1.0, 0.0))
+    share = min(max(float(y[apart].mean()), 1e-3), 1 - 1e-3) if apart.any() else 0.5
+    prior = float(np.log(share / (1 - share)))
+    (a, b), (c, d) = fits
+    odds = lambda x: 1 / (1 + F.exp(-x))
+    out = rows.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), _scorer(docs, views)("text", "lang", "source", "length").alias("z"))
+    x, y_ = a * F.col("z.content") + b, c * F.col("z.meta") + d
+    out = out.select("doc_id", "held_out", odds(x).alias("content_score"), odds(y_).alias("page_score"), odds(x + y_ - prior).alias("score"))
+    return out.withColumn("kept", F.col("score") >= threshold)
