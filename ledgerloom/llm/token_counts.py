@@ -5,9 +5,12 @@ start, and no line feed.  So no merge crosses the place before a run of spaces
 or around a line feed, and the count of a text is the sum over its pre-tokens:
 a run of spaces (the model sets one before the text) with what follows, or a
 line feed with what follows.  Lengths of frequent pre-tokens are broadcast; the
-others are encoded once per worker and remembered.  Nothing is shuffled.
+others are encoded once per worker and remembered.  Nothing is shuffled: the
+frequent ones are tallied on the driver, over a sample of bounded size.
 
-Null and empty texts have no tokens.  Repeated rows are counted row by row.
+Null and empty texts have no tokens; very long ones are counted whole, pre-token
+by pre-token.  Repeated rows are counted row by row, ids may have any type, an
+empty table gives no rows, and columns other than id and text are left out.
 """
 
 from __future__ import annotations
@@ -64,33 +67,21 @@ def count(text: str | None, lengths: Lengths) -> int:
 _WORKER: dict[str, Lengths] = {}
 
 
-def token_counts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, sample_rows: int = 10_000, frequent: int = 50_000, seed: int = 7) -> DataFrame:
+def token_counts(docs: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, sample_rows: int = 4_000, sample_bytes: int = 8_000, frequent: int = 50_000) -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``n_tokens`` and whether it is over ``max_tokens``.
 
-    ``sample_rows`` (about) and ``frequent`` bound the table of frequent
-    pre-tokens.  They steer speed alone: counts are the same with any table.
+    ``sample_rows`` texts of at most ``sample_bytes`` each, the first that are
+    met, and ``frequent`` bound the table of frequent pre-tokens.  They steer
+    speed alone: counts are the same with any table.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n = docs.count()
-    sample = docs.select("text").sample(min(1.0, sample_rows / n), seed) if n else docs.select("text")
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                if text:
-                    seen.update(p for p in pretokens(text) if len(p) <= CACHE_CHARS)
-            if len(seen) > 4 * frequent:
-                seen = Counter(dict(seen.most_common(2 * frequent)))
-        if kept := seen.most_common(frequent):
-            yield pd.DataFrame({"pretoken": [p for p, _ in kept], "n": [c for _, c in kept]})
-
-    top = sample.mapInPandas(tally, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    top = top.orderBy(F.desc("n"), "pretoken").limit(frequent).select("pretoken")
+    seen: Counter[str] = Counter()
+    for row in docs.select("text").filter(F.octet_length("text").between(1, sample_bytes)).head(sample_rows):
+        seen.update(p for p in pretokens(row.text) if len(p) <= CACHE_CHARS)
     lengths = Lengths(model, {})
     key = uuid.uuid4().hex
-    table = spark.sparkContext.broadcast((model, {r.pretoken: lengths[r.pretoken] for r in top.toLocalIterator()}))
+    table = spark.sparkContext.broadcast((model, {p: lengths[p] for p, _ in seen.most_common(frequent)}))
 
     @F.pandas_udf("long")
     def n_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
