@@ -14,9 +14,11 @@ fingerprints of all documents may not pass the driver and have no size bound.
 A shard gives a link to each fingerprint's group in the shard, not its pairs.
 
 Equal fingerprints are merged before, so hot copies cost one node.  Texts
-without words (null, empty, blank) have fingerprint zero and link like others.
-Repeated rows give a row each.  A null id never is a component's smallest id
-unless the component has no other.
+without words (null, empty, blank) have fingerprint zero and link like others;
+very long texts are hashed whole.  Repeated rows give a row each.  Ids may have
+any type that has an order; a null id never is a component's smallest id unless
+the component has no other.  Empty tables give no rows; the filtering forms
+keep extra columns whatever their names.
 
 ``one_per_alike`` has another contract: texts link if their sets of five-word
 shingles have a Jaccard similarity of 0.8 or more.  There two fingerprints of 64
@@ -34,10 +36,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored
+from ledgerloom.llm.common import fresh, stored
 
 RADIUS = 4
 #: Bands of 11, 11, 11, 11, 10 and 10 bits, as (shift, width).
@@ -161,13 +163,19 @@ def shard_links(values: list[int], radius: int = RADIUS, bulk: int = 64) -> list
 
 def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted (shard, fp) rows to links; a shard may run over batches."""
-    left = np.empty((0, 2), np.int64)
+    left: list[np.ndarray] = []
     for batch in batches:
-        rows = np.concatenate([left, batch[["shard", "fp"]].to_numpy(np.int64)])
-        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
+        rows = batch[["shard", "fp"]].to_numpy(np.int64)
+        if not len(rows):
+            continue
+        if left and rows[-1, 0] == left[0][0, 0]:  # still the same shard
+            left.append(rows)
+            continue
+        rows = np.concatenate([*left, rows])
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
         yield _of_rows(rows[:cut])
-        left = rows[cut:]
-    yield _of_rows(left)
+        left = [rows[cut:]]
+    yield _of_rows(np.concatenate([np.empty((0, 2), np.int64), *left]))
 
 
 def _of_rows(rows: np.ndarray) -> pd.DataFrame:
@@ -191,6 +199,17 @@ def links(fps: DataFrame) -> DataFrame:
     return shards.select("shard", "fp").mapInPandas(_links, "a long, b long").distinct()
 
 
+#: Parts into which a node's edges are dealt where its minimum is joined to them.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``a, b`` edges with ``m`` of their ``a``; the edges of a hot node go to several tasks."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
+    copies = least.select("a", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return edges.select("a", "b", salt).join(copies, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Undirected ``a, b`` edges to ``node, root``: the smallest node of each node's component.
 
@@ -202,10 +221,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both.filter("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Now a > b always: of each node's smaller neighbours and itself, all but the least point to the least.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        small = _with_least(large, low).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         small = small.filter("a <> b").distinct()
         # Rounds add no edges, so the last count tells how many tasks, and files, this one needs.
         edges = stored(small if seen is None else small.coalesce(max(1, -(-seen[0] // 10_000))))
@@ -321,8 +340,8 @@ def set_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(i, r) for i in range(len(sets)) if (r := root(i)) != i]
 
 
-def _row_map(rows: DataFrame, n: int) -> Column:
-    """Whether column ``__row`` may be one of ``n`` rows: a bit map of bounded size, which spares others a shuffle."""
+def _row_map(rows: DataFrame, n: int, row: str) -> Column:
+    """Whether column ``row`` may be one of ``n`` rows: a bit map of bounded size, which spares others a shuffle."""
     bits = min(MAP_BITS, max(10, int(32 * n).bit_length()))
     place = F.col("row").bitwiseAND(F.lit((1 << bits) - 1))
     words = rows.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(row & 31 as int))")).alias("v")).toPandas()
@@ -335,19 +354,19 @@ def _row_map(rows: DataFrame, n: int) -> Column:
         at = x & ((1 << bits) - 1)
         return pd.Series(((shared.value[at >> 5] >> (x & 31).astype(np.uint32)) & 1) == 1)
 
-    return F.pandas_udf(of, "boolean")(F.col("__row"))
+    return F.pandas_udf(of, "boolean")(F.col(row))
 
 
-def alike_links(docs: DataFrame, ids: DataFrame, size: int, text_col: str) -> DataFrame:
-    """``fp, keys, first`` rows, and ``docs`` with ``__row``, to ``a, b`` links that span the groups of near copies."""
+def alike_links(docs: DataFrame, ids: DataFrame, size: int, text_col: str, row: str) -> DataFrame:
+    """``fp, keys, first`` rows, and ``docs`` with ``row``, to ``a, b`` links that span the groups of near copies."""
     keyed = ids.select("fp", F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
     # Close copies meet in many keys, mostly the same of them.
     met = stored(met.select("fps").distinct().withColumn("bucket", F.xxhash64("fps")))
     asked = met.select("bucket", F.explode("fps").alias("fp"))
     rows = stored(asked.select("fp").distinct().join(ids, "fp").select("fp", F.col("first.row").alias("row")))
-    some = docs.filter(_row_map(rows, rows.count())).select("__row", F.col(text_col).alias("text"))
-    texts = some.join(rows, some["__row"] == rows["row"]).groupBy("fp").agg(F.min("text").alias("text"))
+    some = docs.filter(_row_map(rows, rows.count(), row)).select(F.col(row).alias("own"), F.col(text_col).alias("text"))
+    texts = some.join(rows, some["own"] == rows["row"]).groupBy("fp").agg(F.min("text").alias("text"))
     sets = stored(texts.select("fp", shingle_sets(F.col("text"), size).alias("set")))
 
     def of(group: pd.DataFrame) -> pd.DataFrame:
@@ -358,35 +377,36 @@ def alike_links(docs: DataFrame, ids: DataFrame, size: int, text_col: str) -> Da
     return asked.join(sets, "fp").groupBy("bucket").applyInPandas(of, "a long, b long").distinct()
 
 
-def _firsts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """``docs`` with ``__row``, a hash of id and text, and what orders rows by their id."""
-    docs = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return docs, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+def _firsts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, Column]:
+    """``docs`` with a hash of id and text, the name of that column, and what orders rows by their id."""
+    row = fresh("row")
+    docs = docs.withColumn(row, F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)))
+    return docs, row, F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(row).alias("row"))
 
 
-def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def _one_of_each(docs: DataFrame, row: str, groups: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that of its smallest id."""
-    stay = groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__stay"))
-    out = docs.join(stay, F.col("__row") == F.col("__stay"), "left_semi")
-    # Rows that are equal in id and text share ``__row``; the join has put them together.
-    out = out.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy("__row"))).filter("__n = 1")
-    return out.drop("__row", "__n")
+    stay = groups.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    # Rows that are equal in id and text share ``row``; all but one of them go before they meet.
+    own = [c for c in docs.columns if c != row]
+    once = docs.groupBy(row).agg(*[F.first(f"`{c}`").alias(c) for c in own])
+    return once.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in own])
 
 
 def one_per_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of fingerprints within the radius: that of its smallest id."""
-    docs, first = _firsts(docs, id_col, text_col)
+    docs, row, first = _firsts(docs, id_col, text_col)
     rows = stored(docs.select(first.alias("first"), fingerprints(F.col(text_col), size).alias("fp")))
     ids = stored(rows.groupBy("fp").agg(F.min("first").alias("first")))
-    return _one_of_each(docs, _roots(ids, links(ids.select("fp"))))
+    return _one_of_each(docs, row, _roots(ids, links(ids.select("fp"))))
 
 
 def one_per_alike(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of texts that are ``ALIKE``: that of its smallest id."""
-    docs, first = _firsts(docs, id_col, text_col)
+    docs, row, first = _firsts(docs, id_col, text_col)
     rows = stored(docs.select(first.alias("first"), sketches(F.col(text_col), size).alias("s")).select("first", "s.fp", "s.keys"))
     ids = stored(rows.groupBy("fp").agg(F.min("first").alias("first"), F.any_value("keys").alias("keys")))
-    return _one_of_each(docs, _roots(ids.drop("keys"), alike_links(docs, ids, size, text_col)))
+    return _one_of_each(docs, row, _roots(ids.drop("keys"), alike_links(docs, ids, size, text_col, row)))
 
 
 def simhash_report(docs: DataFrame, **cols: str) -> DataFrame:

@@ -479,3 +479,10 @@ def test_quality_classifier(spark):
     unseen = got[(got.doc_id >= 300) & (got.doc_id < 600)].merge(pd.DataFrame(labels, columns=["doc_id", "y", "t"]), on="doc_id")
     assert ((unseen.kept) == (unseen.y == 1)).mean() > 0.95
     assert quality_classifier.quality_scores(empty(spark), known).count() == 0
+    # Text ids, labels for every row, repeated rows, names that are used inside.
+    some = frame(spark, [*rows[:80], rows[0]]).selectExpr("concat('d', doc_id) AS doc_id", "text", "lang", "source", "n_chars", "1 AS h", "2 AS places", "3 AS y")
+    every = spark.createDataFrame(labels[:80], "doc_id long, quality int, toxic int").selectExpr("concat('d', doc_id) AS doc_id", "quality", "toxic")
+    got = quality_classifier.quality_scores(some, every).collect()
+    assert len(got) == 81 and len({r.score for r in got if r.doc_id == "d0"}) == 1
+    none = quality_classifier.quality_scores(some, every.limit(0)).collect()
+    assert {round(r.score, 6) for r in none} == {0.5}
