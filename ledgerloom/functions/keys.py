@@ -76,11 +76,19 @@ def title(value: Column, most: int = 120) -> Column:
 def magnitude(amount: Column) -> Column:
     """Order of magnitude as text; '0' below 1 and for null."""
     a = F.abs(F.coalesce(amount, F.lit(0.0)))
-    return F.when(a < 1, F.lit("0")).otherwise(F.concat(F.lit("1e"), F.floor(F.log10(a)).cast("string")))
+    return F.when(a < 1, F.lit("0")).otherwise(F.concat(F.lit("~1e"), F.floor(F.log10(a)).cast("string")))
+
+
+# Least score of each band.
+SCORE_BANDS = (("95-100", 95), ("80-94", 80), ("60-79", 60))
 
 
 def score_band(score: Column) -> Column:
-    return F.when(score.isNull(), F.lit("unknown")).when(score >= 100, F.lit("full")).when(score >= 75, F.lit("high")).when(score >= 50, F.lit("partial")).otherwise(F.lit("low"))
+    """Band of a match score; 'unknown' for null."""
+    out = F.lit("below-60")
+    for band, least in reversed(SCORE_BANDS):
+        out = F.when(score >= least, F.lit(band)).otherwise(out)
+    return F.when(score.isNull(), F.lit("unknown")).otherwise(out)
 
 
 def object_path(workspace: Column, case: Column, document: Column) -> Column:

@@ -103,12 +103,27 @@ def implied_rate(amount: Column, quantity: Column, invoice_price: Column, po_pri
     return F.abs(F.coalesce(amount / nonzero(quantity), nonzero(invoice_price), nonzero(po_price), F.lit(0.0)))
 
 
+# Parts of the sentence on what is outstanding.
+ALL_LINES = "All %d of %d ordered lines match the invoice"
+SOME_LINES = "%d of %d ordered lines match the invoice"
+SOME_FIELDS = "%d of %d checked fields agree"
+NO_CHECKS = "The documents on file agree"
+OUTSTANDING = "%s. No %s is on file, so nothing yet confirms this was delivered — that is the only thing holding %s."
+
+
 def outstanding(awaiting: Column, comparisons: Column, lines: Column, amount: Column) -> Column:
     """What is checked and what is still missing, as a sentence."""
     checked = F.size(F.filter(comparisons, lambda c: c["evaluable"]))
     agreed = F.size(F.filter(comparisons, lambda c: c["evaluable"] & c["classification"].isin(*MATCHED)))
     n, ok = F.size(lines), F.size(F.filter(lines, lambda x: x["classification"].isin(*MATCHED)))
-    part_lines = F.when(n > 0, F.concat(F.when(ok == n, F.lit("All ")).otherwise(F.lit("")), ok.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" ordered lines match the invoice")))
-    part_fields = F.when(checked > 0, F.concat(agreed.cast("string"), F.lit(" of "), checked.cast("string"), F.lit(" checked fields agree")))
-    settled = F.coalesce(F.nullif(F.concat_ws("; ", part_lines, part_fields), F.lit("")), F.lit("The documents on file agree"))
-    return F.concat(settled, F.lit(". No "), awaiting, F.lit(" is on file; that alone holds "), F.format_number(amount, 0), F.lit("."))
+    part_lines = F.when(n > 0, F.when(ok == n, F.format_string(ALL_LINES, ok, n)).otherwise(F.format_string(SOME_LINES, ok, n)))
+    part_fields = F.when(checked > 0, F.format_string(SOME_FIELDS, agreed, checked))
+    settled = F.coalesce(F.nullif(F.concat_ws("; ", part_lines, part_fields), F.lit("")), F.lit(NO_CHECKS))
+    return F.format_string(OUTSTANDING, settled, awaiting, F.format_number(amount, 0))
+
+
+def preview(lines: Column, most: int = 2) -> Column:
+    """The first descriptions of a document, and how many more there are."""
+    said = F.filter(F.transform(lines, lambda x: F.trim(x["description"])), lambda d: d.isNotNull() & (d != ""))
+    more = F.when(F.size(said) > most, F.format_string(" (+%d more)", F.size(said) - most)).otherwise(F.lit(""))
+    return F.when(F.coalesce(F.size(said), F.lit(0)) > 0, F.concat(F.array_join(F.slice(said, 1, most), "; "), more)).otherwise(F.lit("unspecified items"))

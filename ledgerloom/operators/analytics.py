@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import age_bucket, age_days, month_key
-from ledgerloom.functions.keys import blank_to_null
+from ledgerloom.functions.keys import blank_to_null, vendor_key
 from ledgerloom.functions.variance import risk_band
-from ledgerloom.model import AGE_BUCKETS, CLEAN_SCORE, CLEAN_TYPE, CROSS_CASE_TYPES, OPEN_STATUSES, SLA_DAYS
+from ledgerloom.model import AGE_BUCKETS, CLEAN_SCORE, CLEAN_TYPE, CROSS_CASE_TYPES, MAX_DAYS, MAX_MONTHS, MAX_VENDORS, OPEN_STATUSES, SLA_DAYS, clamp
 
 EXCEPTION = "exception_type is not null and exception_type not in ('', 'no_exception')"
 
@@ -47,7 +47,10 @@ def scoped(cases: DataFrame, as_of: datetime, days: int | None, workspace: str |
     if workspace is not None:
         cases = cases.filter(F.col("workspace_id") == workspace)
     if days:
-        cases = cases.filter(F.col("created_at").isNull() | (F.col("created_at") >= F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")))
+        since = F.lit(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+        cases = cases.filter(F.col("created_at").isNull() | (F.col("created_at") >= since))
+        if "created_date" in cases.columns:  # the stored table's partition: a day, or the first of a month
+            cases = cases.filter(F.col("created_date").isNull() | (F.col("created_date") >= F.trunc(since.cast("date"), "MM")))
     return cases
 
 
@@ -100,19 +103,29 @@ def vendor_measures(cases: DataFrame, as_of: datetime, days: int | None = 365, w
     )
 
 
+# Sentences of the reports.
+NO_EXCEPTIONS = "No exceptions across %d invoices in this window."
+RAISED = "%d of %d invoices raised an exception (%s)."
+MOST_COMMON = "Most common failure: %s (%s of their exceptions)."
+OPEN_VALUE = "INR %s is currently open and unpaid."
+AVERAGING = f"Open cases are averaging %s days, past the {SLA_DAYS}-day SLA."
+NO_CROSS_CASE = "No cross-case findings in this window."
+ONE_CROSS_CASE = "%d exception worth INR %s came from checks that read the rest of the workspace, not this invoice."
+CROSS_CASES = "%d exceptions worth INR %s came from checks that read the rest of the workspace, not this invoice."
+WOULD_HAVE_CLEARED = " %d of them scored a full three-way match on their own documents — a per-invoice system would have passed them for payment."
+
+
 def why_at_risk() -> Column:
     """A sentence over the columns of ``vendor_measures``."""
-    pct = lambda r: F.concat(F.round(r * 100, 0).cast("int").cast("string"), F.lit("%"))
-    top = F.get("recurring_types", F.lit(0))
-    parts = F.concat_ws(
-        " ",
-        F.concat(F.col("exception_count").cast("string"), F.lit(" of "), F.col("invoice_count").cast("string"), F.lit(" invoices raised an exception ("), pct(F.col("exception_count") / F.col("invoice_count")), F.lit(").")),
-        F.when(F.col("top_exception_type").isNotNull(), F.concat(F.lit("Most common failure: "), F.replace("top_exception_type", F.lit("_"), F.lit(" ")), F.lit(" ("), pct(top["n"] / F.col("exception_count")), F.lit(" of their exceptions)."))),
-        F.when(F.col("value_at_risk") > 0, F.concat(F.lit("INR "), F.format_number("value_at_risk", 0), F.lit(" is currently open and unpaid."))),
-        F.when(F.col("average_open_age_days") >= SLA_DAYS, F.concat(F.lit("Open cases are averaging "), F.format_number("average_open_age_days", 0), F.lit(f" days, past the {SLA_DAYS}-day SLA."))),
-    )
-    none = F.concat(F.lit("No exceptions across "), F.col("invoice_count").cast("string"), F.lit(" invoices in this window."))
-    return F.when(F.col("exception_count") == 0, none).otherwise(parts)
+    pct = lambda r: F.concat(F.bround(r * 100, 0).cast("int").cast("string"), F.lit("%"))
+    top, n, e = F.get("recurring_types", F.lit(0)), F.col("invoice_count"), F.col("exception_count")
+    some = F.concat_ws(
+        " ", F.format_string(RAISED, e, n, pct(e / n)),
+        F.when(F.col("top_exception_type").isNotNull(), F.format_string(MOST_COMMON, F.replace("top_exception_type", F.lit("_"), F.lit(" ")), pct(top["n"] / e))),
+        F.when(F.col("value_at_risk") > 0, F.format_string(OPEN_VALUE, F.format_number("value_at_risk", 0))),
+        F.when(F.col("average_open_age_days") >= SLA_DAYS, F.format_string(AVERAGING, F.format_number("average_open_age_days", 0))),
+    )
+    return F.when(e == 0, F.format_string(NO_EXCEPTIONS, n)).otherwise(some)
 
 
 def vendor_risk(cases: DataFrame, as_of: datetime, days: int | None = 365, limit: int = 25, workspace: str | None = None) -> DataFrame:
@@ -146,12 +159,12 @@ def portfolio_by_type(cases: DataFrame, as_of: datetime, days: int | None = 365,
     return out.agg(F.count(F.lit(1)).alias("n"), total(F.col("financial_impact")).cast("double").alias("value")).orderBy(F.desc("n"), "exception_type")
 
 
-def monthly_trend(cases: DataFrame, as_of: datetime, months: int = 12, workspace: str | None = None) -> DataFrame:
-    """A row per month, the last ``months`` of them, in order."""
+def monthly_trend(cases: DataFrame, as_of: datetime, months: int = 12, workspace: str | None = None, tail: bool = True) -> DataFrame:
+    """A row per month, in order: the last ``months`` of them, or without ``tail`` all that the window touches."""
     rows = scoped(cases, as_of, months * 31, workspace).filter("created_at is not null").groupBy(month_key(F.col("created_at")).alias("month"))
     out = rows.agg(F.count(F.lit(1)).alias("invoices"), F.count_if(is_exception()).alias("exceptions"), total(F.col("financial_impact"), is_exception()).cast("double").alias("value_at_risk"))
     out = out.withColumn("clean", F.col("invoices") - F.col("exceptions")).withColumn("exception_rate", rate(F.col("exceptions"), F.col("invoices")))
-    return out.orderBy(F.desc("month")).limit(months).orderBy("month")
+    return (out.orderBy(F.desc("month")).limit(months) if tail else out).orderBy("month")
 
 
 def _open_aged(cases: DataFrame, as_of: datetime, days: int | None, workspace: str | None) -> DataFrame:
@@ -167,9 +180,13 @@ def ageing_headline(cases: DataFrame, as_of: datetime, days: int | None = 365, w
     )
 
 
-def ageing_buckets(cases: DataFrame, as_of: datetime, days: int | None = 365, workspace: str | None = None) -> DataFrame:
-    """Number and value of open exceptions by age, empty buckets included."""
-    rows = _open_aged(cases, as_of, days, workspace).groupBy(age_bucket(F.col("age")).alias("label")).agg(F.count(F.lit(1)).alias("n"), total(F.col("financial_impact")).cast("double").alias("value"))
+def ageing_buckets(cases: DataFrame, as_of: datetime, days: int | None = 365, workspace: str | None = None, whole_days: bool = True) -> DataFrame:
+    """Number and value of open exceptions by age, empty buckets included.
+
+    Without ``whole_days`` an age of 3.5 days is beyond the bucket that ends at 3.
+    """
+    age = F.col("age") if whole_days else F.ceil("age")
+    rows = _open_aged(cases, as_of, days, workspace).groupBy(age_bucket(age).alias("label")).agg(F.count(F.lit(1)).alias("n"), total(F.col("financial_impact")).cast("double").alias("value"))
     labels = cases.sparkSession.createDataFrame([(i, label) for i, (label, _, _) in enumerate(AGE_BUCKETS)], "ordinal int, label string")
     out = F.broadcast(labels).join(rows, "label", "left")  # five labels
     return out.select("ordinal", "label", F.coalesce("n", F.lit(0)).cast("long").alias("count"), F.coalesce("value", F.lit(0.0)).alias("value_at_risk")).orderBy("ordinal")
@@ -189,10 +206,9 @@ def cross_case_value(cases: DataFrame, as_of: datetime, days: int | None = 365,
 
 
 def _headline() -> Column:
-    n, clean = F.col("cross_count"), F.col("would_have_cleared_count")
-    first = F.concat(n.cast("string"), F.when(n == 1, F.lit(" exception")).otherwise(F.lit(" exceptions")), F.lit(" worth INR "), F.format_number("cross_value", 0), F.lit(" came from checks that read the rest of the workspace."))
-    more = F.when(clean > 0, F.concat(F.lit(" "), clean.cast("string"), F.lit(" of them matched fully on their own documents."))).otherwise(F.lit(""))
-    return F.when(n == 0, F.lit("No cross-case findings in this window.")).otherwise(F.concat(first, more))
+    n, clean, value = F.col("cross_count"), F.col("would_have_cleared_count"), F.format_number("cross_value", 0)
+    first = F.when(n == 1, F.format_string(ONE_CROSS_CASE, n, value)).otherwise(F.format_string(CROSS_CASES, n, value))
+    return F.when(n == 0, F.lit(NO_CROSS_CASE)).otherwise(F.concat(first, F.when(clean > 0, F.format_string(WOULD_HAVE_CLEARED, clean)).otherwise(F.lit(""))))
 
 
 def cross_case_by_type(cases: DataFrame, as_of: datetime, days: int | None = 365, workspace: str | None = None) -> DataFrame:
@@ -200,6 +216,19 @@ def cross_case_by_type(cases: DataFrame, as_of: datetime, days: int | None = 365
     return rows.agg(F.count(F.lit(1)).alias("n"), total(F.col("financial_impact")).cast("double").alias("value")).orderBy(F.desc("value"), "exception_type")
 
 
+def vendor_history(cases: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``cases`` (with vendor_name) and their vendor's row in ``ranked``, by identity key; the first of several that share it."""
+    by_key = ranked.withColumn("vendor_key", vendor_key(F.col("vendor_name"))).groupBy("vendor_key")
+    order = F.struct((-F.col("value_at_risk")).alias("v"), (-F.col("exception_rate")).alias("r"), "vendor_id")
+    first = by_key.agg(F.min_by(F.struct("vendor_id", "invoice_count", "exception_count", "value_at_risk"), order).alias("history"))
+    return cases.withColumn("vendor_key", vendor_key(F.col("vendor_name"))).join(first, "vendor_key", "left")
+
+
+def request(days: int | None = None, limit: int | None = None, months: int | None = None) -> tuple[int, int, int]:
+    """Days, vendor rows and months of a request within their guard rails."""
+    return clamp(days, 1, MAX_DAYS, 365), clamp(limit, 1, MAX_VENDORS, 25), clamp(months, 1, MAX_MONTHS, 12)
+
+
 def dashboard_summary(cases: DataFrame, workspace: str | None = None) -> DataFrame:
     """All-time counts; here a case is open by its status alone."""
     if workspace is not None:

@@ -9,7 +9,6 @@ from ledgerloom.functions.dates import parse_timestamp
 from ledgerloom.model import DOCUMENT
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import evidence as V
-from ledgerloom.operators import extraction as X
 from ledgerloom.operators import linking as L
 from ledgerloom.operators import matching as M
 from ledgerloom.plans.ledger import CASES, LEDGER, cases, ledger
@@ -106,44 +105,6 @@ def approval_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.approval(requests, limits).groupBy("decision", F.lower("role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_TEXT_SQL = f"WITH {LEDGER}"
-
-
-def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices and orders as plain text."""
-    rows = ledger(spark, sf_dir)
-    m = lambda c: F.format_number(F.col(c) / F.lit(100.0), 2)
-    invoice = F.concat(
-        F.lit("TAX INVOICE\nInvoice Number: "), "invoice_number", F.lit("\nVendor: "), "vendor_name", F.lit("\nPO Number: PO-"), "purchase_order_id", F.lit("\nInvoice Date: "), F.date_format("created_at", "dd/MM/yyyy"), F.lit("\nQuantity: "), F.col("qty").cast("string"),
-        F.lit("\nUnit Price\nINR "), m("unit_c"), F.lit("\nSubtotal: INR "), m("subtotal_c"), F.lit("\nTax Amount: "), m("tax_c"), F.lit("\nAccount Number: 000000"), F.col("part").cast("string"), F.lit("1234\nIFSC: HDFC0"), F.lpad(F.col("line_number").cast("string"), 6, "0"), F.lit("\nBank: First Bank\n"),
-    )
-    order = F.concat(F.lit("PURCHASE ORDER\nPO Number: PO-"), "purchase_order_id", F.lit("\nOrder Date: "), F.date_format("created_at", "dd/MM/yyyy"), F.lit("\nShip to: Warehouse\n"))
-    return rows.select("exception_id", "part", F.when(F.col("line_number") % 2 == 0, order).otherwise(invoice).alias("text"), "line_number")
-
-
-@query(f"{_TEXT_SQL} SELECT CASE WHEN line_number % 2 = 0 THEN 'purchase_order' ELSE 'vendor_invoice' END AS document_type, count(*) AS n FROM ledger GROUP BY ALL")
-def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered(spark, sf_dir).select(X.classify(F.col("text")).alias("c")).groupBy("c.document_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""{_TEXT_SQL} SELECT exception_id, invoice_number, trim(vendor_name) AS vendor_name, 'PO-' || purchase_order_id AS po_number, CAST(qty AS DOUBLE) AS quantity, unit_c / 100.0::DOUBLE AS unit_price, subtotal_c / 100.0::DOUBLE AS subtotal, tax_c / 100.0::DOUBLE AS tax_amount,
-(subtotal_c + tax_c) / 100.0::DOUBLE AS total_amount, '000000' || part || '1234' AS account, 'HDFC0' || lpad(CAST(line_number AS VARCHAR), 6, '0') AS ifsc FROM ledger WHERE line_number % 2 = 1""")
-def extract_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rendered(spark, sf_dir).filter("line_number % 2 = 1").select("exception_id", X.invoice_fields(F.col("text")).alias("x"))
-    return rows.select("exception_id", "x.invoice_number", "x.vendor_name", "x.po_number", "x.quantity", "x.unit_price", "x.subtotal", "x.tax_amount", "x.total_amount", F.col("x.bank.bank_account_number").alias("account"), F.col("x.bank.bank_ifsc").alias("ifsc"))
-
-
-@query(f"{_TEXT_SQL} SELECT exception_id, 'PO-' || purchase_order_id AS found FROM ledger")
-def find_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rendered(spark, sf_dir).select("exception_id", X.reference(F.col("text"), "PO").alias("found"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * round(o_totalprice, 2) END AS parsed FROM orders")
-def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a")).otherwise(F.concat(F.lit("Rs. "), F.when(F.col("o_orderkey") % 2 == 0, F.lit("-")).otherwise(F.lit("")), F.format_number("o_totalprice", 2), F.lit(" only")))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", X.number(text).alias("parsed"))
-
-
 _PAIRS = f"""WITH {CASES}, p AS (SELECT exception_type AS expected, CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 10 = 0 THEN 'no_exception' WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 17 = 0 THEN 'price_variance' ELSE exception_type END AS predicted, business_unit, workspace_id FROM cases)"""
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import vendor_key
+from ledgerloom.sources import store
 
 AS_OF = datetime(2001, 12, 1)
 #: From then on some vendors bill to another account.
@@ -25,6 +26,18 @@ def _half_up(numerator: Column, denominator: Column) -> Column:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived ledger, written once for the application."""
+    return spark.read.parquet(store.once(spark, f"ledger {sf_dir}", lambda path: derived_ledger(spark, sf_dir).write.parquet(path)))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived cases, written once for the application by month of creation, so windows of days read their months."""
+    made = derived_cases(spark, sf_dir)
+    path = store.once(spark, f"cases {sf_dir}", lambda path: store.write_cases(made, path, by="month"))
+    return store.read_cases(spark, path, schema=made.schema)
+
+
+def derived_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per invoice, with the columns of its order and receipt."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # 25 nations in 5 regions.
@@ -59,7 +72,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger as analysed cases: type, score, impact and risk of each invoice."""
     rows = ledger(spark, sf_dir)
     same_invoice = Window.partitionBy("workspace_id", "vendor_id", "invoice_number")

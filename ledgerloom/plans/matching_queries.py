@@ -114,7 +114,7 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LEDGER}, a AS (SELECT greatest(0, epoch_us(TIMESTAMP '2001-12-01') - epoch_us(created_at)) / 86400000000.0::DOUBLE AS age, total_c / 100.0::DOUBLE AS v FROM ledger)
-SELECT CASE WHEN trunc(age) <= 3 THEN '0-3' WHEN trunc(age) <= 7 THEN '4-7' WHEN trunc(age) <= 14 THEN '8-14' WHEN trunc(age) <= 30 THEN '15-30' ELSE '31+' END AS bucket, CASE WHEN v < 1 THEN '0' ELSE '1e' || CAST(floor(log10(v)) AS BIGINT) END AS magnitude, count(*) AS n FROM a GROUP BY ALL""")
+SELECT CASE WHEN trunc(age) <= 3 THEN '0-3' WHEN trunc(age) <= 7 THEN '4-7' WHEN trunc(age) <= 14 THEN '8-14' WHEN trunc(age) <= 30 THEN '15-30' ELSE '31+' END AS bucket, CASE WHEN v < 1 THEN '0' ELSE '~1e' || CAST(floor(log10(v)) AS BIGINT) END AS magnitude, count(*) AS n FROM a GROUP BY ALL""")
 def age_and_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.plans.ledger import AS_OF
 

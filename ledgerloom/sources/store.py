@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +14,34 @@ from ledgerloom.functions.keys import blank_to_null
 from ledgerloom.model import CASE, DEFAULT_WORKSPACE, DOCUMENT
 
 KEY = "exception_id"
+#: Stored tables of this process: (application, name) to path.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's, or one of our own in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def fresh_path(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/ledgerloom-{uuid.uuid4().hex}"
+
+
+def once(spark: SparkSession, name: str, write) -> str:
+    """Path of a table that ``write(path)`` makes the first time that this application asks for ``name``."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = fresh_path(spark)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 def read_seed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -51,32 +81,48 @@ def merge_if_absent(base: DataFrame, more: DataFrame, key: str = KEY) -> DataFra
     return base.unionByName(more.join(base.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def _unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c for f in frames for c in f.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str = KEY, updated: str = "updated_at") -> DataFrame:
     """Latest row of each key; a change wins a tie."""
-    both = current.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(updated).desc_nulls_last(), F.desc("__new"))
-    return both.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank", "__new")
+    new, rank = _unused("_new", current, changes), _unused("_rank", current, changes)
+    both = current.withColumn(new, F.lit(0)).unionByName(changes.withColumn(new, F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.col(updated).desc_nulls_last(), F.desc(new))
+    return both.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank, new)
 
 
 def merge_fields(current: DataFrame, changes: DataFrame, fields: Sequence[str], key: str = KEY) -> DataFrame:
     """``current`` with the non-null ``fields`` of ``changes`` laid over it; a row per key in ``changes``."""
-    new = changes.select(F.col(key), *[F.col(f).alias(f"__{f}") for f in fields])
-    out = current.join(new, key, "left")
-    return out.withColumns({f: F.coalesce(f"__{f}", f) for f in fields}).drop(*[f"__{f}" for f in fields])
+    names = {f: _unused(f"_{f}", current, changes) for f in fields}
+    out = current.join(changes.select(F.col(key), *[F.col(f).alias(n) for f, n in names.items()]), key, "left")
+    return out.withColumns({f: F.coalesce(n, f) for f, n in names.items()}).drop(*names.values())
+
 
+def write_cases(cases: DataFrame, path: str, by: str = "day") -> None:
+    """Replace the case table: by day (or month) of creation, files by size, sorted by vendor and type within them.
 
-def write_cases(cases: DataFrame, path: str) -> None:
-    """Replace the case table: by day of creation, sorted by vendor and type within files. Empty input is an error."""
+    Empty input is an error.
+    """
     if cases.isEmpty():
         raise ValueError("refusing to replace the case table by nothing")
-    rows = cases.withColumn("created_date", F.to_date("created_at"))
-    rows = rows.repartition("created_date", F.pmod(F.xxhash64(KEY), F.lit(8))).sortWithinPartitions("created_date", "vendor_id", "exception_type")
+    day = F.to_date("created_at")
+    rows = cases.withColumn("created_date", day if by == "day" else F.trunc(day, "MM"))
+    rows = rows.hint("rebalance", "created_date").sortWithinPartitions("created_date", "vendor_id", "exception_type")
     rows.write.mode("overwrite").partitionBy("created_date").parquet(path)
 
 
-def read_cases(spark: SparkSession, path: str, since: str | None = None, keep_undated: bool = True) -> DataFrame:
-    """The case table, its days before ``since`` pruned; undated rows are a partition of their own."""
-    rows = spark.read.schema(T.StructType([*CASE.fields, T.StructField("created_date", T.DateType())])).parquet(path)
+def read_cases(spark: SparkSession, path: str, since: str | None = None, keep_undated: bool = True, schema: T.StructType = CASE) -> DataFrame:
+    """The case table, its days before ``since`` pruned; undated rows are a partition of their own.
+
+    Its partition column stays, so that windows of days can prune later too.
+    """
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("created_date", T.DateType())])).parquet(path)
     if since is not None:
         recent = F.col("created_date") >= F.lit(since).cast("date")
         rows = rows.filter(recent | F.col("created_date").isNull() if keep_undated else recent)
@@ -87,6 +133,12 @@ def verify(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
 
 
+def purge_count(cases: DataFrame, origin: str = "synthetic") -> DataFrame:
+    """How many rows ``purge`` would take and leave."""
+    goes = F.coalesce(F.col("origin") == origin, F.lit(False))
+    return cases.agg(F.count_if(goes).alias("purged"), F.count_if(~goes).alias("kept"))
+
+
 def purge(cases: DataFrame, origin: str = "synthetic") -> DataFrame:
     """The rows that stay when those of an origin go; rows without an origin stay."""
     return cases.filter(F.coalesce(F.col("origin") != origin, F.lit(True)))
@@ -103,6 +155,10 @@ def one_case(cases: DataFrame, exception_id: str, workspace: str) -> DataFrame:
     return cases.filter((F.col(KEY) == exception_id) & in_workspace(workspace))
 
 
+def documents_of(documents: DataFrame, exception_id: str) -> DataFrame:
+    return documents.filter(F.col(KEY) == exception_id)
+
+
 def public_view(cases: DataFrame) -> DataFrame:
     return cases.drop("matching_input")
 
