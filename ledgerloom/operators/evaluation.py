@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Files of recorded runs.
+REPORTS = {"eval_report.json": "pipeline", "extraction_report.json": "extraction"}
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     """``expected, predicted, n``."""
@@ -67,6 +70,21 @@ def field_outcome(kind: str, parsed: str, expected: str):
     return F.when(b.isNull(), F.when(a.isNull(), F.lit("absent")).otherwise(F.lit("wrong"))).when(a.isNull(), F.lit("missed")).when(F.coalesce(same, F.lit(False)), F.lit("correct")).otherwise(F.lit("wrong"))
 
 
+def read_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """``report, body``: the recorded runs among ``pipeline`` and ``extraction``; none at all is an error, a broken one is left out."""
+    names = F.create_map(*[F.lit(x) for kv in REPORTS.items() for x in kv])
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.try_element_at(names, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)).alias("report"), F.col("value").alias("body"))
+    found = found.filter(F.col("report").isNotNull() & F.try_parse_json("body").isNotNull())
+    if found.isEmpty():
+        raise ValueError("not measured: no run has been recorded")
+    return found
+
+
+def corpus_counts(cases: DataFrame) -> DataFrame:
+    """Exceptions by type, for calibration; clean cases left out."""
+    return cases.filter("exception_type is not null and exception_type <> 'no_exception'").groupBy("exception_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def trust_checks(rows: DataFrame, least: float = 0.01) -> DataFrame:
     """Stated against computed values: difference, percentage (null if 0 was computed), overridden."""
     diff = F.col("ai_value") - F.col("computed_value")

@@ -216,6 +216,14 @@ def evaluate(inputs: DataFrame) -> DataFrame:
     return out.withColumns(new).drop("finding")
 
 
+def with_outcome(cases: DataFrame, computed: DataFrame) -> DataFrame:
+    """``cases`` with the outcome of the match where none is stored; a stored one counts only with both type and score."""
+    fields = {"exception_type": "exception_type", "match_score": "match_score", "financial_impact": "financial_impact", "risk_level": "risk_level", "assigned_team": "recommended_owner"}
+    made = computed.select("exception_id", F.struct(*[F.col(c).alias(f) for f, c in fields.items()]).alias("made_outcome"))
+    out = cases.join(made, "exception_id", "left").withColumn("has_outcome", F.col("exception_type").isNotNull() & F.col("match_score").isNotNull() | F.col("made_outcome").isNull())
+    return out.withColumns({f: F.when(F.col("has_outcome"), F.col(f)).otherwise(F.col(f"made_outcome.{f}")) for f in fields}).drop("made_outcome", "has_outcome")
+
+
 def resolved_tolerance(cases: DataFrame, rules: DataFrame) -> DataFrame:
     """``cases`` (with vendor_name, category) and the tolerances that hold: vendor over category over default.
 
@@ -224,9 +232,12 @@ def resolved_tolerance(cases: DataFrame, rules: DataFrame) -> DataFrame:
     configuration table; its rows are joined by key.
     """
     part = lambda scope, key: rules.filter(F.col("scope") == scope).select(unicode_key(F.col("name")).alias(key), F.col("price").alias(f"{scope}_p"), F.col("quantity").alias(f"{scope}_q"))
-    default = rules.filter("scope = 'default'").select("price", "quantity").first()  # one row
-    base = (default.price, default.quantity) if default else (PRICE_TOLERANCE, QUANTITY_TOLERANCE)
-    out = cases.withColumns({"__v": unicode_key(F.col("vendor_name")), "__c": unicode_key(F.col("category"))}).join(part("vendor", "__v"), "__v", "left").join(part("category", "__c"), "__c", "left")
-    pick = lambda x, d: F.coalesce(f"vendor_{x}", f"category_{x}", F.lit(d))
+    default = rules.filter("scope = 'default'").agg(F.first("price").alias("default_p"), F.first("quantity").alias("default_q"))  # one row
+    names = [c for c in ("vendor_key_", "category_key_", "vendor_p", "vendor_q", "category_p", "category_q", "default_p", "default_q") if c in cases.columns]
+    if names:
+        raise ValueError(f"columns {names} are taken")
+    out = cases.withColumns({"vendor_key_": unicode_key(F.col("vendor_name")), "category_key_": unicode_key(F.col("category"))})
+    out = out.join(part("vendor", "vendor_key_"), "vendor_key_", "left").join(part("category", "category_key_"), "category_key_", "left").join(F.broadcast(default))
+    pick = lambda x, d: F.coalesce(f"vendor_{x}", f"category_{x}", f"default_{x}", F.lit(d))
     source = F.when(F.coalesce("vendor_p", "vendor_q").isNotNull(), F.lit("vendor")).when(F.coalesce("category_p", "category_q").isNotNull(), F.lit("category")).otherwise(F.lit("default"))
-    return out.withColumns({"price_tolerance": pick("p", base[0]), "quantity_tolerance": pick("q", base[1]), "tolerance_source": source}).drop("__v", "__c", "vendor_p", "vendor_q", "category_p", "category_q")
+    return out.withColumns({"price_tolerance": pick("p", PRICE_TOLERANCE), "quantity_tolerance": pick("q", QUANTITY_TOLERANCE), "tolerance_source": source}).drop("vendor_key_", "category_key_", "vendor_p", "vendor_q", "category_p", "category_q", "default_p", "default_q")

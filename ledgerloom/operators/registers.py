@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.model import CLEAN_TYPE
 from ledgerloom.operators.analytics import is_exception, money
+from ledgerloom.sources import store
 
 
 def is_cleared() -> Column:
@@ -35,26 +36,35 @@ def invoice_totals(rows: DataFrame) -> DataFrame:
 
 
 def po_rows(cases: DataFrame) -> DataFrame:
-    """A row per purchase order as written: billed and ordered amounts, its invoices and their statuses."""
+    """A row per purchase order as written: billed and ordered amounts and statuses; ``po_invoices`` has its invoices."""
     place = F.struct("created_at", "exception_id")
     rows = cases.filter(F.coalesce(F.col("purchase_order_id"), F.lit("")) != "").groupBy("purchase_order_id").agg(
         F.count(F.lit(1)).alias("invoice_count"), F.sum(money(F.col("invoice_amount"))).cast("double").alias("billed_amount"),
         F.min(F.when(F.col("po_amount") > 0, F.struct(place.alias("place"), F.col("po_amount").alias("v")))).alias("first"),
         F.count_if(is_exception()).alias("exception_count"), F.count_distinct("vendor_id").alias("vendor_count"), F.array_sort(F.collect_set("status")).alias("statuses"),
         (F.count(F.lit(1)) - F.count_distinct("invoice_id")).alias("repeated_invoices"),
-        F.array_sort(F.collect_list(F.struct("created_at", "exception_id", "invoice_id", "invoice_amount"))).alias("invoices"),
     )
     rows = rows.withColumn("ordered_amount", F.col("first.v")).drop("first")
     return rows.withColumn("over_billed", F.col("billed_amount") > F.col("ordered_amount") + 0.01)
 
 
-def po_filter(rows: DataFrame, which: str, status: str | None = None, search: str = "") -> DataFrame:
+def po_invoices(cases: DataFrame) -> DataFrame:
+    """The invoices of each purchase order, a row each."""
+    return cases.filter(F.coalesce(F.col("purchase_order_id"), F.lit("")) != "").select("purchase_order_id", "created_at", "exception_id", "invoice_id", "invoice_amount")
+
+
+def po_filter(rows: DataFrame, which: str, status: str | None = None, search: str = "", invoices: DataFrame | None = None) -> DataFrame:
+    """Orders that are overbilled, billed more than once or have exceptions, by status, by order or invoice number (of ``po_invoices``)."""
     keep = {"overbilled": F.col("over_billed"), "multi": F.col("invoice_count") > 1, "exceptions": F.col("exception_count") > 0, "all": F.lit(True)}
     rows = rows.filter(keep[which])
     if status:
         rows = rows.filter(F.array_contains("statuses", status))
     if search:
-        rows = rows.filter(F.lower("purchase_order_id").contains(search.lower()) | F.exists("invoices", lambda x: F.lower(x["invoice_id"]).contains(search.lower())))
+        by_order = F.lower("purchase_order_id").contains(search.lower())
+        if invoices is None:
+            return rows.filter(by_order)
+        hits = invoices.filter(F.lower("invoice_id").contains(search.lower())).select("purchase_order_id").distinct().withColumn("_hit", F.lit(True))
+        rows = rows.join(hits, "purchase_order_id", "left").filter(by_order | F.col("_hit").isNotNull()).drop("_hit")
     return rows
 
 
@@ -116,11 +126,26 @@ def register_sort(rows: DataFrame, key: str, descending: bool = False, tie: str
     return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), tie)
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """Rows of a sorted table with their ``place``, from 1: rows are counted by partition, then within it.
+
+    The sorted rows are written first, since another sort could cut its partitions elsewhere.
+    """
+    spark = ordered.sparkSession
+    path = store.fresh_path(spark)
+    ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    out = rows.join(sizes.select("_part", before.alias("_before")), "_part")
+    return out.withColumn("place", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).drop("_id", "_part", "_before")
+
+
 def status_options(cases: DataFrame) -> DataFrame:
     return cases.select("status").filter("status is not null").distinct().orderBy("status")
 
 
 def bubble_scale(rows: DataFrame) -> DataFrame:
     """Value at risk on a log scale from 0 to 1, for charts."""
-    top = rows.agg(F.max("value_at_risk")).first()[0]  # one number
-    return rows.withColumn("scale", F.round(F.try_divide(F.log1p("value_at_risk"), F.log1p(F.lit(top))), 6))
+    top = rows.agg(F.max("value_at_risk").alias("_top"))  # one row
+    return rows.join(F.broadcast(top)).withColumn("scale", F.round(F.try_divide(F.log1p("value_at_risk"), F.log1p("_top")), 6)).drop("_top")

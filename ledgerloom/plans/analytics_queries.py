@@ -149,7 +149,7 @@ _PO = f"""{_scope(None)}, po AS (SELECT purchase_order_id, count(*) AS invoice_c
 
 @query(f"{_PO} SELECT *, CASE WHEN ordered_amount IS NOT NULL THEN billed_amount > ordered_amount + 0.01 END AS over_billed FROM po")
 def po_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.po_rows(cases(spark, sf_dir)).withColumn("statuses", F.array_join("statuses", ",")).drop("invoices")
+    return R.po_rows(cases(spark, sf_dir)).withColumn("statuses", F.array_join("statuses", ","))
 
 
 @query(f"{_PO} SELECT purchase_order_id, billed_amount, ordered_amount, invoice_count FROM po WHERE billed_amount > ordered_amount + 0.01")
@@ -178,13 +178,9 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.search(cases(spark, sf_dir), "101", ["invoice_id", "vendor_name", "purchase_order_id"], 20).select("exception_id", "score")
 
 
-@query(f"{_scope(None)} SELECT exception_id, po_amount, row_number() OVER (ORDER BY po_amount DESC NULLS LAST, exception_id) AS place FROM scoped ORDER BY place LIMIT 100")
+@query(f"{_scope(None)} SELECT exception_id, po_amount, CAST(row_number() OVER (ORDER BY po_amount DESC NULLS LAST, exception_id) AS BIGINT) AS place FROM scoped")
 def nulls_last_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = R.register_sort(cases(spark, sf_dir), "po_amount", descending=True).limit(100)
-    from pyspark.sql import Window
-
-    # 100 rows.
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("po_amount").desc_nulls_last(), "exception_id")).cast("long")).select("exception_id", "po_amount", "place")
+    return R.placed(R.register_sort(cases(spark, sf_dir), "po_amount", descending=True)).select("exception_id", "po_amount", "place")
 
 
 @query(f"{_scope(None)} SELECT DISTINCT status FROM scoped")

@@ -70,16 +70,16 @@ def document_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_DOCS}, g AS (SELECT exception_id, k AS reference_key, count(*) AS n, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM keyed GROUP BY ALL)
-SELECT *, sum(CAST(reference_key <> '' AS INT)) OVER (PARTITION BY exception_id) > 1 AS mixed FROM g""")
+SELECT *, sum(CAST(reference_key <> '' AS INT)) OVER (PARTITION BY exception_id) > 1 AS mixed, CASE WHEN reference_key <> '' THEN CAST(row_number() OVER (PARTITION BY exception_id ORDER BY CAST(reference_key = '' AS INT), n DESC, reference_key) AS INTEGER) END AS place FROM g""")
 def documents_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.by_reference(documents(spark, sf_dir)).withColumn("documents", F.array_join("documents", ","))
 
 
 @query(f"""{_DOCS}, c AS (SELECT i.exception_id, count(DISTINCT p.document_id) > 0 AS po, count(DISTINCT g.document_id) > 0 AS grn, count(DISTINCT t.document_id) > 0 AS q FROM keyed i LEFT JOIN keyed p ON p.exception_id = i.exception_id AND p.t = 'purchase_order'
 LEFT JOIN keyed g ON g.exception_id = i.exception_id AND g.t = 'goods_receipt_note' LEFT JOIN keyed t ON t.exception_id = i.exception_id AND t.t = 'quotation' WHERE i.t = 'vendor_invoice' AND i.part % 31 <> 0 GROUP BY 1)
-SELECT po AS purchase_order_exists, grn AS goods_receipt_exists, count(*) AS n FROM c GROUP BY ALL""")
+SELECT exception_id, po AS purchase_order_exists, grn AS goods_receipt_exists FROM c""")
 def matching_input_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.matching_input(documents(spark, sf_dir)).groupBy("purchase_order_exists", "goods_receipt_exists").agg(F.count(F.lit(1)).alias("n"))
+    return L.matching_input(documents(spark, sf_dir)).select("exception_id", "purchase_order_exists", "goods_receipt_exists")
 
 
 _EDGES = f"""{_IN}, f AS (SELECT exception_id, exception_type, conflict, po, goods_receipt_exists AS g, UNNEST([{{'f': 'vendor', 'o': other_vendor, 'e': po}}, {{'f': 'po_number', 'o': conflict, 'e': po}}, {{'f': 'unit_price', 'o': price_out, 'e': po}}, {{'f': 'quantity', 'o': qty_out, 'e': po AND goods_receipt_exists}}, {{'f': 'tax_arithmetic', 'o': tax_out, 'e': po}}]) AS x FROM e),
@@ -96,13 +96,13 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LEDGER}, r AS (SELECT exception_id, CASE CAST(vendor_id AS INT) % 4 WHEN 0 THEN 'clerk' WHEN 1 THEN 'manager' WHEN 2 THEN 'director' ELSE 'visitor' END AS role, total_c / 100.0::DOUBLE AS amount, line_number % 5 = 0 AS involved FROM ledger)
-SELECT CASE WHEN role = 'visitor' THEN 'role_not_authorised' WHEN involved THEN 'segregation_of_duties' WHEN (role = 'clerk' AND amount > 10000) OR (role = 'manager' AND amount > 50000) THEN 'over_limit' ELSE 'approved' END AS decision, role, count(*) AS n FROM r GROUP BY ALL""")
+SELECT exception_id, CASE WHEN role = 'visitor' THEN 'role_not_authorised' WHEN involved THEN 'segregation_of_duties' WHEN (role = 'clerk' AND amount > 10000) OR (role = 'manager' AND amount > 50000) THEN 'over_limit' ELSE 'approved' END AS decision, role FROM r""")
 def approval_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.element_at(F.array(*map(F.lit, ("clerk", "Manager", "director", "visitor"))), (F.col("vendor_id").cast("int") % 4 + 1).cast("int"))
     who = F.when(F.col("line_number") % 5 == 0, F.array(F.lit("ann"))).otherwise(F.array(F.lit("bob")))
     requests = ledger(spark, sf_dir).select("exception_id", F.lit(" Ann").alias("actor"), role.alias("role"), (F.col("total_c") / F.lit(100.0)).alias("amount"), who.alias("participants"))
     limits = spark.createDataFrame([("clerk", 10000.0), ("manager", 50000.0), ("director", None)], "role string, max_value double")
-    return V.approval(requests, limits).groupBy("decision", F.lower("role").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return V.approval(requests, limits).select("exception_id", "decision", F.lower("role").alias("role"))
 
 
 _PAIRS = f"""WITH {CASES}, p AS (SELECT exception_type AS expected, CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 10 = 0 THEN 'no_exception' WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 17 = 0 THEN 'price_variance' ELSE exception_type END AS predicted, business_unit, workspace_id FROM cases)"""

@@ -47,16 +47,16 @@ def exception_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluate(inputs(spark, sf_dir)).select("exception_id", "exception_type", "match_score", "verdict", "financial_impact", "risk_level")
 
 
-@query(f"{_IN} SELECT match_score, count(*) AS n FROM e GROUP BY match_score")
+@query(f"{_IN} SELECT exception_id, match_score FROM e")
 def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.evaluate(inputs(spark, sf_dir)).groupBy("match_score").agg(F.count(F.lit(1)).alias("n"))
+    return M.evaluate(inputs(spark, sf_dir)).select("exception_id", "match_score")
 
 
-@query(f"""{_IN} SELECT CASE WHEN conflict THEN 'contradicted' ELSE 'consistent' END AS verdict, CAST(count(*) FILTER (conflict) AS BIGINT) AS po_conflicts, CAST(count(*) FILTER (other_vendor) AS BIGINT) AS other_vendors, count(*) AS n FROM e GROUP BY 1""")
+@query(f"""{_IN} SELECT exception_id, CASE WHEN conflict THEN 'contradicted' ELSE 'consistent' END AS verdict, conflict AS po_conflict, other_vendor FROM e""")
 def coherence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = M.completed(inputs(spark, sf_dir)).select(M.coherence_signals().alias("s"))
-    has = lambda code: F.count_if(F.exists("s", lambda x: x["code"] == code))
-    return rows.groupBy(M.verdict(F.col("s")).alias("verdict")).agg(has("po_reference_conflict").alias("po_conflicts"), has("different_vendor").alias("other_vendors"), F.count(F.lit(1)).alias("n"))
+    rows = M.completed(inputs(spark, sf_dir)).select("exception_id", M.coherence_signals().alias("s"))
+    has = lambda code: F.exists("s", lambda x: x["code"] == code)
+    return rows.select("exception_id", M.verdict(F.col("s")).alias("verdict"), has("po_reference_conflict").alias("po_conflict"), has("different_vendor").alias("other_vendor"))
 
 
 @query(f"{_IN} SELECT exception_id, round(pv, 2) AS percentage_variance, CASE WHEN pv IS NULL THEN 'outside_tolerance' WHEN pv = 0 THEN 'matched' WHEN abs(pv) <= 5 THEN 'within_tolerance' ELSE 'outside_tolerance' END AS classification FROM v")
