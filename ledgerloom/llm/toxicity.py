@@ -6,9 +6,14 @@ word between.  The model learns online with a rate per coordinate and L1
 shrinkage, so most weights are zero and the rest are broadcast as two short
 arrays.  Words are runs of letters, digits and ``_``, in lower case.
 
+The model is fitted to a bounded sample of labelled rows: ``per_class`` of each
+class, one text of each id, none longer than ``max_bytes``.  Every document is
+scored on its whole text, however long.
+
 Null and empty texts have no features and get the score of the intercept alone.
 Repeated rows are scored row by row.  Of several labels for one id the highest
-counts.
+counts.  Ids may have any type and may be null; an empty table gives no rows, no
+labels a score of a half; columns other than those named don't reach the result.
 """
 
 from __future__ import annotations
@@ -118,27 +123,32 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, held_out: int = 1) -> list[tuple[str | None, int]]:
-    """At most ``per_class`` labelled texts of each class, chosen by hash, none from the held-out part."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != held_out))
-    known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_bytes: int, held_out: int = 1) -> list[tuple[str | None, int]]:
+    """At most ``per_class`` labelled texts of each class, chosen by hash, none from the held-out part.
+
+    ``docs``: ``doc_id, text``; ``labels``: ``doc_id, y``.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id")) != held_out))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
     picked = known.filter("y = 0").orderBy(order, "doc_id").limit(per_class).unionByName(known.filter("y = 1").orderBy(order, "doc_id").limit(per_class))
-    # At most 2 * per_class ids are broadcast and as many texts come back.
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("h", order)
-    rows = found.toPandas().sort_values(["h", "doc_id", "text"]).drop_duplicates("doc_id")
+    # At most 2 * per_class ids are broadcast and as many texts of bounded length come back, one of each id.
+    found = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("h", order)
+    rows = found.toPandas().sort_values("h", kind="stable")
     return list(zip(rows["text"], rows["y"].astype(int), strict=True))
 
 
 _WORKER: dict[str, tuple[Features, np.ndarray]] = {}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 3000, threshold: float = 0.7, **fit: float) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000, max_bytes: int = 200_000, threshold: float = 0.7, **fit: float) -> DataFrame:
     """One row per document: ``held_out``, ``score`` from 0 to 1, ``predicted``.
 
-    ``per_class`` bounds the labelled rows that the model is fitted to.
+    ``per_class`` and ``max_bytes`` bound the labelled rows that the model is fitted to.
     """
-    rows = training_rows(docs, labels, "toxic", per_class)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = training_rows(docs, labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")), per_class, max_bytes)
     model = fit_ftrl([t for t, _ in rows], [y for _, y in rows], **fit)
     key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.bits, model.bias, model.at, model.weight))
 
