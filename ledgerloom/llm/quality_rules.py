@@ -5,8 +5,10 @@ domain, here the source) are summed, each host's rate is shrunk by a beta prior
 fitted to all hosts by moments, and a document is kept if it passes the base
 rule and its host's shrunk rate is low enough.
 
-Null and blank texts have no words and fail.  A null host is a host of its own.
-Repeated rows count as documents.  Extra columns pass through ``judged``.
+Null and blank texts have no words and fail; very long texts are measured whole.
+A null host is a host of its own.  Repeated rows count as documents, ids may have
+any type, empty tables give no rows, and extra columns pass through ``judged``
+whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, stored, words_of
+from ledgerloom.llm.common import SPACES, fresh, stored, words_of
 
 #: Words of a window that counts as repeated.
 WINDOW = 8
@@ -25,7 +27,7 @@ def measured(docs: DataFrame, text_col: str = "text", window: int = WINDOW, pref
     """``docs`` with the five measures, each a long named ``prefix`` and its name."""
     name = {m: f"{prefix}{m}" for m in MEASURES}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, hashes, places = (f"__{x}_{prefix}" for x in ("words", "hashes", "places"))
+    words, hashes, places = fresh("words"), fresh("hashes"), fresh("places")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn(words, words_of(F.col(text_col)))
     n = F.size(words)
@@ -92,8 +94,9 @@ def judged(docs: DataFrame, *, text_col: str = "text", host_col: str = "source",
     The rows are written with their verdict, so texts are measured once and no
     filter can be pushed into the measures, which would compute them many times.
     """
-    rows = measured(docs, text_col, prefix="__q_").withColumn("__q_failed", base_failed("__q_"))
-    rows = stored(rows.select(*[F.col(f"`{c}`") for c in docs.columns], "__q_failed"))
-    hosts = host_verdicts(rows.select(F.col(host_col).alias("host"), F.col("__q_failed").alias("failed")), **limits)
-    bad = hosts.filter(~F.col("host_ok")).select(F.col("host").alias("__q_host"))
-    return rows.filter(~F.col("__q_failed")).drop("__q_failed").join(bad, F.col(host_col).eqNullSafe(F.col("__q_host")), "left_anti")
+    prefix, failed, host = fresh("q") + "_", fresh("failed"), fresh("host")
+    rows = measured(docs, text_col, prefix=prefix).withColumn(failed, base_failed(prefix))
+    rows = stored(rows.select(*[F.col(f"`{c}`") for c in docs.columns], failed))
+    hosts = host_verdicts(rows.select(F.col(host_col).alias("host"), F.col(failed).alias("failed")), **limits)
+    bad = hosts.filter(~F.col("host_ok")).select(F.col("host").alias(host))
+    return rows.filter(~F.col(failed)).drop(failed).join(bad, F.col(host_col).eqNullSafe(F.col(host)), "left_anti")
