@@ -284,6 +284,91 @@ def test_mixing_keeps_sources_and_repeated_rows_apart(spark):
         assert abs(taken[s] - t) <= 12 and abs(mixed[s] - t) <= 12
 
 
+def test_mixing_of_many_equal_rows_and_small_sources(spark):
+    # 400 equal rows beside others: rounded one by one, so the target is met within a document.
+    rows = [(1, "one two three four", "en", "s0", 18)] * 400 + [(i, "word " * 5, "en", "s1", 25) for i in range(300)] + [(f, "x y", "en", "s2", 3) for f in range(50)]
+    df = frame(spark, rows)
+    got = mixing.mix_report(df).collect()
+    assert len(got) == len(rows)
+    mixed = collections.Counter()
+    for r in mixing.mixed(df).collect():
+        mixed[r.source] += len(r.text.split())
+    for s, longest in (("s0", 4), ("s1", 5), ("s2", 2)):
+        target = next(r.target for r in got if r.source_size == sum(len(t.split()) for _, t, _, z, _ in rows if z == s))
+        taken = sum(r.taken for r in got if abs(r.target - target) < 1e-9)
+        assert abs(taken - target) <= longest and abs(mixed[s] - target) <= longest
+    # One id in two sources, text ids, many sources of three documents each.
+    few = spark.createDataFrame([("d1", "a b c", "s0"), ("d1", "a b c", "s1")], "doc_id string, text string, source string")
+    assert all(r.taken <= 2 * r.size for r in mixing.mix_report(few).collect())
+    many = spark.range(6000).selectExpr("concat('d', id) AS doc_id", "repeat('w ', cast(1 + id % 5 as int)) AS text", "concat('s', id div 3) AS source")
+    got = mixing.mix_report(many).collect()
+    assert len(got) == 6000 and all(r.taken <= 2 * r.size for r in got) and abs(sum(r.taken for r in got) / sum(r.size for r in got) - 1.5) < 0.05
+
+
+@pytest.mark.parametrize("n", [4000])
+def test_line_dedup_against_brute_force(spark, n):
+    r = random.Random(21)
+    fresh = lambda k: " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(k))
+    pool = [fresh(r.choice([3, 9, 20, 55])) for _ in range(60)]
+    docs = []
+    for i in range(80):
+        own = [fresh(r.randint(1, 12)) for _ in range(r.randint(1, 6))]
+        for _ in range(r.randint(0, 3)):
+            at, k = r.randrange(50), r.randint(1, 8)
+            own[r.randint(0, len(own)) : 0] = pool[at : at + k]
+        docs.append(own if i % 9 else docs[-1] if docs else own)
+    docs.append([fresh(2) for _ in range(n)])
+    docs.append(docs[-1][: n // 2] + [fresh(4)] + docs[-1][n // 2 :])
+    rows = [(i, "\n".join(d), "en", "s", 1) for i, d in enumerate(docs)]
+
+    def runs(lines):
+        """Places of windows of two lines and of long lines."""
+        words = [len(x.split()) for x in lines]
+        return [((lines[j], lines[j + 1]), (j, j + 1)) for j in range(len(lines) - 1)] + [((lines[j],), (j,)) for j in range(len(lines)) if words[j] >= 50]
+
+    first = {}
+    for i, d in enumerate(docs):
+        for key, at in runs(d):
+            first.setdefault(key, (i, at[0]))
+    must = {}  # places that repeat an earlier one, in runs of 50 words and more
+    for i, d in enumerate(docs):
+        again = sorted({p for key, at in runs(d) if first[key] != (i, at[0]) for p in at})
+        while again:
+            run = [again.pop(0)]
+            while again and again[0] == run[-1] + 1:
+                run.append(again.pop(0))
+            if sum(len(d[p].split()) for p in run) >= 50:
+                must.setdefault(i, set()).update(run)
+    known = collections.Counter(x for i, d in enumerate(docs) for x in set(d))
+    for x in line_dedup.dedup_lines(frame(spark, rows), removed_col="gone").collect():
+        left, d = x.text.split("\n") if x.text else [], docs[x.doc_id]
+        kept = [t for p, t in enumerate(d) if p not in must.get(x.doc_id, set())]
+        extra = collections.Counter(kept) - collections.Counter(left)
+        assert not collections.Counter(left) - collections.Counter(kept), "what repeats has gone"
+        # Chunks of several lines may take more, but only lines that are elsewhere too.
+        assert all(known[t] > 1 or d.count(t) > 1 for t in extra), x.doc_id
+
+
+def test_stages_take_text_ids_and_any_names(spark):
+    """Each stage with text ids, nulls, and columns that are called like what operators use inside."""
+    names = ["__k", "__q_host", "__mix_k", "__found", "__row", "__n", "k", "h", "host", "source_up", "fp", "r", "s", "n", "copies", "doc", "own", "drop", "kept", "first", "key", "item_id"]
+    rows = [(f"d{i}", t, s) for i, t, _, s, _ in corpus(30)] + [(None, "lone words " * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    bench = spark.createDataFrame([("b1", "one two three four five six seven")], "item_id string, text string")
+    stages = {
+        "rules": quality_rules.judged, "lines": line_dedup.dedup_lines, "copies": simhash.one_per_alike, "groups": simhash.one_per_group, "leaks": lambda d: decontaminate.clean(d, bench), "mix": mixing.mixed, "pii": lambda d: pii.pseudonymised(d, "k"),
+    }
+    for name, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all([r[c] for c in names] == list(range(len(names))) for r in got), name
+    ids = {r.doc_id for r in docs.collect()}
+    assert {r.doc_id for r in mixing.mix_report(docs).collect()} == ids == {r.doc_id for r in quality_rules.quality_report(docs).collect()}
+    assert {r.doc_id for r in simhash.grouped(docs).collect()} == ids
+    assert decontaminate.leaked(docs, bench).count() == 0
+
+
 def test_decontaminate(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("abcdefghij", k=r.randint(2, 5)))
