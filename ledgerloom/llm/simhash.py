@@ -7,7 +7,9 @@ groups are the connected components.
 Candidates: the 64 bits are cut into six bands.  Two fingerprints within four
 bits of each other differ in at most four bands and so agree in two, hence each
 different fingerprint goes to a shard for each pair of bands (15 copies of
-eight bytes).  A shard's fingerprints form a BK-tree: a child hangs on its
+eight bytes).  Shards that are too large for a task are dealt to finer ones by
+the bits that they leave open, again by bands of which some must agree, so that
+no task holds more than 2^18 fingerprints.  A shard's fingerprints form a BK-tree: a child hangs on its
 parent by their distance, and a search follows only the edges within the radius
 of its own distance.  The shards' trees are partitioned, not broadcast, since
 fingerprints of all documents may not pass the driver and have no size bound.
@@ -31,6 +33,7 @@ million, and links only pairs whose shingles, compared exactly, are that alike.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -49,6 +52,8 @@ ALIKE = (4, 5)
 #: Repeated fingerprints, and minima in each.
 REPEATS, MINIMA = 24, 4
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, (REPEATS * MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Fingerprints of a shard that one task may hold; larger shards are dealt further.
+MOST_IN_SHARD = 20_000
 #: Bits of the map of candidate rows, at most.
 MAP_BITS = 26
 
@@ -188,15 +193,61 @@ def _of_rows(rows: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Different fingerprints (column ``fp``) to ``a, b`` links that span each group of links."""
+def links(fps: DataFrame, most: int = MOST_IN_SHARD) -> DataFrame:
+    """Different fingerprints (column ``fp``) to ``a, b`` links that span each group of links.
+
+    Shards of more than ``most`` fingerprints are dealt to finer ones before any
+    of them is gathered; the finest are bounded by the bits that are left.
+    """
     keys = []
     for n, ((s, w), (t, v)) in enumerate(combinations(BANDS, 2)):
         part = lambda shift, width: F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
         keys.append(F.lit(n << 22).cast("long").bitwiseOR(F.shiftleft(part(s, w), v)).bitwiseOR(part(t, v)))
-    shards = fps.select("fp", F.explode(F.array(*keys)).alias("shard"))
-    shards = shards.repartition("shard").sortWithinPartitions("shard", "fp")
-    return shards.select("shard", "fp").mapInPandas(_links, "a long, b long").distinct()
+    shards = fps.select("fp", F.explode(F.array(*keys)).alias("shard")).select("shard", "fp")
+    kind, found = "shard long, fp long, rest long", []
+    for level, (widths, agree) in enumerate((*FINER, (None, 0))):
+        large = stored(shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("shard")) if widths else None
+        if large is None or large.isEmpty():
+            found.append(shards)
+            break
+        found.append(shards.join(large, "shard", "left_anti"))
+        shards = stored(shards.join(large, "shard", "left_semi").mapInPandas(partial(_finer, level=level, widths=widths, agree=agree), kind))
+    every = reduce(DataFrame.unionByName, (x.select("shard", "fp") for x in found))
+    return every.repartition("shard").sortWithinPartitions("shard", "fp").mapInPandas(_links, "a long, b long").distinct()
+
+
+#: How the bits that a shard leaves open are cut further: widths of bands, and how many of them must agree within four bits.
+FINER = (((7, 7, 6, 6, 6, 6, 6), 3), ((5, 5, 4, 4, 4, 4), 2))
+
+
+def _packed(values: np.ndarray, bands: list[tuple[int, int]]) -> np.ndarray:
+    """The bits of some bands, (shift, width) each, side by side."""
+    out = np.zeros(len(values), np.uint64)
+    for shift, width in bands:
+        out = (out << np.uint64(width)) | ((values >> np.uint64(shift)) & np.uint64((1 << width) - 1))
+    return out
+
+
+def _finer(batches: Iterator[pd.DataFrame], level: int, widths: tuple[int, ...], agree: int) -> Iterator[pd.DataFrame]:
+    """Rows of large shards to finer shards; those of the first level leave the bits of all but two bands open."""
+    bands = list(zip(np.cumsum((0, *widths[:-1])).tolist(), widths, strict=True))
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            part = batch.iloc[at : at + 2000]
+            fp, shard = (part[c].to_numpy(np.int64).view(np.uint64) for c in ("fp", "shard"))
+            if level:
+                rest = part["rest"].to_numpy(np.int64).view(np.uint64)
+            else:
+                rest = np.zeros(len(part), np.uint64)
+                for n, pair in enumerate(combinations(BANDS, 2)):
+                    mine = (shard >> np.uint64(22)) == n
+                    rest[mine] = _packed(fp[mine], [x for x in BANDS if x not in pair])
+            for k, some in enumerate(combinations(bands, agree)):
+                # Shards that meet by chance are compared for nothing; none is lost.
+                with np.errstate(over="ignore"):
+                    key = ((shard * _ODD[0] + np.uint64(k)) * _ODD[1] + _packed(rest, list(some))) * _ODD[2]
+                left = _packed(rest, [x for x in bands if x not in some])
+                yield pd.DataFrame({"shard": (key ^ (key >> np.uint64(29))).view(np.int64), "fp": fp.view(np.int64), "rest": left.view(np.int64)})
 
 
 #: Parts into which a node's edges are dealt where its minimum is joined to them.

@@ -133,6 +133,20 @@ def test_bk_trees_lose_no_link():
         assert sorted(tree.values[i] for i in tree.within(q, 4)) == sorted(v for v in values if (v ^ q).bit_count() <= 4)
 
 
+def test_large_shards_are_dealt_further_and_lose_no_link(spark):
+    r = random.Random(14)
+    centres = [r.getrandbits(64) for _ in range(3)]
+    values = list({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))) for c in centres for _ in range(120)})
+    want = roots(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    assert len(set(want)) > 10
+    signed = np.array(values, np.uint64).view(np.int64).tolist()
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long")
+    for most in (20_000, 20, 3):
+        spans = [(x.a, x.b) for x in simhash.links(fps, most).collect()]
+        assert roots(signed, lambda a, b, s=set(spans): (a, b) in s or (b, a) in s) == want
+        assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 64 for a, b in spans)
+
+
 def test_components_with_a_hot_node_and_a_chain(spark):
     edges = [(1, k) for k in range(2, 200)] + [(k, k + 1) for k in range(1000, 1040)] + [(500, 500)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
