@@ -50,22 +50,23 @@ def paired_lines(po: Column, invoice: Column) -> Column:
     own or begins with it, or the other way round.
     """
     empty = F.array().cast(LINES)
-    numbered = F.transform(F.coalesce(invoice, empty), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    # Keys are made once a line, before lines are held against each other.
+    keyed = F.transform(F.coalesce(po, empty), lambda x: F.struct(unicode_key(x["description"]).alias("key"), x.alias("x")))
+    numbered = F.transform(F.coalesce(invoice, empty), lambda x, i: F.struct(i.alias("i"), unicode_key(x["description"]).alias("key"), x.alias("x")))
     start = F.struct(numbered.alias("rest"), F.array().cast(f"array<{_PAIR}>").alias("pairs"))
 
     def step(acc: Column, line: Column) -> Column:
-        key = unicode_key(line["description"])
+        fits = lambda c: (line["key"] != "") & (c["key"] != "") & (c["key"].startswith(line["key"]) | line["key"].startswith(c["key"]))
+        chosen = F.get(F.filter(acc["rest"], fits), F.lit(0))
 
-        def fits(c: Column) -> Column:
-            other = unicode_key(c["x"]["description"])
-            return (key != "") & (other != "") & (other.startswith(key) | key.startswith(other))
+        def taken(c: Column) -> Column:
+            rest = F.filter(acc["rest"], lambda x: c.isNull() | (x["i"] != c["i"]))
+            return F.struct(rest.alias("rest"), F.concat(acc["pairs"], F.array(F.struct(line["x"].alias("po"), c["x"].alias("inv")).cast(_PAIR))).alias("pairs"))
 
-        chosen = F.get(F.filter(acc["rest"], fits), F.lit(0))
-        rest = F.filter(acc["rest"], lambda c: chosen.isNull() | (c["i"] != chosen["i"]))
-        return F.struct(rest.alias("rest"), F.concat(acc["pairs"], F.array(F.struct(line.alias("po"), chosen["x"].alias("inv")).cast(_PAIR))).alias("pairs"))
+        return F.get(F.transform(F.array(chosen), taken), F.lit(0))
 
     left = lambda acc: F.transform(acc["rest"], lambda c: F.struct(F.lit(None).cast(_LINE).alias("po"), c["x"].alias("inv")).cast(_PAIR))
-    return F.aggregate(F.coalesce(po, empty), start, step, lambda acc: F.concat(acc["pairs"], left(acc)))
+    return F.aggregate(keyed, start, step, lambda acc: F.concat(acc["pairs"], left(acc)))
 
 
 def compared_lines(po: Column, invoice: Column, tolerance: Column) -> Column:
