@@ -104,3 +104,24 @@ def sender_allowed(address: Column, allowed: list[str]) -> Column:
     for d in domains:
         hit = hit | mail.endswith(d)
     return F.coalesce(hit, F.lit(False))
+
+
+# Currency sign, what stands for an unknown amount, and the units of short amounts.
+CURRENCY, UNKNOWN_AMOUNT, CRORE, LAKH = "₹", "—", 10_000_000, 100_000
+
+
+def money_text(value: Column) -> Column:
+    """Whole amount with groups of two digits above the thousands; a dash if it isn't known."""
+    whole = F.floor(value + 0.5).cast("long")
+    digits = F.abs(whole).cast("string")
+    front = F.substring(digits, F.lit(1), F.length(digits) - 3)
+    pairs = F.reverse(F.regexp_replace(F.reverse(front), r"(\d{2})(?=\d)", "$1,"))
+    grouped = F.when(F.length(digits) > 3, F.concat(pairs, F.lit(","), F.substring(digits, -3, 3))).otherwise(digits)
+    shown = F.concat(F.lit(CURRENCY), F.when(whole < 0, F.lit("-")).otherwise(F.lit("")), grouped)
+    return F.when(value.isNull() | F.isnan(value), F.lit(UNKNOWN_AMOUNT)).otherwise(shown)
+
+
+def money_short(value: Column) -> Column:
+    """Crore and lakh with two places, smaller amounts as ``money_text``."""
+    short = lambda unit, name: F.concat(F.lit(CURRENCY), F.format_string("%.2f", value / F.lit(float(unit))), F.lit(name))
+    return F.when(value >= CRORE, short(CRORE, "Cr")).when(value >= LAKH, short(LAKH, "L")).otherwise(money_text(value))

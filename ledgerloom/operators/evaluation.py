@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Files of recorded runs.
@@ -40,6 +40,13 @@ def detection(rows: DataFrame, clean: str = "no_exception") -> DataFrame:
     return out.withColumns({"recall": ratio(F.col("caught"), F.col("caught") + F.col("missed")), "precision": ratio(F.col("caught"), F.col("caught") + F.col("false_alarms")), "exact_share": ratio(F.col("exact"), F.col("n"))})
 
 
+def cross_case_share(rows: DataFrame) -> DataFrame:
+    """``predicted, cross_case, financial_impact``: how much of what was flagged needed other cases to be seen."""
+    flagged = F.col("predicted") != "no_exception"
+    out = rows.agg(F.count_if("cross_case").alias("exceptions_found"), F.coalesce(F.sum(F.when(F.col("cross_case"), F.col("financial_impact").cast("decimal(18,2)"))), F.lit(0)).cast("double").alias("value"), F.count_if(flagged).alias("flagged"))
+    return out.withColumn("share_of_exceptions", F.coalesce(F.round(F.try_divide("exceptions_found", "flagged"), 4), F.lit(0.0))).drop("flagged")
+
+
 def by_condition(rows: DataFrame, *columns: str) -> DataFrame:
     """Accuracy by noise or any other condition."""
     hit = F.col("expected") == F.col("predicted")
@@ -85,6 +92,15 @@ def corpus_counts(cases: DataFrame) -> DataFrame:
     return cases.filter("exception_type is not null and exception_type <> 'no_exception'").groupBy("exception_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Fixed value: what a stated amount is multiplied by where the guard rail is put to the test.
+FAULT = 1.248
+
+
+def with_fault(correct: Column) -> Column:
+    """A stated amount that is wrong on purpose."""
+    return F.round(correct * FAULT, 2)
+
+
 def trust_checks(rows: DataFrame, least: float = 0.01) -> DataFrame:
     """Stated against computed values: difference, percentage (null if 0 was computed), overridden."""
     diff = F.col("ai_value") - F.col("computed_value")

@@ -9,8 +9,9 @@ from ledgerloom.functions import keys
 from ledgerloom.functions import variance as V
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import evidence
-from ledgerloom.operators import history as H
 from ledgerloom.operators import matching as M
+from ledgerloom.operators import orchestration as O
+from ledgerloom.model import DOCUMENT
 from ledgerloom.plans.document_queries import _PAIRS, decisions
 from ledgerloom.plans.history_queries import _INV, billed, invoices
 from ledgerloom.plans.ledger import CASES, LEDGER, cases, ledger
@@ -73,15 +74,9 @@ def outstanding_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matching input with what the history checks found, lines on some cases and links that nobody confirmed."""
-    found = invoices(spark, sf_dir)
-    rank = F.when(F.col("confidence") == "exact", 1).when(F.col("confidence") == "near", 2).otherwise(3)
-    duplicates = H.duplicate_findings(found).groupBy("exception_id").agg(F.min_by("confidence", rank).alias("duplicate_confidence"))
-    changed = H.payment_changes(found).select("exception_id", F.lit(True).alias("payment_changed")).distinct()
     orders = billed(spark, sf_dir).filter("purchase_order_exists and part % 3 = 0").select("exception_id", F.col("purchase_order_id").alias("po_number"), (F.col("po_c") / F.lit(100.0)).alias("order_value"))
-    running = H.cumulative_billing(found, orders).select("exception_id", "order_value", "total_billed", "over_billed_by", "invoice_count")
-    rows = inputs(spark, sf_dir)
-    for more in (duplicates, changed, running):
-        rows = rows.join(more, "exception_id", "left")
+    found = O.history_columns(invoices(spark, sf_dir), orders).drop("drift_first", "drift_latest", "drift_percent")
+    rows = inputs(spark, sf_dir).join(found, "exception_id", "left")
     drift = F.col("part") % 10 == 7
     line = lambda words, price: F.array(F.struct(words.alias("description"), F.lit(2.0).alias("quantity"), F.lit(price).alias("unit_price"), F.lit(2.0 * price).alias("amount"), F.lit(None).cast("string").alias("hsn_sac")))
     lined = F.col("part") % 8 == 3
@@ -234,3 +229,82 @@ def case_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 3
     raw = F.when(k == 0, F.lit(" \t\n")).when(k == 1, F.concat(F.lit(" Invoice\n\t"), "c_custkey", F.lit("  from Acme "))).otherwise(F.repeat(F.lit("x"), F.lit(500)))
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", keys.title(raw).alias("title"))
+
+
+def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice, order and receipt of each ledger row with their extractions."""
+    c = F.col
+    money = lambda x: c(x) / F.lit(100.0)
+    own = F.concat(F.lit("PO-"), "purchase_order_id")
+    facts = {
+        "vendor_invoice": {"invoice_number": c("invoice_number"), "vendor_name": c("vendor_name"), "po_number": own, "invoice_date": F.date_format("created_at", "dd/MM/yyyy"), "line_item_description": c("part").cast("string"), "quantity": c("qty").cast("double"), "unit_price": money("unit_c"),
+                           "subtotal": money("subtotal_c"), "tax_amount": money("tax_c"), "total_amount": money("total_c"), "bank_account_number": c("bank_account")},
+        "purchase_order": {"vendor_name": F.when(c("vendor_id").cast("long") % 2 == 0, F.concat("po_vendor_name", F.lit(" PRIVATE LIMITED"))).otherwise(c("po_vendor_name")), "po_number": F.concat(F.lit("po "), "purchase_order_id"), "unit_price": money("po_unit_c"), "total_amount": money("po_c")},
+        "goods_receipt_note": {"po_number": own, "received_quantity": c("received_qty").cast("double")},
+    }
+    there = {"purchase_order": c("purchase_order_exists"), "goods_receipt_note": c("goods_receipt_exists")}
+
+    def document(kind: str) -> Column:
+        fields = [facts[kind].get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in DOCUMENT["extraction"].dataType]
+        made = F.struct(F.concat_ws("-", "exception_id", F.lit(kind)).alias("document_id"), F.lit(kind).alias("document_type"), F.struct(*fields).alias("extraction"))
+        return F.when(there.get(kind, F.lit(True)), made)
+
+    rows = ledger(spark, sf_dir).select("exception_id", "workspace_id", "uploaded_at", F.explode(F.array_compact(F.array(*map(document, facts)))).alias("d"))
+    return rows.select("d.document_id", "exception_id", "workspace_id", "d.document_type", F.lit("completed").alias("processing_state"), "uploaded_at", "d.extraction")
+
+
+_CASE = f"""WITH {LEDGER}, {_INV[_INV.index('inv AS (SELECT'):].replace('FROM billed', 'FROM ledger')}, {_IN[len(f'WITH {LEDGER}, '):]},
+dup AS (SELECT exception_id, count(*) OVER (PARTITION BY workspace_id, vendor_key, number_key) > 1 AS exact FROM inv),
+near AS (SELECT DISTINCT a.exception_id, a.workspace_id, a.vendor_key, a.total_c FROM inv a JOIN inv b ON a.workspace_id = b.workspace_id AND a.vendor_key = b.vendor_key AND abs(a.total_c - b.total_c) <= 1 AND a.exception_id <> b.exception_id AND a.number_key <> b.number_key AND abs(date_diff('day', a.d, b.d)) <= 90),
+gap AS (SELECT *, CASE WHEN date_diff('day', lag(d) OVER w, d) > 0 THEN date_diff('day', lag(d) OVER w, d) END AS gap FROM inv WINDOW w AS (PARTITION BY workspace_id, vendor_key, total_c ORDER BY d, exception_id)),
+cyc AS (SELECT workspace_id, vendor_key, total_c FROM gap GROUP BY ALL HAVING count(*) >= 3 AND count(gap) >= 2 AND avg(gap) BETWEEN 20 AND 400 AND stddev_pop(gap) / avg(gap) <= 0.25),
+bank AS (SELECT workspace_id, vendor_key, exception_id, bank_account, row_number() OVER (PARTITION BY workspace_id, vendor_key ORDER BY uploaded_at DESC, exception_id DESC) AS rank FROM inv),
+pay AS (SELECT i.exception_id FROM inv i JOIN bank l ON l.workspace_id = i.workspace_id AND l.vendor_key = i.vendor_key AND l.rank <= 2 AND l.exception_id <> i.exception_id QUALIFY row_number() OVER (PARTITION BY i.exception_id ORDER BY l.rank) = 1 AND lower(l.bank_account) <> lower(i.bank_account)),
+price AS (SELECT *, date_diff('day', min(d) OVER s, d) / 30.44::DOUBLE AS months, unit_c - lag(unit_c) OVER (PARTITION BY workspace_id, vendor_key, part ORDER BY d, exception_id) AS step FROM inv WINDOW s AS (PARTITION BY workspace_id, vendor_key, part)),
+drift AS (SELECT workspace_id, vendor_key, part, regr_slope(unit_c / 100.0::DOUBLE, months) AS slope, arg_min(unit_c, (d, exception_id)) / 100.0::DOUBLE AS a, arg_max(unit_c, (d, exception_id)) / 100.0::DOUBLE AS b FROM price GROUP BY ALL
+ HAVING count(*) >= 4 AND max(months) > 0 AND slope > 0 AND slope / a * 100 >= 0.5 AND (b - a) / a * 100 >= 5 AND count(*) FILTER (step < -1) = 0 AND count(*) FILTER (step > 1) * 2 > count(*) - 1),
+bill AS (SELECT exception_id, sum(total_c) OVER w AS billed_c, count(*) OVER w AS billed_n FROM inv WINDOW w AS (PARTITION BY workspace_id, purchase_order_id)),
+k AS (SELECT v.*, CASE WHEN NOT v.po THEN 'missing_purchase_order' WHEN dup.exact THEN 'duplicate_invoice' WHEN pay.exception_id IS NOT NULL THEN 'payment_details_changed' WHEN false AND billed_c - v.po_c > 1 AND billed_n > 1 THEN 'po_over_billed'
+ WHEN near.exception_id IS NOT NULL AND cyc.total_c IS NULL THEN 'duplicate_invoice' WHEN o.tax_out THEN 'tax_total_mismatch' WHEN NOT v.goods_receipt_exists THEN 'missing_goods_receipt' WHEN o.qty_out THEN 'quantity_variance' WHEN abs(o.pv) > 5 OR o.pv IS NULL THEN 'price_variance'
+ WHEN near.exception_id IS NOT NULL THEN 'recurring_suspected' WHEN drift.part IS NOT NULL THEN 'vendor_price_drift' ELSE 'no_exception' END AS kind
+ FROM v JOIN o USING (exception_id) JOIN dup USING (exception_id) JOIN bill USING (exception_id) JOIN inv USING (exception_id) LEFT JOIN near ON near.exception_id = v.exception_id LEFT JOIN pay ON pay.exception_id = v.exception_id
+ LEFT JOIN cyc ON cyc.workspace_id = near.workspace_id AND cyc.vendor_key = near.vendor_key AND cyc.total_c = near.total_c LEFT JOIN drift ON drift.workspace_id = inv.workspace_id AND drift.vendor_key = inv.vendor_key AND drift.part = inv.part)"""
+
+
+@query(f"""{_CASE} SELECT exception_id, kind AS exception_type, CASE WHEN part % 4 = 0 THEN 'assigned' WHEN kind = 'no_exception' THEN 'cleared' ELSE 'exception_detected' END AS status FROM k""")
+def case_orchestration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to links, history, tolerances, match and status in one plan; orders state no tax, so no total can be compared with what was billed."""
+    rules = spark.createDataFrame([("default", None, 5.0, 2.0), ("category", "services", 50.0, 50.0)], "scope string, name string, price double, quantity double")
+    rows = ledger(spark, sf_dir).select("exception_id", F.when(F.col("part") % 4 == 0, F.lit("assigned")).when(F.col("part") % 4 == 1, F.lit("received")).otherwise(F.lit("processing")).alias("status"))
+    return O.analysed(rows, case_documents(spark, sf_dir), rules).select("exception_id", "exception_type", "status")
+
+
+@query(f"""WITH {LEDGER}, m AS (SELECT exception_id, CASE WHEN part % 9 = 0 THEN NULL ELSE total_c / 100.0::DOUBLE * CASE WHEN part % 4 = 0 THEN 1000 WHEN part % 4 = 1 THEN 10 ELSE 1 END END AS v, CAST(floor(total_c / 100.0::DOUBLE * CASE WHEN part % 4 = 0 THEN 1000 WHEN part % 4 = 1 THEN 10 ELSE 1 END + 0.5) AS BIGINT) AS w FROM ledger),
+t AS (SELECT *, CASE WHEN v IS NULL THEN '—' WHEN w < 1000 THEN '₹' || w ELSE '₹' || reverse(regexp_replace(reverse(CAST(w // 1000 AS VARCHAR)), '([0-9]{{2}})', '\\1,', 'g')) || ',' || lpad(CAST(w % 1000 AS VARCHAR), 3, '0') END AS raw FROM m),
+g AS (SELECT *, regexp_replace(raw, '₹,', '₹') AS shown FROM t) SELECT exception_id, shown, CASE WHEN v IS NULL THEN '—' WHEN v >= 10000000 THEN '₹' || printf('%.2f', v / 10000000) || 'Cr' WHEN v >= 100000 THEN '₹' || printf('%.2f', v / 100000) || 'L' ELSE shown END AS short FROM g""")
+def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.col("part")
+    value = F.when(part % 9 != 0, F.col("total_c") / F.lit(100.0) * F.when(part % 4 == 0, 1000).when(part % 4 == 1, 10).otherwise(1))
+    return ledger(spark, sf_dir).select("exception_id", keys.money_text(value).alias("shown"), keys.money_short(value).alias("short"))
+
+
+@query(f"""{_FULL}, r AS (SELECT kind, found IN ('duplicate_invoice', 'po_over_billed', 'payment_details_changed', 'recurring_suspected', 'vendor_price_drift') AS c FROM h) SELECT count(*) FILTER (c) AS exceptions_found, round(count(*) FILTER (c) / count(*) FILTER (kind <> 'no_exception'), 4) AS share_of_exceptions FROM r""")
+def cross_case_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.evaluate(full_inputs(spark, sf_dir)).select(F.col("exception_type").alias("predicted"), "cross_case", "financial_impact")
+    return E.cross_case_share(rows).drop("value")
+
+
+@query(f"WITH {CASES} SELECT exception_id, round(financial_impact * 1.248, 2) AS stated, financial_impact > 0.04 AS overridden FROM cases")
+def injected_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guard rails put to the test: figures that are wrong on purpose are caught."""
+    rows = cases(spark, sf_dir).select("exception_id", E.with_fault(F.col("financial_impact")).alias("ai_value"), F.col("financial_impact").alias("computed_value"))
+    return E.trust_checks(rows).select("exception_id", F.col("ai_value").alias("stated"), "overridden")
+
+
+@query(f"WITH {CASES}, s AS (SELECT exception_id, CASE WHEN exception_type <> 'no_exception' THEN exception_type END AS t FROM cases) SELECT exception_id, t AS exception_type, CAST(row_number() OVER (ORDER BY t ASC NULLS LAST, exception_id) AS BIGINT) AS place FROM s")
+def queue_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue by a text column: rows not analysed come last."""
+    from ledgerloom.operators import registers as R
+
+    rows = cases(spark, sf_dir).select("exception_id", F.when(F.col("exception_type") != "no_exception", F.col("exception_type")).alias("exception_type"))
+    return R.placed(R.register_sort(rows, "exception_type"))
