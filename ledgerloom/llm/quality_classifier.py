@@ -3,10 +3,10 @@
 The content view reads the text alone: the mean weight of its hashed words,
 their shapes and pairs of shapes, and what its characters and lines are like.  The metadata view never sees the text: it
 knows language, source and the order of magnitude of the stated length.  Each
-view learns from labelled rows.  Then, round after round, both score every
-unlabelled document in a Spark pass, and what a view is sure of is taught to the
-other: ``each`` rows of each class at most, drawn by hash from all that are
-sure.  Both views are calibrated on labelled rows kept apart; a document's score
+view learns from labelled rows.  Then, round after round, both score a share of the
+unlabelled documents in a Spark pass (in all rounds together every one of them,
+once), and what a view is sure of is taught to the other: ``each`` rows of each
+class at most, drawn by hash from all that are sure.  Both views are calibrated on labelled rows kept apart; a document's score
 multiplies their odds (each against the classes' own), so a view that knows
 nothing changes nothing.
 
@@ -70,9 +70,8 @@ class Tokens:
         self.at[i] = (xxhash.xxh32_intdigest(token.lower()) >> (32 - BITS), xxhash.xxh32_intdigest("shape " + shape(token)) >> (32 - BITS))
         return i
 
-    def places(self, text: str | None) -> np.ndarray:
+    def places(self, words: list[str]) -> np.ndarray:
         """Places of the features, repeats included."""
-        words = text.split() if text else []
         if not words:
             return np.zeros(1, np.int64)
         if len(self.ids) > TABLE_WORDS:
@@ -84,16 +83,19 @@ class Tokens:
         return np.concatenate([at.ravel(), pairs])
 
 
-def layout(text: str | None) -> np.ndarray:
+_KINDS = np.zeros((256, 9))  # of bytes: line feeds, capitals, digits, marks, bars, calls, signs, spaces, all
+for _k, _bytes in enumerate(((10,), range(65, 91), range(48, 58), (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)), (124,), (33,), (35, 36, 37, 38, 42), (32,), range(256))):
+    _KINDS[list(_bytes), _k] = 1
+
+
+def layout(text: str | None, words: list[str]) -> np.ndarray:
     """Shares of kinds of characters, of lines and of repeated words."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    n, count = max(1, len(raw)), np.bincount(raw, minlength=256)
-    words = text.split() if text else []
-    marks = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
-    lines = int(count[10]) + 1
+    feeds, capitals, digits, marks, bars, calls, signs, spaces, n = np.bincount(raw, minlength=256) @ _KINDS
+    n, lines = max(1.0, n), feeds + 1
     return np.array((
-        np.log1p(len(words)) / 5, np.log1p(lines) / 3, np.log1p(len(words) / lines) / 4, count[65:91].sum() / n * 3, count[48:58].sum() / n * 5, marks / n * 3,
-        count[124] / n * 20, count[33] / n * 20, (count[35:39].sum() + count[42]) / n * 10, count[32] / n * 3, len(set(words)) / max(1, len(words)), len(words) < 20,
+        np.log1p(len(words)) / 5, np.log1p(lines) / 3, np.log1p(len(words) / lines) / 4, capitals / n * 3, digits / n * 5, marks / n * 3,
+        bars / n * 20, calls / n * 20, signs / n * 10, spaces / n * 3, len(set(words)) / max(1, len(words)), len(words) < 20,
     ), np.float64)
 
 
@@ -209,8 +211,9 @@ def counted(text: Column) -> Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokens = Tokens()
         for batch in texts:
-            found = [np.unique(tokens.places(t), return_counts=True) for t in batch]
-            yield pd.DataFrame({"places": [a.astype(np.int32) for a, _ in found], "counts": [n.astype(np.int32) for _, n in found], "layout": [layout(t) for t in batch]})
+            words = [t.split() if t else [] for t in batch]
+            found = [np.unique(tokens.places(w), return_counts=True) for w in words]
+            yield pd.DataFrame({"places": [a.astype(np.int32) for a, _ in found], "counts": [n.astype(np.int32) for _, n in found], "layout": [layout(t, w) for t, w in zip(batch, words, strict=True)]})
 
     return F.pandas_udf(of, "places array<int>, counts array<int>, layout array<double>")(text)
 
@@ -248,7 +251,11 @@ def _scorer(docs: DataFrame, views: tuple[Content, Metadata]) -> object:
         tokens = _WORKER[key]
         for texts, langs, sources, lengths in batches:
             rows = _metas(pd.DataFrame({"lang": langs, "source": sources, "length": lengths}))
-            yield pd.DataFrame({"content": np.array([float(w[tokens.places(t)].mean()) + float(v @ layout(t)) for t in texts]) + b, "meta": other.logits(rows)})
+            made = []
+            for t in texts:
+                words = t.split() if t else []
+                made.append(float(w[tokens.places(words)].mean()) + float(v @ layout(t, words)))
+            yield pd.DataFrame({"content": np.array(made) + b, "meta": other.logits(rows)})
 
     return logits
 
@@ -271,8 +278,9 @@ def quality_scores(
     views = contents.fitted(Content()), metadata.fitted(Metadata())
     free = rows.filter("doc_id is not null").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti")
     given: set = set()
-    for _ in range(rounds if len(learnt) else 0):
-        scored = stored(free.select("doc_id", "lang", "source", "length", _scorer(docs, views)("text", "lang", "source", "length").alias("z")).select("*", "z.*", order.alias("h")).drop("z"))
+    for k in range(rounds if len(learnt) else 0):
+        share = free.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(rounds)) == k)
+        scored = stored(share.select("doc_id", "lang", "source", "length", _scorer(docs, views)("text", "lang", "source", "length").alias("z")).select("*", "z.*", order.alias("h")).drop("z"))
         limit = float(np.log(sure / (1 - sure)))
         for label, sign in ((1, 1.0), (0, -1.0)):
             # Bounded draws from all rows that a view is sure of; ids that were taught before are not taught again.
