@@ -27,14 +27,14 @@ def measured(docs: DataFrame, text_col: str = "text", window: int = WINDOW, pref
     """``docs`` with the five measures, each a long named ``prefix`` and its name."""
     name = {m: f"{prefix}{m}" for m in MEASURES}
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, hashes, places = fresh("words"), fresh("hashes"), fresh("places")
+    words, single, hashes, places = fresh("words"), fresh("single"), fresh("hashes"), fresh("places")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn(words, words_of(F.col(text_col)))
     n = F.size(words)
-    out = out.withColumn(
-        hashes,
-        F.when(n > window, F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(F.col(words), i, window)))).otherwise(F.array().cast("array<bigint>")),
-    )
+    # Each word is hashed once; a window's hash is made of its words' hashes.
+    out = out.withColumn(single, F.transform(words, lambda w: F.xxhash64(w)))
+    whole = lambda i: F.xxhash64(*[F.get(F.col(single), i + k) for k in range(window)])
+    out = out.withColumn(hashes, F.when(n > window, F.transform(F.sequence(F.lit(0), n - window), whole)).otherwise(F.array().cast("array<bigint>")))
     # Only texts with fewer different windows than windows need their places looked at.
     ordered = F.array_sort(F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn(places, F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), ordered))
@@ -55,7 +55,7 @@ def measured(docs: DataFrame, text_col: str = "text", window: int = WINDOW, pref
             name["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             name["n_repeat_words"]: F.coalesce(covered, F.lit(0)).cast("long"),
         }
-    ).drop(words, hashes, places)
+    ).drop(words, single, hashes, places)
 
 
 def base_failed(prefix: str = "", min_words: int = 20, max_repeat_percent: int = 30) -> Column:
