@@ -326,16 +326,16 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 # What page furniture is called and says, for composed pages.
 ROLES = {
     "ad": ("ad ads advert advertisement banner sponsored sponsor promo promotion adsense dfp commercial".split(), "advertisement sponsored buy now offer sale shop deal free discount anzeige jetzt kaufen publicité anuncio oferta".split()),
-    "nav": ("menu nav navbar navigation breadcrumb breadcrumbs topnav mainmenu submenu toc pagination pager tabs skip".split(), "home news about contact products login next previous start über kontakt accueil inicio contacto blog archive".split()),
-    "aside": ("sidebar side widget related share social recommended recent popular trending author tags aside rail promobox".split(), "related read more share follow popular latest tags mehr lesen auch partager lire leer más twitter facebook".split()),
+    "nav": ("menu nav navbar navigation breadcrumb breadcrumbs topnav mainmenu submenu toc pagination pager tabs skip left links".split(), "home news about contact products login next previous start über kontakt accueil inicio contacto blog archive".split()),
+    "aside": ("sidebar side widget related share social recommended recent popular trending author tags aside rail promobox right left secondary sharing".split(), "related read more share follow popular latest tags mehr lesen auch partager lire leer más twitter facebook".split()),
     "notice": ("cookie cookies notice consent alert popup modal newsletter gdpr overlay banner message subscribe warning".split(), "we use cookies accept privacy policy subscribe newsletter browser wir verwenden cookies acceptez utilizamos notice".split()),
     "form": ("form search login signup contact subscribe newsletter comment".split(), "search submit email name password send sign up suche senden rechercher envoyer buscar enviar your".split()),
     "header": ("header masthead top logo branding site title tagline banner topbar".split(), "the daily site official welcome magazine online willkommen bienvenue bienvenido".split()),
     "footer": ("footer copyright legal bottom colophon credits footnote siteinfo".split(), "copyright all rights reserved imprint terms privacy policy impressum datenschutz mentions légales aviso legal contact".split()),
     "comments": ("comments comment replies disqus responses discussion commentlist respond thread reactions".split(), "reply says great thanks i think comment posted agree antworten danke répondre merci gracias responder".split()),
 }
-CONTENT = "content main post entry story article text body page primary single blog news document maintext hentry copy section inner".split()
-NEUTRAL = "wrapper container site row col grid layout box inner outer clearfix block group region panel wide left right center".split()
+CONTENT = "content maincontent main post entry story article text body page primary single blog news document maintext hentry copy section inner".split()
+NEUTRAL = "wrapper container site row col grid layout box inner outer clearfix block group region panel wide center page".split()
 
 
 def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float, int]]:
@@ -343,7 +343,7 @@ def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float,
     syllables = ["an", "er", "the", "on", "ti", "re", "ou", "sch", "ei", "en", "la", "que", "os", "ci", "mo", "ka", "lu", "st", "be", "ing"]
     vocabulary = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(150)]
     noise = rng.random() < 0.1
-    spoken = rng.random() < 0.5  # furniture says what it is
+    spoken = rng.random() < 0.35  # furniture says what it is
 
     def text(lo: int, hi: int, stops: bool = True, says: list[str] | None = None) -> str:
         out = []
@@ -358,7 +358,7 @@ def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float,
         return () if k < 0.55 else (rng.choice(NEUTRAL),) if k < 0.9 else ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))),)
 
     out: list[tuple[str, tuple[str, ...], float, int]] = []
-    base = rng.choice([("<html", "<body"), ("<html", "<body"), ("<html", "<body"), ("<body",), ()])
+    base = rng.choice([("<html", "<body"), ("<html", "<body"), ("<html", "<body"), ("<html", "<body", *rng.sample(CONTENT, 1), *name()), ("<body",), ()])
     for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3])):
         base = (*base, "<div", *name())
 
@@ -372,7 +372,8 @@ def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float,
         return (*inside, rng.choice(["<div", "<div", "<section", "<ul"]), *name(), *rng.sample(ROLES[kind][0], rng.choice([1, 1, 2])))
 
     def chrome(inside: tuple[str, ...], kinds: tuple[str, ...] = tuple(ROLES)) -> None:
-        kind = "ad" if "ad" in kinds and rng.random() < 0.12 else rng.choice(kinds)
+        often = [k for k in ("ad", "comments") if k in kinds]
+        kind = rng.choice(often) if often and rng.random() < 0.2 else rng.choice(kinds)
         says = ROLES[kind][1]
         if kind == "ad":
             p = (*inside, rng.choice(["<div", "<div", "<section", "<aside"]), *name(), rng.choice(ROLES["ad"][0]))
@@ -403,22 +404,25 @@ def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float,
         elif kind == "footer":
             p = part(inside, "footer", "<footer")
             for _ in range(rng.choice([1, 1, 2, 4])):
-                add(rng.choice(["© ", "© 2024 ", ""]) + text(2, 30, says=says), (*p, *rng.choice([(), ("<p",), ("<div",), ("<ul", "<li")])), 0, rng.choice([0.0, 0.0, 0.5, 1.0]))
+                add(rng.choice(["© ", "© 2024 ", "(c) ", "", ""]) + text(*rng.choice([(1, 3), (2, 30)]), says=says), (*p, *rng.choice([(), ("<p",), ("<div",), ("<ul", "<li")])), 0, rng.choice([0.0, 0.0, 0.5, 1.0]))
         else:
             p = (*inside, rng.choice(["<div", "<section", "<ol", "<ul"]), *name(), *rng.sample(ROLES["comments"][0], rng.choice([1, 1, 2])))
             if rng.random() < 0.4:
                 add(text(1, 4, False, says), (*p, rng.choice(["<h2", "<h3"])), 0)
             for _ in range(rng.randint(1, 6)):
                 q = (*p, *rng.choice([(), ("<div", "comment"), ("<li",), ("<article", "comment"), ("<div",)]))
-                add(text(3, 60, says=says), (*q, *rng.choice([("<p",), (), ("<div", "body")])), 0)
+                add(text(*rng.choice([(1, 5), (3, 60)]), says=says), (*q, *rng.choice([("<p",), (), ("<div", "body")])), 0)
 
     def content(body: tuple[str, ...]) -> None:
         kind = rng.random()
         lengths = rng.choice([(1, 3), (2, 12), (10, 80), (10, 80), (40, 160)])
-        if kind < 0.58:
+        if rng.random() < 0.1:  # what words alone would take for furniture, or for nothing
+            again = rng.choice(vocabulary)
+            add(text(2, 12, True, ROLES[rng.choice(list(ROLES))][1]) if rng.random() < 0.6 else " ".join([again + rng.choice(["", "."])] * rng.randint(3, 60)), (*body, "<p"), 1)
+        if kind < 0.52:
             add(text(*lengths), (*body, "<p", *(name() if rng.random() < 0.2 else ())), 1, rng.choice([0.0, 0.0, 0.0, 0.2, 0.5]))
-        elif kind < 0.66:
-            add(text(1, 10, rng.random() < 0.3), (*body, rng.choice(["<h2", "<h2", "<h3", "<h4"])), 1)
+        elif kind < 0.62:
+            add(text(1, 10, rng.random() < 0.3), (*body, rng.choice(["<h2", "<h2", "<h3", "<h4"]), *(name() if rng.random() < 0.2 else ())), 1)
         elif kind < 0.75:
             p = (*body, rng.choice(["<ul", "<ol"]))
             for _ in range(rng.randint(1, 6)):
@@ -442,6 +446,7 @@ def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float,
             add(text(*lengths), (*body, rng.choice(["<div", "<div", "<section", "<center", "<details"]), *name()), 1)
 
     if rng.random() < 0.06:  # a scrap
+        base = rng.choice([base, ()])
         for _ in range(rng.choice([1, 1, 2, 3])):
             add(text(*rng.choice([(1, 6), (5, 60)]), rng.random() < 0.7), (*base, *rng.choice([(), (), ("<p",), ("<p",), ("<div",)])), 1)
         return out
@@ -470,7 +475,7 @@ def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float,
             chrome(base)
         return out
     if rng.random() < 0.8:
-        add(text(2, 14, rng.random() < 0.5), (*body, *rng.choice([(), (), (), ("<header",)]), rng.choice(["<h1", "<h1", "<h1", "<h2"])), 1)
+        add(text(2, 14, rng.random() < 0.5), (*body, *rng.choice([(), (), (), ("<header", *rng.choice([(), (rng.choice(CONTENT), "header")]))]), rng.choice(["<h1", "<h1", "<h1", "<h2"]), *rng.choice([(), (), (rng.choice(CONTENT), "title"), ("title",), ("headline",)])), 1)
     elif bare and rng.random() < 0.5:
         add(text(*rng.choice([(1, 8), (8, 30), (20, 80)])), body, 1)
     for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 16])):
@@ -479,13 +484,15 @@ def example_page(rng: random.Random) -> list[tuple[str, tuple[str, ...], float,
             chrome(body, ("ad", "aside", "notice", "form", "nav"))
     if rng.random() < 0.1:
         chrome(body, ("footer", "comments", "aside"))
+    if "<td" in body and rng.random() < 0.4:  # a last row
+        add(rng.choice(["© ", ""]) + text(2, 20, False, ROLES["footer"][1]), (*body[: body.index("<tr")], "<tr", "<td"), 0, rng.choice([0.0, 0.5]))
     for _ in range(few if bare else rng.choice([0, 0, 1, 1, 2, 3])):
         chrome(base)
     return out
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 2000, epochs: int = 5, batch: int = 64, rate: float = 0.012, seed: int = 5) -> tuple[np.ndarray, ...]:
+def trained(pages: int = 6000, epochs: int = 4, batch: int = 64, rate: float = 0.012, seed: int = 5) -> tuple[np.ndarray, ...]:
     """Weights after Adam on ``pages`` composed pages."""
     rng, make = random.Random(seed), Vectors()
     rows = []

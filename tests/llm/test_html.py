@@ -33,6 +33,18 @@ PAGES = [
     ),
     ("<article><h1>X</h1><p>a b c</p><table><thead><tr><th>K</th><th>V</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table></article>", "X\n\na b c\n\nK\n\nV\n\n1\n\n2"),
     ("<main><article><p>One para.</p><figure><img><figcaption>Cap of it</figcaption></figure><p>Two para.</p></article></main><aside><p>Other stories you may like</p></aside>", "One para.\n\nCap of it\n\nTwo para."),
+    ('<!doctype html><html><head><title>How to bake bread - Baker\'s Blog</title></head><body class="single postid-12"><div id="page"><header id="masthead" class="site-header"><a href="/" class="custom-logo">Baker\'s Blog</a><p class="site-description">Bread and more</p></header><nav id="site-navigation" role="navigation"><ul><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></nav><div id="content"><div class="entry-content"><h1 class="entry-title">How to bake bread</h1><p>Mix flour, water and salt in a bowl.</p><p>Let the dough rest for one hour, then <a href="/fold">fold it</a> twice.</p><h2>Baking</h2><p>Bake at 230 degrees.</p><ul><li>20 minutes with steam</li><li>15 minutes without</li></ul></div><div class="sharedaddy"><h3>Share this:</h3><ul><li><a href="#">Twitter</a></li><li><a href="#">Facebook</a></li></ul></div></div><div id="comments"><h2>2 thoughts on this</h2><ol class="comment-list"><li class="comment"><p>Great recipe, thanks!</p></li><li class="comment"><p>Mine burned.</p></li></ol><form id="commentform"><label>Name</label><button>Post comment</button></form></div><aside id="secondary" class="widget-area"><h2>Recent posts</h2><ul><li><a href="/x">Rolls</a></li></ul></aside><footer id="colophon"><p>Proudly powered by WordPress</p></footer></div></body></html>', 'How to bake bread\n\nMix flour, water and salt in a bowl.\n\nLet the dough rest for one hour, then fold it twice.\n\nBaking\n\nBake at 230 degrees.\n\n20 minutes with steam\n\n15 minutes without'),
+    ('<html><body><main role=main><section><h1>Docs</h1><p>Install the package first.</p><pre>pip install x\n  --user</pre><table><caption>Options</caption><tr><th>Flag</th><th>Meaning</th></tr><tr><td>-v</td><td>verbose</td></tr></table></section></main><footer><small>© 2021 Acme</small></footer></body></html>', 'Docs\n\nInstall the package first.\n\npip install x --user\n\nOptions\n\nFlag\n\nMeaning\n\n-v\n\nverbose'),
+    ('<body><center><h1>My homepage</h1><p>Welcome to my page about cats. I have two cats and they are lazy.<p>They eat fish.<hr><p>Second topic: dogs. I have none.</center></body>', 'My homepage\n\nWelcome to my page about cats. I have two cats and they are lazy.\n\nThey eat fish.\n\nSecond topic: dogs. I have none.'),
+    ('<html><body><div class=nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></div><div class=story><p>First.</p><blockquote>Quoted words here.</blockquote><ol><li>Step one</li><li>Step two</li></ol><p>Last.</p></div></body></html>', 'First.\n\nQuoted words here.\n\nStep one\n\nStep two\n\nLast.'),
+    ('<html><body><article><header><h1>Report title</h1></header><p>Intro text of the report.</p><footer>Posted in News</footer></article></body></html>', 'Report title\n\nIntro text of the report.'),
+    ('<html><body><div id=wrapper><div id=top>Logo</div><div id=left><a href=1>Link one</a><br><a href=2>Link two</a></div><div id=maincontent><b>Bold heading</b><br>Text straight in a div, with line breaks<br>and more text.</div><div id=bottom>Contact us | Imprint</div></div></body></html>', 'Bold heading Text straight in a div, with line breaks and more text.'),
+    ("<html><body><article><p>Das ist ein Satz mit Umlauten: äöü.</p><p>Noch ein Absatz.</p></article><div class='newsletter-signup'><p>Abonnieren Sie unseren Newsletter</p><form><input><button>OK</button></form></div></body></html>", 'Das ist ein Satz mit Umlauten: äöü.\n\nNoch ein Absatz.'),
+    ('<article><h1>A</h1><p>One.</p><script>x<y</script><style>p{}</style><p>Two.</p><noscript>Enable JS</noscript></article>', 'A\n\nOne.\n\nTwo.'),
+    ("<div class='content'><p>Only this paragraph is the text of the page, with enough words.</p></div><div class='comments'><p>nice</p></div>", 'Only this paragraph is the text of the page, with enough words.'),
+    ('<p>a</p>', 'a'),
+    ('<body>Just text in a body, nothing else at all.</body>', 'Just text in a body, nothing else at all.'),
+    ('just plain text, no tags at all', 'just plain text, no tags at all'),
 ]
 
 
