@@ -107,3 +107,31 @@ def test_linking_prefers_references(spark):
     assert link(inv, doc("a", "purchase_order", "po 1", 1), doc("b", "purchase_order", "PO-2", 5)) == ("a", None)
     assert link(inv, doc("b", "purchase_order", "PO-2", 5)) == ("b", "reference_mismatch")
     assert link(inv, doc("b", "purchase_order", None, 5), doc("c", "purchase_order", None, 6)) == ("c", "unverified_link")
+
+
+def test_windows_read_their_months_alone(spark, tmp_path):
+    from ledgerloom.model import CASE
+    from ledgerloom.operators import analytics
+
+    rows = [{f.name: None for f in CASE} | {"exception_id": f"e{k}", "vendor_id": "v", "created_at": dt.datetime(2024, 1, 1) + dt.timedelta(days=10 * k) if k else None, "invoice_amount": 1.0} for k in range(30)]
+    cases = spark.createDataFrame([tuple(r[f.name] for f in CASE) for r in rows], CASE)
+    store.write_cases(cases, str(tmp_path / "cases"), by="month")
+    table = store.read_cases(spark, str(tmp_path / "cases"))
+    as_of = dt.datetime(2024, 10, 1)
+    for days, want in ((30, 6), (365, 30), (None, 30)):
+        assert analytics.scoped(table, as_of, days).count() == analytics.scoped(cases, as_of, days).count() == want
+    recent = analytics.scoped(table, as_of, 30)
+    months = {r.f.split("created_date=")[1][:10] for r in recent.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert months <= {"2024-09-01", "2024-10-01", "__HIVE_DEF"}
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert analytics.portfolio_summary(table, as_of, 30).first().invoice_count == 6
+
+
+def test_stores_keep_columns_of_any_name(spark):
+    now = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("a", "x", now, 1, 2), ("b", "y", now, 3, 4)], "exception_id string, status string, updated_at timestamp, _new int, _rank int")
+    new = spark.createDataFrame([("a", "z", now + dt.timedelta(1), 5, 6)], rows.schema)
+    assert {tuple(r)[:2] + tuple(r)[3:] for r in store.upsert(rows, new).collect()} == {("a", "z", 5, 6), ("b", "y", 3, 4)}
+    merged = store.merge_fields(rows.withColumn("_status", F.lit(9)), new.select("exception_id", "status"), ["status"])
+    assert {(r.exception_id, r.status, r["_status"]) for r in merged.collect()} == {("a", "z", 9), ("b", "y", 9)}
