@@ -26,8 +26,8 @@ def _half_up(numerator: Column, denominator: Column) -> Column:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived ledger, written once for the application."""
-    return spark.read.parquet(store.once(spark, f"ledger {sf_dir}", lambda path: derived_ledger(spark, sf_dir).write.parquet(path)))
+    """The derived ledger with the vendors' identity keys, written once for the application."""
+    return spark.read.parquet(store.once(spark, f"ledger {sf_dir}", lambda path: keyed(derived_ledger(spark, sf_dir)).write.parquet(path)))
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
