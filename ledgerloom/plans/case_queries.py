@@ -13,7 +13,7 @@ from ledgerloom.operators import matching as M
 from ledgerloom.operators import orchestration as O
 from ledgerloom.model import DOCUMENT
 from ledgerloom.plans.document_queries import _PAIRS, decisions
-from ledgerloom.plans.history_queries import _INV, billed, invoices
+from ledgerloom.plans.history_queries import _INV, NEAR, billed, invoices
 from ledgerloom.plans.ledger import CASES, LEDGER, cases, ledger
 from ledgerloom.plans.matching_queries import _IN, inputs
 from ledgerloom.plans.registry import query
@@ -74,7 +74,7 @@ def outstanding_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matching input with what the history checks found, lines on some cases and links that nobody confirmed."""
-    orders = billed(spark, sf_dir).filter("purchase_order_exists and part % 3 = 0").select("exception_id", F.col("purchase_order_id").alias("po_number"), (F.col("po_c") / F.lit(100.0)).alias("order_value"))
+    orders = billed(spark, sf_dir).filter("is_primary and purchase_order_exists and part % 3 = 0").select("exception_id", F.col("purchase_order_id").alias("po_number"), (F.col("po_c") / F.lit(100.0)).alias("order_value"))
     found = O.history_columns(invoices(spark, sf_dir), orders).drop("drift_first", "drift_latest", "drift_percent")
     rows = inputs(spark, sf_dir).join(found, "exception_id", "left")
     drift = F.col("part") % 10 == 7
@@ -91,14 +91,14 @@ def full_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FULL = f"""{_INV}, {_IN[len(f'WITH {LEDGER}, '):]},
-dup AS (SELECT exception_id, CASE WHEN number_key <> '' THEN count(*) OVER (PARTITION BY workspace_id, vendor_key, number_key) > 1 ELSE false END AS exact FROM inv),
-near AS (SELECT DISTINCT a.exception_id, a.workspace_id, a.vendor_key, a.total_c FROM inv a JOIN inv b ON a.workspace_id = b.workspace_id AND a.vendor_key = b.vendor_key AND abs(a.total_c - b.total_c) <= 1 AND a.exception_id <> b.exception_id
- AND NOT (a.number_key <> '' AND a.number_key = b.number_key) AND NOT (a.number_key <> '' AND b.number_key <> '' AND coalesce(abs(date_diff('day', a.d, b.d)) > 90, false))),
+dup AS (SELECT a.exception_id, count(b.exception_id) > 0 AS exact FROM inv a LEFT JOIN inv b ON a.number_key <> '' AND a.workspace_id = b.workspace_id AND a.vendor_key = b.vendor_key AND a.number_key = b.number_key AND a.exception_id <> b.exception_id WHERE a.prime GROUP BY 1),
+near AS (SELECT DISTINCT a.exception_id, a.workspace_id, a.vendor_key, a.total_c {NEAR}),
 gap AS (SELECT *, CASE WHEN date_diff('day', lag(d) OVER w, d) > 0 THEN date_diff('day', lag(d) OVER w, d) END AS gap FROM inv WHERE d IS NOT NULL WINDOW w AS (PARTITION BY workspace_id, vendor_key, total_c ORDER BY d, exception_id)),
 cyc AS (SELECT workspace_id, vendor_key, total_c FROM gap GROUP BY ALL HAVING count(*) >= 3 AND count(gap) >= 2 AND avg(gap) BETWEEN 20 AND 400 AND stddev_pop(gap) / avg(gap) <= 0.25),
-bank AS (SELECT workspace_id, vendor_key, exception_id, bank_account, row_number() OVER (PARTITION BY workspace_id, vendor_key ORDER BY uploaded_at DESC, exception_id DESC) AS rank FROM inv),
-pay AS (SELECT i.exception_id FROM inv i JOIN bank l ON l.workspace_id = i.workspace_id AND l.vendor_key = i.vendor_key AND l.rank <= 2 AND l.exception_id <> i.exception_id QUALIFY row_number() OVER (PARTITION BY i.exception_id ORDER BY l.rank) = 1 AND lower(l.bank_account) <> lower(i.bank_account)),
-bill AS (SELECT exception_id, sum(total_c) OVER w AS billed_c, count(*) OVER w AS billed_n FROM inv WINDOW w AS (PARTITION BY workspace_id, purchase_order_id)),
+bank AS (SELECT workspace_id, vendor_key, exception_id, bank_account, row_number() OVER (PARTITION BY workspace_id, vendor_key ORDER BY uploaded_at DESC, document_id DESC) AS rank FROM (SELECT * FROM inv QUALIFY row_number() OVER (PARTITION BY exception_id ORDER BY uploaded_at DESC, document_id DESC) = 1)),
+pay AS (SELECT i.exception_id FROM (SELECT * FROM inv WHERE prime) i JOIN bank l ON l.workspace_id = i.workspace_id AND l.vendor_key = i.vendor_key AND l.rank <= 2 AND l.exception_id <> i.exception_id QUALIFY row_number() OVER (PARTITION BY i.exception_id ORDER BY l.rank) = 1 AND lower(l.bank_account) <> lower(i.bank_account)),
+per_order AS (SELECT workspace_id, purchase_order_id, sum(total_c) AS c, count(*) AS n FROM inv GROUP BY ALL), per_case AS (SELECT exception_id, sum(total_c) AS c, count(*) AS n FROM inv GROUP BY ALL),
+bill AS (SELECT i.exception_id, o.c - p.c + i.total_c AS billed_c, o.n - p.n + 1 AS billed_n FROM inv i JOIN per_order o ON o.workspace_id = i.workspace_id AND o.purchase_order_id = i.purchase_order_id JOIN per_case p ON p.exception_id = i.exception_id WHERE i.prime),
 f AS (SELECT e.*, dup.exact, near.exception_id IS NOT NULL AS is_near, cyc.total_c IS NOT NULL AND NOT dup.exact AND near.exception_id IS NOT NULL AS cycle, pay.exception_id IS NOT NULL AS paid_elsewhere, billed_c, billed_n, e.part % 3 = 0 AND e.po AS summed, e.part % 8 = 3 AS lined,
   e.tax_c <> 0 AS taxed FROM e JOIN dup USING (exception_id) JOIN bill USING (exception_id) LEFT JOIN near ON near.exception_id = e.exception_id LEFT JOIN pay ON pay.exception_id = e.exception_id LEFT JOIN cyc ON cyc.workspace_id = near.workspace_id AND cyc.vendor_key = near.vendor_key AND cyc.total_c = near.total_c),
 g AS (SELECT *, CASE WHEN NOT po THEN 'missing_purchase_order' WHEN exact THEN 'duplicate_invoice' WHEN paid_elsewhere THEN 'payment_details_changed' WHEN summed AND taxed AND billed_c - po_c > 1 AND billed_n > 1 THEN 'po_over_billed'
@@ -232,7 +232,11 @@ def case_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoice, order and receipt of each ledger row with their extractions."""
+    """Invoice, order and receipt of each ledger row with their extractions.
+
+    Some invoices were replaced by a later one, of another amount or the same; after
+    some comes an upload that failed; some orders and receipts never completed.
+    """
     c = F.col
     money = lambda x: c(x) / F.lit(100.0)
     own = F.concat(F.lit("PO-"), "purchase_order_id")
@@ -249,25 +253,35 @@ def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = F.struct(F.concat_ws("-", "exception_id", F.lit(kind)).alias("document_id"), F.lit(kind).alias("document_type"), F.struct(*fields).alias("extraction"))
         return F.when(there.get(kind, F.lit(True)), made)
 
-    rows = ledger(spark, sf_dir).select("exception_id", "workspace_id", "uploaded_at", F.explode(F.array_compact(F.array(*map(document, facts)))).alias("d"))
-    return rows.select("d.document_id", "exception_id", "workspace_id", "d.document_type", F.lit("completed").alias("processing_state"), "uploaded_at", "d.extraction")
-
-
-_CASE = f"""WITH {LEDGER}, {_INV[_INV.index('inv AS (SELECT'):].replace('FROM billed', 'FROM ledger')}, {_IN[len(f'WITH {LEDGER}, '):]},
-dup AS (SELECT exception_id, count(*) OVER (PARTITION BY workspace_id, vendor_key, number_key) > 1 AS exact FROM inv),
-near AS (SELECT DISTINCT a.exception_id, a.workspace_id, a.vendor_key, a.total_c FROM inv a JOIN inv b ON a.workspace_id = b.workspace_id AND a.vendor_key = b.vendor_key AND abs(a.total_c - b.total_c) <= 1 AND a.exception_id <> b.exception_id AND a.number_key <> b.number_key AND abs(date_diff('day', a.d, b.d)) <= 90),
+    rows = ledger(spark, sf_dir).select("exception_id", "workspace_id", "uploaded_at", "part", "total_c", F.explode(F.array_compact(F.array(*map(document, facts)))).alias("d"))
+    state = F.when((c("d.document_type") == "purchase_order") & (c("part") % 23 == 7), F.lit("failed")).when((c("d.document_type") == "goods_receipt_note") & (c("part") % 29 == 11), F.lit("processing")).otherwise(F.lit("completed"))
+    rows = rows.select("d.document_id", "exception_id", "workspace_id", "d.document_type", state.alias("processing_state"), "uploaded_at", "d.extraction", "part", "total_c")
+    invoice = rows.filter("document_type = 'vendor_invoice'")
+    other = lambda suffix, hours, amount: {"document_id": F.concat("exception_id", F.lit(suffix)), "uploaded_at": c("uploaded_at") + F.make_dt_interval(hours=F.lit(hours)), "extraction": c("extraction").withField("total_amount", amount)}
+    before = invoice.filter("part % 17 = 5").withColumns(other("-S", -6, (c("total_c") + F.when(c("part") % 2 == 0, 700).otherwise(0)) / F.lit(100.0)))
+    broken = invoice.filter("part % 19 = 3").withColumns(other("-X", 6, F.lit(1.0))).withColumn("processing_state", F.lit("failed"))
+    return rows.unionByName(before).unionByName(broken).drop("part", "total_c")
+
+
+_OWN = """ledger AS (SELECT * REPLACE (purchase_order_exists AND part % 23 <> 7 AS purchase_order_exists, goods_receipt_exists AND part % 29 <> 11 AS goods_receipt_exists) FROM ledger0)"""
+_CASE = f"""WITH {LEDGER.replace("ledger AS (SELECT 'EXC-'", "ledger0 AS (SELECT 'EXC-'")}, {_OWN}, billed AS (SELECT *, exception_id AS document_id, true AS prime FROM ledger UNION ALL
+ SELECT * REPLACE (total_c + CASE WHEN part % 2 = 0 THEN 700 ELSE 0 END AS total_c, uploaded_at - INTERVAL 6 HOUR AS uploaded_at), exception_id || '-S', false FROM ledger WHERE part % 17 = 5),
+{_INV[_INV.index('inv AS (SELECT'):]}, {_IN[len(f'WITH {LEDGER}, '):]},
+dup AS (SELECT a.exception_id, count(b.exception_id) > 0 AS exact FROM inv a LEFT JOIN inv b ON a.workspace_id = b.workspace_id AND a.vendor_key = b.vendor_key AND a.number_key = b.number_key AND a.exception_id <> b.exception_id WHERE a.prime GROUP BY 1),
+near AS (SELECT DISTINCT a.exception_id, a.workspace_id, a.vendor_key, a.total_c {NEAR}),
 gap AS (SELECT *, CASE WHEN date_diff('day', lag(d) OVER w, d) > 0 THEN date_diff('day', lag(d) OVER w, d) END AS gap FROM inv WINDOW w AS (PARTITION BY workspace_id, vendor_key, total_c ORDER BY d, exception_id)),
 cyc AS (SELECT workspace_id, vendor_key, total_c FROM gap GROUP BY ALL HAVING count(*) >= 3 AND count(gap) >= 2 AND avg(gap) BETWEEN 20 AND 400 AND stddev_pop(gap) / avg(gap) <= 0.25),
-bank AS (SELECT workspace_id, vendor_key, exception_id, bank_account, row_number() OVER (PARTITION BY workspace_id, vendor_key ORDER BY uploaded_at DESC, exception_id DESC) AS rank FROM inv),
-pay AS (SELECT i.exception_id FROM inv i JOIN bank l ON l.workspace_id = i.workspace_id AND l.vendor_key = i.vendor_key AND l.rank <= 2 AND l.exception_id <> i.exception_id QUALIFY row_number() OVER (PARTITION BY i.exception_id ORDER BY l.rank) = 1 AND lower(l.bank_account) <> lower(i.bank_account)),
+bank AS (SELECT workspace_id, vendor_key, exception_id, bank_account, row_number() OVER (PARTITION BY workspace_id, vendor_key ORDER BY uploaded_at DESC, document_id DESC) AS rank FROM (SELECT * FROM inv QUALIFY row_number() OVER (PARTITION BY exception_id ORDER BY uploaded_at DESC, document_id DESC) = 1)),
+pay AS (SELECT i.exception_id FROM (SELECT * FROM inv WHERE prime) i JOIN bank l ON l.workspace_id = i.workspace_id AND l.vendor_key = i.vendor_key AND l.rank <= 2 AND l.exception_id <> i.exception_id QUALIFY row_number() OVER (PARTITION BY i.exception_id ORDER BY l.rank) = 1 AND lower(l.bank_account) <> lower(i.bank_account)),
 price AS (SELECT *, date_diff('day', min(d) OVER s, d) / 30.44::DOUBLE AS months, unit_c - lag(unit_c) OVER (PARTITION BY workspace_id, vendor_key, part ORDER BY d, exception_id) AS step FROM inv WINDOW s AS (PARTITION BY workspace_id, vendor_key, part)),
 drift AS (SELECT workspace_id, vendor_key, part, regr_slope(unit_c / 100.0::DOUBLE, months) AS slope, arg_min(unit_c, (d, exception_id)) / 100.0::DOUBLE AS a, arg_max(unit_c, (d, exception_id)) / 100.0::DOUBLE AS b FROM price GROUP BY ALL
  HAVING count(*) >= 4 AND max(months) > 0 AND slope > 0 AND slope / a * 100 >= 0.5 AND (b - a) / a * 100 >= 5 AND count(*) FILTER (step < -1) = 0 AND count(*) FILTER (step > 1) * 2 > count(*) - 1),
-bill AS (SELECT exception_id, sum(total_c) OVER w AS billed_c, count(*) OVER w AS billed_n FROM inv WINDOW w AS (PARTITION BY workspace_id, purchase_order_id)),
-k AS (SELECT v.*, CASE WHEN NOT v.po THEN 'missing_purchase_order' WHEN dup.exact THEN 'duplicate_invoice' WHEN pay.exception_id IS NOT NULL THEN 'payment_details_changed' WHEN false AND billed_c - v.po_c > 1 AND billed_n > 1 THEN 'po_over_billed'
+per_order AS (SELECT workspace_id, purchase_order_id, sum(total_c) AS c, count(*) AS n FROM inv GROUP BY ALL), per_case AS (SELECT exception_id, sum(total_c) AS c, count(*) AS n FROM inv GROUP BY ALL),
+bill AS (SELECT i.exception_id, o.c - p.c + i.total_c AS billed_c, o.n - p.n + 1 AS billed_n FROM inv i JOIN per_order o ON o.workspace_id = i.workspace_id AND o.purchase_order_id = i.purchase_order_id JOIN per_case p ON p.exception_id = i.exception_id WHERE i.prime),
+k AS (SELECT v.exception_id, v.part, CASE WHEN NOT v.po THEN 'missing_purchase_order' WHEN dup.exact THEN 'duplicate_invoice' WHEN pay.exception_id IS NOT NULL THEN 'payment_details_changed' WHEN false AND billed_c - v.po_c > 1 AND billed_n > 1 THEN 'po_over_billed'
  WHEN near.exception_id IS NOT NULL AND cyc.total_c IS NULL THEN 'duplicate_invoice' WHEN o.tax_out THEN 'tax_total_mismatch' WHEN NOT v.goods_receipt_exists THEN 'missing_goods_receipt' WHEN o.qty_out THEN 'quantity_variance' WHEN abs(o.pv) > 5 OR o.pv IS NULL THEN 'price_variance'
  WHEN near.exception_id IS NOT NULL THEN 'recurring_suspected' WHEN drift.part IS NOT NULL THEN 'vendor_price_drift' ELSE 'no_exception' END AS kind
- FROM v JOIN o USING (exception_id) JOIN dup USING (exception_id) JOIN bill USING (exception_id) JOIN inv USING (exception_id) LEFT JOIN near ON near.exception_id = v.exception_id LEFT JOIN pay ON pay.exception_id = v.exception_id
+ FROM v JOIN o USING (exception_id) JOIN dup USING (exception_id) JOIN bill USING (exception_id) JOIN (SELECT * FROM inv WHERE prime) inv ON inv.exception_id = v.exception_id LEFT JOIN near ON near.exception_id = v.exception_id LEFT JOIN pay ON pay.exception_id = v.exception_id
  LEFT JOIN cyc ON cyc.workspace_id = near.workspace_id AND cyc.vendor_key = near.vendor_key AND cyc.total_c = near.total_c LEFT JOIN drift ON drift.workspace_id = inv.workspace_id AND drift.vendor_key = inv.vendor_key AND drift.part = inv.part)"""
 
 

@@ -19,33 +19,40 @@ from ledgerloom.streaming import feeds
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoice, up to two orders, receipt and quotation of each ledger row."""
+    """Invoice, up to two orders, receipt and quotation of each ledger row; some failed, some replaced by a later one, some still processed."""
     rows = ledger(spark, sf_dir)
     doc = lambda kind, suffix, number, hours: F.struct(F.concat("exception_id", F.lit(suffix)).alias("document_id"), F.lit(kind).alias("document_type"), number.alias("po_number"), (F.col("uploaded_at") + F.make_dt_interval(hours=F.lit(hours))).cast("timestamp").alias("uploaded_at"))
     own = F.concat(F.lit("PO-"), "purchase_order_id")
     made = F.array(
         doc("vendor_invoice", "-I", F.when(F.col("part") % 19 != 0, own), 0), F.when(F.col("purchase_order_exists"), doc("purchase_order", "-P", F.when(F.col("part") % 29 == 0, F.lit("PO-0")).otherwise(F.concat(F.lit("po "), "purchase_order_id")), 1)),
         F.when(F.col("part") % 5 == 0, doc("purchase_order", "-Q", F.lit("PO-1"), 2)), F.when(F.col("goods_receipt_exists"), doc("goods_receipt_note", "-G", F.when(F.col("part") % 3 != 0, own), 3)), F.when(F.col("part") % 4 == 0, doc("quotation", "-T", own, 0)),
+        F.when(F.col("part") % 23 == 2, doc("vendor_invoice", "-J", F.lit("PO-1"), 9)), F.when(F.col("part") % 21 == 8, doc("vendor_invoice", "-K", F.lit("PO-1"), -2)), F.when(F.col("part") % 8 == 4, doc("quotation", "-U", F.lit("PO-1"), 1)),
     )
     out = rows.select("exception_id", "workspace_id", F.explode(F.array_compact(made)).alias("d"), "part", "total_c")
     fields = [F.col("d.po_number").alias(f.name) if f.name == "po_number" else F.lit(None).cast(f.dataType).alias(f.name) for f in DOCUMENT["extraction"].dataType]
-    state = F.when(F.col("part") % 31 == 0, F.lit("failed")).otherwise(F.lit("completed"))
+    kind = F.right("d.document_id", F.lit(2))
+    state = F.when((F.col("part") % 31 == 0) | (kind == "-J") | ((kind == "-P") & (F.col("part") % 7 == 3)), F.lit("failed")).when((kind == "-G") & (F.col("part") % 13 == 4), F.lit("processing")).otherwise(F.lit("completed"))
     return out.select("d.document_id", "exception_id", "workspace_id", "d.document_type", state.alias("processing_state"), "d.uploaded_at", F.lit(0.9).alias("confidence"), F.struct(*fields).alias("extraction"))
 
 
-_DOCS = f"""WITH {LEDGER}, docs AS (
+_DOCS = f"""WITH {LEDGER}, docs0 AS (
 SELECT exception_id, exception_id || '-I' AS document_id, 'vendor_invoice' AS t, CASE WHEN part % 19 <> 0 THEN 'PO-' || purchase_order_id END AS ref, 0 AS h, part FROM ledger UNION ALL
 SELECT exception_id, exception_id || '-P', 'purchase_order', CASE WHEN part % 29 = 0 THEN 'PO-0' ELSE 'po ' || purchase_order_id END, 1, part FROM ledger WHERE purchase_order_exists UNION ALL
 SELECT exception_id, exception_id || '-Q', 'purchase_order', 'PO-1', 2, part FROM ledger WHERE part % 5 = 0 UNION ALL
 SELECT exception_id, exception_id || '-G', 'goods_receipt_note', CASE WHEN part % 3 <> 0 THEN 'PO-' || purchase_order_id END, 3, part FROM ledger WHERE goods_receipt_exists UNION ALL
-SELECT exception_id, exception_id || '-T', 'quotation', 'PO-' || purchase_order_id, 0, part FROM ledger WHERE part % 4 = 0),
-keyed AS (SELECT *, regexp_replace(lower(coalesce(ref, '')), '[^a-z0-9]', '', 'g') AS k FROM docs)"""
+SELECT exception_id, exception_id || '-T', 'quotation', 'PO-' || purchase_order_id, 0, part FROM ledger WHERE part % 4 = 0 UNION ALL
+SELECT exception_id, exception_id || '-J', 'vendor_invoice', 'PO-1', 9, part FROM ledger WHERE part % 23 = 2 UNION ALL
+SELECT exception_id, exception_id || '-K', 'vendor_invoice', 'PO-1', -2, part FROM ledger WHERE part % 21 = 8 UNION ALL
+SELECT exception_id, exception_id || '-U', 'quotation', 'PO-1', 1, part FROM ledger WHERE part % 8 = 4),
+docs AS (SELECT *, CASE WHEN part % 31 = 0 OR document_id LIKE '%-J' OR (document_id LIKE '%-P' AND part % 7 = 3) THEN 'failed' WHEN document_id LIKE '%-G' AND part % 13 = 4 THEN 'processing' ELSE 'completed' END AS st FROM docs0),
+keyed AS (SELECT *, regexp_replace(lower(coalesce(ref, '')), '[^a-z0-9]', '', 'g') AS k FROM docs),
+prime AS (SELECT * FROM keyed WHERE t = 'vendor_invoice' AND st = 'completed' QUALIFY row_number() OVER (PARTITION BY exception_id ORDER BY h DESC, document_id DESC) = 1)"""
 
 
 def _link_sql(role: str) -> str:
     return f"""{_DOCS}, c AS (SELECT d.exception_id, d.document_id, i.k AS wanted, d.k AS stated, row_number() OVER (PARTITION BY d.exception_id ORDER BY (i.k <> '' AND d.k = i.k) DESC, d.h DESC, d.document_id DESC) AS r
-FROM keyed d JOIN keyed i ON i.exception_id = d.exception_id AND i.t = 'vendor_invoice' WHERE d.t = '{role}')
-SELECT exception_id, document_id, CASE WHEN wanted <> '' AND wanted = stated THEN NULL WHEN wanted <> '' AND stated <> '' THEN 'reference_mismatch' ELSE 'unverified_link' END AS warning FROM c WHERE r = 1"""
+FROM keyed d JOIN prime i ON i.exception_id = d.exception_id WHERE d.t = '{role}' AND d.st = 'completed')
+SELECT exception_id, document_id, CASE WHEN wanted <> '' AND wanted = stated THEN NULL WHEN wanted <> '' THEN 'reference_mismatch' ELSE 'unverified_link' END AS warning FROM c WHERE r = 1"""
 
 
 @query(_link_sql("purchase_order"))
@@ -59,14 +66,14 @@ def link_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_DOCS} SELECT e.exception_id, ty.t AS document_type, count(d.document_id) AS n FROM (SELECT DISTINCT exception_id FROM docs) e CROSS JOIN (VALUES ('vendor_invoice'), ('purchase_order'), ('goods_receipt_note'), ('quotation'), ('rejection_notice')) ty(t)
-LEFT JOIN docs d ON d.exception_id = e.exception_id AND d.t = ty.t AND d.part % 31 <> 0 GROUP BY ALL""")
+LEFT JOIN docs d ON d.exception_id = e.exception_id AND d.t = ty.t AND d.st = 'completed' GROUP BY ALL""")
 def readiness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.readiness(documents(spark, sf_dir))
 
 
-@query(f"{_DOCS} SELECT exception_id, count(*) AS total, count(*) FILTER (part % 31 <> 0) AS completed, count(*) FILTER (part % 31 = 0) AS failed, CAST(100 AS INTEGER) AS percent FROM docs GROUP BY exception_id")
+@query(f"{_DOCS} SELECT exception_id, count(*) AS total, count(*) FILTER (st = 'completed') AS completed, count(*) FILTER (st = 'failed') AS failed, count(*) FILTER (st = 'processing') AS processing, CAST(round_even(100.0::DOUBLE * count(*) FILTER (st <> 'processing') / count(*), 0) AS INTEGER) AS percent FROM docs GROUP BY exception_id")
 def document_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.progress(documents(spark, sf_dir)).drop("queued", "processing")
+    return L.progress(documents(spark, sf_dir)).drop("queued")
 
 
 @query(f"""{_DOCS}, g AS (SELECT exception_id, k AS reference_key, count(*) AS n, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM keyed GROUP BY ALL)
@@ -75,8 +82,8 @@ def documents_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.by_reference(documents(spark, sf_dir)).withColumn("documents", F.array_join("documents", ","))
 
 
-@query(f"""{_DOCS}, c AS (SELECT i.exception_id, count(DISTINCT p.document_id) > 0 AS po, count(DISTINCT g.document_id) > 0 AS grn, count(DISTINCT t.document_id) > 0 AS q FROM keyed i LEFT JOIN keyed p ON p.exception_id = i.exception_id AND p.t = 'purchase_order'
-LEFT JOIN keyed g ON g.exception_id = i.exception_id AND g.t = 'goods_receipt_note' LEFT JOIN keyed t ON t.exception_id = i.exception_id AND t.t = 'quotation' WHERE i.t = 'vendor_invoice' AND i.part % 31 <> 0 GROUP BY 1)
+@query(f"""{_DOCS}, c AS (SELECT i.exception_id, count(DISTINCT p.document_id) > 0 AS po, count(DISTINCT g.document_id) > 0 AS grn, count(DISTINCT t.document_id) > 0 AS q FROM prime i LEFT JOIN keyed p ON p.exception_id = i.exception_id AND p.t = 'purchase_order' AND p.st = 'completed'
+LEFT JOIN keyed g ON g.exception_id = i.exception_id AND g.t = 'goods_receipt_note' AND g.st = 'completed' LEFT JOIN keyed t ON t.exception_id = i.exception_id AND t.t = 'quotation' GROUP BY 1)
 SELECT exception_id, po AS purchase_order_exists, grn AS goods_receipt_exists FROM c""")
 def matching_input_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.matching_input(documents(spark, sf_dir)).select("exception_id", "purchase_order_exists", "goods_receipt_exists")

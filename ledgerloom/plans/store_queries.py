@@ -95,19 +95,19 @@ def documents_of_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [store.documents_of(rows, i).select("exception_id", "document_id", "document_type") for i in _WANTED])
 
 
-@query(f"{_DOCS} SELECT d.exception_id, d.document_id FROM docs d JOIN ledger l ON l.exception_id = d.exception_id WHERE d.t = 'purchase_order' AND d.part % 31 <> 0 AND l.workspace_id = 'EUROPE' AND d.exception_id <> '{_WANTED[0]}'")
+@query(f"{_DOCS} SELECT d.exception_id, d.document_id FROM docs d JOIN ledger l ON l.exception_id = d.exception_id WHERE d.t = 'purchase_order' AND d.st = 'completed' AND l.workspace_id = 'EUROPE' AND d.exception_id <> '{_WANTED[0]}'")
 def documents_of_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.others(documents(spark, sf_dir), "purchase_order", _WANTED[0], "EUROPE").select("exception_id", "document_id")
 
 
-@query(f"""{_DOCS}, own AS (SELECT exception_id, document_id AS vendor_invoice, k FROM keyed WHERE t = 'vendor_invoice' AND part % 31 <> 0),
-r AS (SELECT d.exception_id, d.document_id, d.t, row_number() OVER (PARTITION BY d.exception_id, d.t ORDER BY (o.k <> '' AND d.k = o.k) DESC, d.h DESC, d.document_id DESC) AS r FROM keyed d JOIN own o ON o.exception_id = d.exception_id WHERE d.part % 31 <> 0)
+@query(f"""{_DOCS}, own AS (SELECT exception_id, document_id AS vendor_invoice, k FROM prime),
+r AS (SELECT d.exception_id, d.document_id, d.t, row_number() OVER (PARTITION BY d.exception_id, d.t ORDER BY (d.t <> 'quotation' AND o.k <> '' AND d.k = o.k) DESC, d.h DESC, d.document_id DESC) AS r FROM keyed d JOIN own o ON o.exception_id = d.exception_id WHERE d.st = 'completed')
 SELECT o.exception_id, o.vendor_invoice, max(document_id) FILTER (t = 'purchase_order' AND r = 1) AS purchase_order, max(document_id) FILTER (t = 'goods_receipt_note' AND r = 1) AS goods_receipt_note, max(document_id) FILTER (t = 'quotation' AND r = 1) AS quotation,
 CASE WHEN CAST(split_part(o.exception_id, '-', 2) AS BIGINT) % 6 = 0 THEN o.exception_id || '-R' END AS rejection_notice, CASE WHEN CAST(split_part(o.exception_id, '-', 2) AS BIGINT) % 6 = 0 THEN 'late' END AS rejection_reason
 FROM own o LEFT JOIN r ON r.exception_id = o.exception_id GROUP BY o.exception_id, o.vendor_invoice""")
 def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir)
-    notice = rows.filter((F.col("document_type") == "vendor_invoice") & (_order() % 6 == 0))
+    notice = rows.filter(F.col("document_id").endswith("-I") & (_order() % 6 == 0))
     notice = notice.withColumns({"document_id": F.concat("exception_id", F.lit("-R")), "document_type": F.lit("rejection_notice"), "extraction": F.col("extraction").withField("rejection_reason", F.lit("late"))})
     return L.source_documents(rows.unionByName(notice))
 

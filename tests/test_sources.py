@@ -106,7 +106,9 @@ def test_linking_prefers_references(spark):
     inv = doc("i", "vendor_invoice", "PO-1", 0)
     assert link(inv, doc("a", "purchase_order", "po 1", 1), doc("b", "purchase_order", "PO-2", 5)) == ("a", None)
     assert link(inv, doc("b", "purchase_order", "PO-2", 5)) == ("b", "reference_mismatch")
-    assert link(inv, doc("b", "purchase_order", None, 5), doc("c", "purchase_order", None, 6)) == ("c", "unverified_link")
+    # The invoice states an order that none carries; only where it states none is the link merely unverified.
+    assert link(inv, doc("b", "purchase_order", None, 5), doc("c", "purchase_order", None, 6)) == ("c", "reference_mismatch")
+    assert link(doc("i", "vendor_invoice", None, 0), doc("b", "purchase_order", "PO-2", 5), doc("c", "purchase_order", None, 6)) == ("c", "unverified_link")
 
 
 def test_windows_read_their_months_alone(spark, tmp_path):
