@@ -102,10 +102,13 @@ def with_fault(correct: Column) -> Column:
 
 
 def trust_checks(rows: DataFrame, least: float = 0.01) -> DataFrame:
-    """Stated against computed values: difference, percentage (null if 0 was computed), overridden."""
-    diff = F.col("ai_value") - F.col("computed_value")
-    percent = F.when(F.col("computed_value") != 0, F.round(F.abs(diff) / F.abs(F.col("computed_value")) * 100, 4))
-    return rows.withColumns({"difference": F.round(diff, 2), "difference_percent": percent, "overridden": F.abs(diff) > least})
+    """Stated against computed values: how far apart, in per cent (null if 0 was computed or nothing stated), overridden.
+
+    Where nothing was stated, the difference is 0 and nothing was overridden.
+    """
+    diff = F.coalesce(F.abs(F.col("ai_value") - F.col("computed_value")), F.lit(0.0))
+    percent = F.when(F.col("ai_value").isNotNull() & (F.col("computed_value") != 0), F.round(diff / F.abs(F.col("computed_value")) * 100, 4))
+    return rows.withColumns({"difference": F.round(diff, 2), "difference_percent": percent, "overridden": diff > least})
 
 
 def trust_summary(checks: DataFrame, significant: float = 1.0) -> DataFrame:

@@ -102,7 +102,8 @@ def _line_rollup(lines: Column, tolerance: Column) -> Column:
     worst = F.array_max(F.transform(F.filter(priced, lambda x: x["percentage_variance"].isNotNull()), lambda x: F.abs(x["percentage_variance"])))
     bad = F.exists(lines, lambda x: x["only_on"].isNotNull() | (x["classification"] == "outside_tolerance"))
     kind = F.when(bad, F.lit("outside_tolerance")).when(F.size(priced) == 0, F.lit("missing")).when(worst == 0, F.lit("matched")).otherwise(F.lit("within_tolerance"))
-    made = V._comparison("line_items", percentage_variance=worst, tolerance_percent=tolerance, classification=kind, evaluable=kind != "missing")
+    count = lambda c, what: F.concat(F.size(F.coalesce(c, F.array().cast(LINES))).cast("string"), F.lit(f" line(s) {what}"))
+    made = V._comparison("line_items", expected_str=count(F.col("po_line_items"), "ordered"), actual_str=count(F.col("invoice_line_items"), "billed"), percentage_variance=worst, tolerance_percent=tolerance, classification=kind, evaluable=kind != "missing")
     return F.when(F.size(lines) > 0, made)
 
 
@@ -226,19 +227,28 @@ def with_outcome(cases: DataFrame, computed: DataFrame) -> DataFrame:
 
 
 def resolved_tolerance(cases: DataFrame, rules: DataFrame) -> DataFrame:
-    """``cases`` (with vendor_name, category) and the tolerances that hold: vendor over category over default.
+    """``cases`` (with vendor_name, category) and the tolerances that hold: vendor over category over the workspace's default.
 
-    ``rules``: ``scope`` (default, category, vendor), ``name``, ``price``,
-    ``quantity``; a null figure leaves the wider rule's.  The rules are a
-    configuration table; its rows are joined by key.
+    ``rules``: ``scope`` (default, category, vendor), ``name``, ``price``, ``quantity`` and
+    optionally ``place``; a null figure leaves the wider rule's.  Vendors are told
+    by their letters and digits, and of several rules whose names agree so the
+    first by ``place`` counts (by name without it); categories agree exactly.
+    ``tolerance_source`` says which rule answered, even if it only repeats the wider one.
     """
-    part = lambda scope, key: rules.filter(F.col("scope") == scope).select(unicode_key(F.col("name")).alias(key), F.col("price").alias(f"{scope}_p"), F.col("quantity").alias(f"{scope}_q"))
-    default = rules.filter("scope = 'default'").agg(F.first("price").alias("default_p"), F.first("quantity").alias("default_q"))  # one row
-    names = [c for c in ("vendor_key_", "category_key_", "vendor_p", "vendor_q", "category_p", "category_q", "default_p", "default_q") if c in cases.columns]
+    place = F.col("place") if "place" in rules.columns else F.lit(0)
+
+    def part(scope: str, key: Column) -> DataFrame:
+        rows = rules.filter(F.col("scope") == scope).withColumn(f"{scope}_key_", key)
+        rule = F.struct("name", F.col("price").alias("p"), F.col("quantity").alias("q"))
+        return rows.groupBy(f"{scope}_key_").agg(F.min_by(rule, F.struct(place, F.col("name"))).alias(f"{scope}_rule_"))
+
+    default = rules.filter("scope = 'default'").agg(F.min_by(F.struct(F.col("price").alias("p"), F.col("quantity").alias("q")), F.struct(place, F.col("price"), F.col("quantity"))).alias("default_rule_"))  # one row
+    names = [c for c in ("vendor_key_", "category_key_", "vendor_rule_", "category_rule_", "default_rule_") if c in cases.columns]
     if names:
         raise ValueError(f"columns {names} are taken")
-    out = cases.withColumns({"vendor_key_": unicode_key(F.col("vendor_name")), "category_key_": unicode_key(F.col("category"))})
-    out = out.join(part("vendor", "vendor_key_"), "vendor_key_", "left").join(part("category", "category_key_"), "category_key_", "left").join(F.broadcast(default))
-    pick = lambda x, d: F.coalesce(f"vendor_{x}", f"category_{x}", f"default_{x}", F.lit(d))
-    source = F.when(F.coalesce("vendor_p", "vendor_q").isNotNull(), F.lit("vendor")).when(F.coalesce("category_p", "category_q").isNotNull(), F.lit("category")).otherwise(F.lit("default"))
-    return out.withColumns({"price_tolerance": pick("p", PRICE_TOLERANCE), "quantity_tolerance": pick("q", QUANTITY_TOLERANCE), "tolerance_source": source}).drop("vendor_key_", "category_key_", "vendor_p", "vendor_q", "category_p", "category_q", "default_p", "default_q")
+    out = cases.withColumns({"vendor_key_": F.when(F.col("vendor_name") != "", unicode_key(F.col("vendor_name"))), "category_key_": F.nullif(F.col("category"), F.lit(""))})
+    out = out.join(part("vendor", unicode_key(F.col("name"))), "vendor_key_", "left").join(part("category", F.col("name")), "category_key_", "left").join(F.broadcast(default))
+    pick = lambda x, d: F.coalesce(f"vendor_rule_.{x}", f"category_rule_.{x}", f"default_rule_.{x}", F.lit(d))
+    said = lambda scope: F.concat(F.lit(f"{scope} rule: "), F.col(f"{scope}_rule_.name"))
+    source = F.when(F.col("vendor_rule_").isNotNull(), said("vendor")).when(F.col("category_rule_").isNotNull(), said("category")).otherwise(F.lit("workspace default"))
+    return out.withColumns({"price_tolerance": pick("p", PRICE_TOLERANCE), "quantity_tolerance": pick("q", QUANTITY_TOLERANCE), "tolerance_source": source}).drop("vendor_key_", "category_key_", "vendor_rule_", "category_rule_", "default_rule_")

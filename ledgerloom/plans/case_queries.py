@@ -12,7 +12,7 @@ from ledgerloom.operators import evidence
 from ledgerloom.operators import matching as M
 from ledgerloom.operators import orchestration as O
 from ledgerloom.model import DOCUMENT
-from ledgerloom.plans.document_queries import _PAIRS, decisions
+from ledgerloom.plans.document_queries import _PAIRS, LIVE, analysed_papers, decisions
 from ledgerloom.plans.history_queries import _INV, NEAR, billed, invoices
 from ledgerloom.plans.ledger import CASES, LEDGER, cases, ledger
 from ledgerloom.plans.matching_queries import _IN, inputs
@@ -167,9 +167,9 @@ def derived_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CASES}, t AS (SELECT *, CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 4 = 0 THEN 'assigned' WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 4 = 1 THEN NULL ELSE 'processing' END AS before FROM cases)
-SELECT exception_id, CASE WHEN before = 'assigned' THEN 'assigned' WHEN exception_type = 'no_exception' THEN 'cleared' ELSE 'exception_detected' END AS status, CASE risk_level WHEN 'high' THEN 'critical' WHEN 'medium' THEN 'warning' ELSE 'info' END AS severity,
-CASE exception_type WHEN 'price_variance' THEN 'contact_procurement' WHEN 'quantity_variance' THEN 'contact_receiving' WHEN 'missing_goods_receipt' THEN 'request_receipt' WHEN 'missing_purchase_order' THEN 'request_purchase_order' WHEN 'duplicate_invoice' THEN 'hold_payment'
- WHEN 'po_over_billed' THEN 'amend_order' WHEN 'tax_total_mismatch' THEN 'request_corrected_invoice' ELSE 'review' END AS action, CASE WHEN match_score >= 95 THEN '95-100' WHEN match_score >= 80 THEN '80-94' WHEN match_score >= 60 THEN '60-79' ELSE 'below-60' END AS band FROM t""")
+SELECT exception_id, CASE WHEN before = 'assigned' THEN 'assigned' WHEN exception_type = 'no_exception' THEN 'cleared' ELSE 'exception_detected' END AS status, risk_level AS severity,
+CASE exception_type WHEN 'price_variance' THEN 'Vendor correction request' WHEN 'quantity_variance' THEN 'Confirm receipt with Receiving' WHEN 'missing_goods_receipt' THEN 'Obtain delivery confirmation' WHEN 'missing_purchase_order' THEN 'Locate or raise the purchase order'
+ WHEN 'duplicate_invoice' THEN 'Hold payment; confirm re-submission' WHEN 'po_over_billed' THEN 'Amend the order or reject the excess' WHEN 'tax_total_mismatch' THEN 'Ask the vendor to restate the invoice' WHEN 'no_exception' THEN 'No action required' ELSE 'Review and route manually' END AS action, CASE WHEN match_score >= 95 THEN '95-100' WHEN match_score >= 80 THEN '80-94' WHEN match_score >= 60 THEN '60-79' ELSE 'below-60' END AS band FROM t""")
 def after_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, severity, next step and score band that follow from a finding."""
     order = F.split_part("exception_id", F.lit("-"), F.lit(2)).cast("long") % 4
@@ -185,14 +185,33 @@ def guarded_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).select("exception_id", evidence.guarded(F.when(k == 0, c + 0.005).when(k == 1, c * 2 + 5), c).alias("value"))
 
 
-@query(f"""{_IN}, x AS (SELECT exception_id, up, pp, UNNEST([CASE WHEN po AND NOT conflict THEN {{'p': 2, 't': 'unit price: expected ' || format('{{:,.2f}}', pp) || ', found ' || format('{{:,.2f}}', up)}} END]) AS s FROM e) SELECT exception_id, s.t AS citation FROM x WHERE s IS NOT NULL""")
+def sources_on_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of each role that a case holds."""
+    document = lambda has, suffix: F.when(has, F.concat("exception_id", F.lit(suffix)))
+    return ledger(spark, sf_dir).select("exception_id", document(F.lit(True), "-I").alias("vendor_invoice"), document(F.col("purchase_order_exists"), "-P").alias("purchase_order"), document(F.col("goods_receipt_exists"), "-G").alias("goods_receipt_note"))
+
+
+@query(f"""{LIVE}, k AS (SELECT exception_id, place * 3 AS o, 'Received quantity ' || x AS claim, exception_id || '-G' AS source_document_id, 'received_quantity' AS source_field FROM live WHERE f = 'quantity' UNION ALL
+SELECT exception_id, place * 3 + 1, 'Invoice ' || replace(f, '_', ' ') || ' ' || y, exception_id || '-I', f FROM live WHERE f IN ('unit_price', 'quantity') UNION ALL
+SELECT exception_id, place * 3 + 2, 'Purchase order unit price ' || x, exception_id || '-P', f FROM live WHERE f = 'unit_price'),
+n AS (SELECT * FROM k UNION ALL SELECT exception_id, 0, 'Invoice on file', exception_id || '-I', 'total_amount' FROM e WHERE exception_id NOT IN (SELECT exception_id FROM k))
+SELECT exception_id, CAST(row_number() OVER (PARTITION BY exception_id ORDER BY o) - 1 AS INTEGER) AS place, claim, source_document_id, source_field FROM n""")
+def case_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every citation of every case, with the document and field it points at."""
+    return evidence.citations(M.evaluate(inputs(spark, sf_dir)), sources_on_file(spark, sf_dir))
+
+
+@query(f"""{LIVE} SELECT exception_id, 'Purchase order unit price ' || x AS claim, exception_id || '-P' AS source_document_id FROM live WHERE f = 'unit_price'""")
 def price_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evidence.citations(M.evaluate(inputs(spark, sf_dir)))
-    return rows.filter("citation like 'unit price:%'").select("exception_id", "citation")
+    """The ordered prices that are cited."""
+    rows = evidence.citations(M.evaluate(inputs(spark, sf_dir)), sources_on_file(spark, sf_dir))
+    return rows.filter("claim like 'Purchase order unit price%'").select("exception_id", "claim", "source_document_id")
 
 
-@query(f"""{_IN} SELECT exception_id, CASE WHEN NOT po THEN NULL WHEN NOT conflict AND price_out THEN 'unit price is off by ' || format('{{:,.2f}}', round(pv, 2)) || '%' WHEN NOT conflict AND goods_receipt_exists AND qty_out AND qv IS NOT NULL THEN 'quantity is off by ' || format('{{:,.2f}}', round(qv, 2)) || '%'
-WHEN tax_out THEN 'tax arithmetic is off by ' || format('{{:,.2f}}', round(tp, 2)) || '%' END AS sentence FROM e""")
+@query(f"""{LIVE}, s AS (SELECT *, CASE WHEN p IS NOT NULL THEN 'The ' || replace(f, '_', ' ') || ' on the invoice is ' || y || ', against an expected ' || x || ' — a variance of ' || format('{{:.2f}}', p) || '%, outside the ' || CASE f WHEN 'quantity' THEN '2.0' ELSE '5.0' END || '% tolerance.' END AS t FROM live WHERE bad),
+w AS (SELECT exception_id, arg_min(t, place) FILTER (t IS NOT NULL) AS t, arg_min({{'f': replace(f, '_', ' '), 'x': x, 'y': y}}, place) AS b FROM s GROUP BY 1)
+SELECT e.exception_id, CASE WHEN w.t IS NOT NULL THEN w.t WHEN w.b.f = 'vendor' THEN 'The vendor on the invoice (' || CASE WHEN CAST(vendor_id AS INT) % 2 = 0 THEN 'M/s ' || po_vendor_name || ' Pvt. Ltd.' ELSE po_vendor_name END || ') does not match the expected value (Another Company).'
+ WHEN w.exception_id IS NOT NULL THEN 'The ' || w.b.f || ' on the invoice (' || w.b.y || ') does not match the expected value (' || w.b.x || ').' ELSE 'No comparison fell outside the configured tolerance.' END AS sentence FROM e LEFT JOIN w ON w.exception_id = e.exception_id""")
 def variance_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.evaluate(inputs(spark, sf_dir)).select("exception_id", evidence.variance_sentence(F.col("comparisons")).alias("sentence"))
 
@@ -212,16 +231,21 @@ def case_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select("exception_id", F.array_join("participants", ",").alias("participants"))
 
 
-@query(f"""{_IN}, f AS (SELECT exception_id, exception_type, UNNEST([CASE WHEN po AND NOT conflict THEN 'vendor' END, CASE WHEN po AND NOT conflict THEN 'po_number' END, CASE WHEN po AND NOT conflict THEN 'unit_price' END, CASE WHEN po AND goods_receipt_exists AND NOT conflict THEN 'quantity' END]) AS field FROM e),
-n AS (SELECT DISTINCT exception_id, 'comparison' AS kind, 'comparison:' || exception_id || ':' || field AS node FROM f WHERE field IS NOT NULL UNION SELECT exception_id, 'comparison', 'comparison:' || exception_id || ':tax_arithmetic' FROM e WHERE po AND tax_out
-UNION SELECT exception_id, 'finding', 'finding:' || exception_id || ':' || exception_type FROM e UNION SELECT DISTINCT exception_id, 'document', 'document:' || exception_id || '-' || d FROM f, (VALUES ('vendor_invoice'), ('purchase_order')) v(d) WHERE field IN ('vendor', 'po_number', 'unit_price')
-UNION SELECT exception_id, 'document', 'document:' || exception_id || '-goods_receipt_note' FROM f WHERE field = 'quantity') SELECT * FROM n""")
+@query(f"""{LIVE}, sides AS (SELECT exception_id, f, CASE f WHEN 'vendor' THEN CASE WHEN other_vendor THEN 'Another Company' WHEN CAST(vendor_id AS INT) % 2 = 0 THEN po_vendor_name || ' PRIVATE LIMITED' ELSE upper(po_vendor_name) END WHEN 'po_number' THEN 'PO-' || purchase_order_id ELSE x END AS x,
+ CASE f WHEN 'vendor' THEN CASE WHEN CAST(vendor_id AS INT) % 2 = 0 THEN 'M/s ' || po_vendor_name || ' Pvt. Ltd.' ELSE po_vendor_name END WHEN 'po_number' THEN 'PO-' || purchase_order_id ELSE y END AS y, p, bad, inside, live.exception_type FROM live JOIN (SELECT exception_id, vendor_id, po_vendor_name, purchase_order_id, other_vendor FROM e) USING (exception_id)),
+n AS (SELECT exception_id, exception_id || '-value-' || f AS id, 'extracted_value' AS t, f || ': expected ' || x || ' / actual ' || y AS l, coalesce('variance ' || CAST(p AS VARCHAR) || '%', '') AS d FROM sides UNION ALL
+SELECT exception_id, exception_id || '-finding-' || f, 'finding', CASE WHEN bad THEN 'Outside Tolerance: ' ELSE 'Within Tolerance: ' END || f, exception_type FROM sides WHERE bad OR inside UNION ALL
+SELECT exception_id, exception_id || '-rule-tolerance', 'business_rule', 'Tolerance rule', 'Price tolerance 5.0% · Quantity tolerance 2.0% (settings/tolerance_rules)' FROM e UNION ALL
+SELECT exception_id, 'doc-' || exception_id || '-' || d.d, 'document', d.d, 'Type: ' || d.d || ' · Confidence: n/a' FROM e, (VALUES ('vendor_invoice'), ('purchase_order'), ('goods_receipt_note')) d(d) WHERE d.d = 'vendor_invoice' OR (d.d = 'purchase_order' AND po) OR (d.d = 'goods_receipt_note' AND goods_receipt_exists) UNION ALL
+SELECT DISTINCT exception_id, exception_id || '-routing-action', 'routing', 'Recommended action', CASE exception_type WHEN 'price_variance' THEN 'Vendor correction request' WHEN 'quantity_variance' THEN 'Confirm receipt with Receiving' WHEN 'missing_goods_receipt' THEN 'Obtain delivery confirmation'
+ WHEN 'vendor_mismatch' THEN 'Confirm the billing entity' WHEN 'tax_total_mismatch' THEN 'Ask the vendor to restate the invoice' WHEN 'no_exception' THEN 'No action required' ELSE 'Review and route manually' END FROM live WHERE bad OR inside UNION ALL
+SELECT DISTINCT exception_id, exception_id || '-routing-owner', 'routing', 'Recommended owner', CASE exception_type WHEN 'price_variance' THEN 'Procurement' WHEN 'quantity_variance' THEN 'Receiving' WHEN 'missing_goods_receipt' THEN 'Requesting business unit' WHEN 'vendor_mismatch' THEN 'Procurement' WHEN 'no_exception' THEN 'No action required' ELSE 'Accounts Payable' END FROM live WHERE bad OR inside)
+SELECT exception_id, string_agg(concat_ws('|', id, t, l, d), chr(10) ORDER BY id) AS nodes FROM n GROUP BY exception_id""")
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the evidence graph but the actions."""
-    analysed = M.evaluate(inputs(spark, sf_dir)).select("exception_id", "exception_type", "comparisons")
-    roles = F.array(*map(F.lit, ("vendor_invoice", "purchase_order", "goods_receipt_note")))
-    docs = ledger(spark, sf_dir).select("exception_id", F.explode(roles).alias("document_type")).withColumn("document_id", F.concat_ws("-", "exception_id", "document_type"))
-    return evidence.graph_nodes(evidence.graph_edges(analysed, docs)).filter("kind <> 'action'")
+    """Every node of each case's evidence graph."""
+    nodes = evidence.graph_nodes(*analysed_papers(spark, sf_dir))
+    row = F.struct("id", F.concat_ws("|", "id", "type", "label", F.coalesce("detail", F.lit(""))).alias("text"))
+    return nodes.groupBy("exception_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["text"]), "\n").alias("nodes"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'Invoice ' || c_custkey || ' from Acme' ELSE repeat('x', 120) END AS title FROM customer")

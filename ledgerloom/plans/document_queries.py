@@ -89,27 +89,44 @@ def matching_input_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.matching_input(documents(spark, sf_dir)).select("exception_id", "purchase_order_exists", "goods_receipt_exists")
 
 
-_EDGES = f"""{_IN}, f AS (SELECT exception_id, exception_type, conflict, po, goods_receipt_exists AS g, UNNEST([{{'f': 'vendor', 'o': other_vendor, 'e': po}}, {{'f': 'po_number', 'o': conflict, 'e': po}}, {{'f': 'unit_price', 'o': price_out, 'e': po}}, {{'f': 'quantity', 'o': qty_out, 'e': po AND goods_receipt_exists}}, {{'f': 'tax_arithmetic', 'o': tax_out, 'e': po}}]) AS x FROM e),
-live AS (SELECT exception_id, exception_type, x.f AS f, x.o AS o FROM f WHERE x.e AND (NOT conflict OR x.f = 'tax_arithmetic'))"""
+#: Comparisons of each case that can be evaluated, with their figures as text and their class.
+LIVE = f"""{_IN}, f AS (SELECT *, unnest([
+ {{'place': 0, 'f': 'vendor', 'live': po AND NOT conflict, 'bad': other_vendor, 'even': true, 'x': '', 'y': '', 'p': NULL::DOUBLE}}, {{'place': 1, 'f': 'po_number', 'live': po AND NOT conflict, 'bad': false, 'even': true, 'x': '', 'y': '', 'p': NULL}},
+ {{'place': 2, 'f': 'unit_price', 'live': po AND NOT conflict, 'bad': price_out, 'even': coalesce(pv = 0, false), 'x': CAST(pp AS VARCHAR), 'y': CAST(up AS VARCHAR), 'p': round(pv, 2)}},
+ {{'place': 3, 'f': 'quantity', 'live': po AND goods_receipt_exists AND NOT conflict, 'bad': qty_out, 'even': coalesce(qv = 0, false), 'x': CAST(rq AS VARCHAR), 'y': CAST(q AS VARCHAR), 'p': round(qv, 2)}},
+ {{'place': 4, 'f': 'tax_arithmetic', 'live': po, 'bad': tax_out, 'even': coalesce(tp = 0, false), 'x': CAST((subtotal_c + tax_c) / 100.0::DOUBLE AS VARCHAR), 'y': CAST(amount AS VARCHAR), 'p': round(tp, 2)}}]) AS c FROM e),
+live AS (SELECT exception_id, exception_type, po, goods_receipt_exists AS g, c.place AS place, c.f AS f, c.x AS x, c.y AS y, c.p AS p, c.bad AS bad, NOT c.even AND NOT c.bad AS inside FROM f WHERE c.live)"""
+_SIDES = "(VALUES ('vendor', 'purchase_order'), ('vendor', 'vendor_invoice'), ('po_number', 'purchase_order'), ('po_number', 'vendor_invoice'), ('unit_price', 'purchase_order'), ('unit_price', 'vendor_invoice'), ('quantity', 'goods_receipt_note'), ('quantity', 'vendor_invoice')) s(f, d)"
+
+
+def analysed_papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Analysed cases and the documents on their file."""
+    there = {"vendor_invoice": F.lit(True), "purchase_order": F.col("purchase_order_exists"), "goods_receipt_note": F.col("goods_receipt_exists")}
+    roles = F.array_compact(F.array(*[F.when(has, F.lit(role)) for role, has in there.items()]))
+    docs = ledger(spark, sf_dir).select("exception_id", F.explode(roles).alias("document_type")).withColumn("document_id", F.concat_ws("-", "exception_id", "document_type"))
+    return M.evaluate(inputs(spark, sf_dir)), docs
 
 
-@query(f"""{_EDGES}, s AS (SELECT count(*) AS n FROM live WHERE o) SELECT 'leads_to' AS kind, count(*) AS n FROM e UNION ALL SELECT 'supports', n FROM s UNION ALL
-SELECT 'extracted_from', count(*) * 2 FROM live WHERE f IN ('vendor', 'po_number', 'unit_price', 'quantity')""")
+@query(f"""{LIVE}, x AS (SELECT exception_id, exception_id || '-value-' || f AS a, 'doc-' || exception_id || '-' || s.d AS b, 'extracted_from' AS r FROM live JOIN {_SIDES} USING (f) UNION ALL
+SELECT exception_id, exception_id || '-value-' || f, exception_id || '-rule-tolerance', 'evaluated_against' FROM live UNION ALL SELECT exception_id, exception_id || '-value-' || f, exception_id || '-finding-' || f, 'produces' FROM live WHERE bad OR inside UNION ALL
+SELECT exception_id, exception_id || '-finding-' || f, exception_id || '-routing-' || t.t, 'routed_to' FROM live, (VALUES ('owner'), ('action')) t(t) WHERE bad OR inside)
+SELECT exception_id, string_agg(a || ' ' || r || ' ' || b, chr(10) ORDER BY a || ' ' || r || ' ' || b) AS edges FROM x GROUP BY exception_id""")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analysed = M.evaluate(inputs(spark, sf_dir)).select("exception_id", "exception_type", "comparisons")
-    roles = F.array(*map(F.lit, ("vendor_invoice", "purchase_order", "goods_receipt_note")))
-    docs = ledger(spark, sf_dir).select("exception_id", F.explode(roles).alias("document_type")).withColumn("document_id", F.concat_ws("-", "exception_id", "document_type"))
-    return V.graph_edges(analysed, docs).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Every edge of each case's evidence graph."""
+    analysed, docs = analysed_papers(spark, sf_dir)
+    edges = V.graph_edges(analysed, docs)
+    return edges.groupBy("exception_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "source", "relationship", "target"))), "\n").alias("edges"))
 
 
-@query(f"""WITH {LEDGER}, r AS (SELECT exception_id, CASE CAST(vendor_id AS INT) % 4 WHEN 0 THEN 'clerk' WHEN 1 THEN 'manager' WHEN 2 THEN 'director' ELSE 'visitor' END AS role, total_c / 100.0::DOUBLE AS amount, line_number % 5 = 0 AS involved FROM ledger)
-SELECT exception_id, CASE WHEN role = 'visitor' THEN 'role_not_authorised' WHEN involved THEN 'segregation_of_duties' WHEN (role = 'clerk' AND amount > 10000) OR (role = 'manager' AND amount > 50000) THEN 'over_limit' ELSE 'approved' END AS decision, role FROM r""")
+@query(f"""WITH {LEDGER}, r AS (SELECT exception_id, CASE CAST(vendor_id AS INT) % 5 WHEN 0 THEN 'clerk' WHEN 1 THEN 'manager' WHEN 2 THEN 'director' WHEN 3 THEN 'visitor' ELSE '' END AS role, total_c / 100.0::DOUBLE AS amount, line_number % 5 = 0 AS involved, part % 6 = 0 AS moved FROM ledger)
+SELECT exception_id, CASE WHEN moved THEN 'approved' WHEN involved THEN 'segregation_of_duties' WHEN role = 'visitor' THEN 'role_not_authorized' WHEN (role IN ('clerk', '') AND amount > 10000) OR (role = 'manager' AND amount > 50000) THEN 'approval_limit_exceeded' ELSE 'approved' END AS decision, role FROM r""")
 def approval_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = F.element_at(F.array(*map(F.lit, ("clerk", "Manager", "director", "visitor"))), (F.col("vendor_id").cast("int") % 4 + 1).cast("int"))
+    role = F.element_at(F.array(*map(F.lit, ("clerk", "Manager", "director", "visitor", ""))), (F.col("vendor_id").cast("int") % 5 + 1).cast("int"))
     who = F.when(F.col("line_number") % 5 == 0, F.array(F.lit("ann"))).otherwise(F.array(F.lit("bob")))
-    requests = ledger(spark, sf_dir).select("exception_id", F.lit(" Ann").alias("actor"), role.alias("role"), (F.col("total_c") / F.lit(100.0)).alias("amount"), who.alias("participants"))
-    limits = spark.createDataFrame([("clerk", 10000.0), ("manager", 50000.0), ("director", None)], "role string, max_value double")
-    return V.approval(requests, limits).select("exception_id", "decision", F.lower("role").alias("role"))
+    status = F.when(F.col("part") % 6 == 0, F.lit("awaiting_vendor")).when(F.col("part") % 6 == 1, F.lit("closed")).when(F.col("part") % 6 == 2, F.lit("resolved")).otherwise(F.lit("approved_with_exception"))
+    requests = ledger(spark, sf_dir).select("exception_id", status.alias("new_status"), F.lit(" Ann").alias("actor"), role.alias("role"), (F.col("total_c") / F.lit(100.0)).alias("amount"), who.alias("participants"))
+    limits = spark.createDataFrame([("clerk", 10000.0, 1), ("manager", 50000.0, 2), ("director", None, 3), ("Clerk ", 99.0, 4)], "role string, max_value double, place int")
+    return V.approval(requests, limits, default_role="Clerk").select("exception_id", "decision", F.lower("role").alias("role"))
 
 
 _PAIRS = f"""WITH {CASES}, p AS (SELECT exception_type AS expected, CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 10 = 0 THEN 'no_exception' WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 17 = 0 THEN 'price_variance' ELSE exception_type END AS predicted, business_unit, workspace_id FROM cases)"""
@@ -151,13 +168,13 @@ def accuracy_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.tally(decisions(spark, sf_dir).select(F.col("workspace_id").alias("layout"), F.col("business_unit").alias("field"), outcome.alias("outcome")))
 
 
-@query(f"""WITH {CASES}, k AS (SELECT exception_id, financial_impact * CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 8 = 0 THEN 1.25::DOUBLE ELSE 1 END AS a, financial_impact AS c, CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 50 = 0 THEN 'fault_injection' ELSE 'live' END AS kind FROM cases),
-d AS (SELECT *, abs(a - c) > 0.01 AS o, CASE WHEN c <> 0 THEN round(abs(a - c) / abs(c) * 100, 4) END AS p, round(a - c, 2) AS diff FROM k)
+@query(f"""WITH {CASES}, k AS (SELECT exception_id, financial_impact * CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 9 = 0 THEN NULL WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 8 = 0 THEN 1.25::DOUBLE ELSE 1 END AS a, financial_impact AS c, CASE WHEN CAST(split_part(exception_id, '-', 2) AS BIGINT) % 50 = 0 THEN 'fault_injection' ELSE 'live' END AS kind FROM cases),
+d AS (SELECT *, coalesce(abs(a - c), 0) > 0.01 AS o, CASE WHEN c <> 0 THEN round(abs(a - c) / abs(c) * 100, 4) END AS p, round(a - c, 2) AS diff FROM k)
 SELECT count(*) FILTER (kind = 'live') AS checks, count(DISTINCT exception_id) FILTER (kind = 'live') AS cases, count(*) FILTER (kind = 'live' AND o) AS overrides, count(*) FILTER (kind = 'live' AND o AND p >= 1) AS significant, max(abs(diff)) FILTER (kind = 'live' AND o) AS largest,
 count(*) FILTER (kind <> 'live') AS injected, round(count(*) FILTER (kind = 'live' AND o) / count(*) FILTER (kind = 'live'), 4) AS override_rate FROM d""")
 def trust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.split_part("exception_id", F.lit("-"), F.lit(2)).cast("long")
-    rows = cases(spark, sf_dir).select("exception_id", (F.col("financial_impact") * F.when(order % 8 == 0, 1.25).otherwise(1.0)).alias("ai_value"), F.col("financial_impact").alias("computed_value"), F.when(order % 50 == 0, F.lit("fault_injection")).otherwise(F.lit("live")).alias("kind"))
+    rows = cases(spark, sf_dir).select("exception_id", (F.col("financial_impact") * F.when(order % 9 == 0, F.lit(None)).when(order % 8 == 0, 1.25).otherwise(1.0)).alias("ai_value"), F.col("financial_impact").alias("computed_value"), F.when(order % 50 == 0, F.lit("fault_injection")).otherwise(F.lit("live")).alias("kind"))
     return E.trust_summary(E.trust_checks(rows)).drop("prevented")
 
 

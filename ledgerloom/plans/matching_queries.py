@@ -80,12 +80,16 @@ def line_overcharge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("purchase_order_id", F.size("l").cast("long").alias("n_lines"), F.size(outside).cast("long").alias("n_outside"), M.line_overcharge(F.col("l")).alias("overcharge"))
 
 
-@query(f"""WITH {LEDGER}, t AS (SELECT l.*, CASE WHEN CAST(vendor_id AS INT) % 10 = 3 THEN 8.0 END AS vp, CASE WHEN business_unit = 'NATION_1' THEN 3.0 END AS cp, CASE WHEN business_unit = 'NATION_1' THEN 4.0 END AS cq FROM ledger l)
-SELECT exception_id, coalesce(vp, cp, 5.0)::DOUBLE AS price_tolerance, coalesce(cq, 2.0)::DOUBLE AS quantity_tolerance, CASE WHEN vp IS NOT NULL THEN 'vendor' WHEN cp IS NOT NULL THEN 'category' ELSE 'default' END AS tolerance_source FROM t""")
+@query(f"""WITH {LEDGER}, t AS (SELECT l.*, CAST(vendor_id AS INT) % 10 = 3 AS v, CASE WHEN CAST(vendor_id AS INT) % 20 = 3 THEN 8.0 END AS vp, business_unit = 'NATION_1' AS c FROM ledger l)
+SELECT exception_id, coalesce(vp, CASE WHEN c THEN 3.0 END, 5.0)::DOUBLE AS price_tolerance, CASE WHEN c THEN 4.0 ELSE 2.0 END::DOUBLE AS quantity_tolerance,
+CASE WHEN v THEN 'vendor rule: No. ' || vendor_id WHEN c THEN 'category rule: NATION_1' ELSE 'workspace default' END AS tolerance_source FROM t""")
 def tolerance_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark, sf_dir).select("exception_id", F.col("vendor_id").alias("vendor_name"), F.col("business_unit").alias("category"))
-    special = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey % 10 = 3").select(F.lit("vendor").alias("scope"), F.col("s_suppkey").cast("string").alias("name"), F.lit(8.0).alias("price"), F.lit(None).cast("double").alias("quantity"))
-    fixed = spark.createDataFrame([("default", None, 5.0, 2.0), ("category", "Nation 1", 3.0, 4.0)], "scope string, name string, price double, quantity double")
+    """Rules of vendors spelled in two ways (the first counts) and of categories, of which one is spelled otherwise and so never met."""
+    rows = ledger(spark, sf_dir).select("exception_id", F.concat(F.lit("no "), "vendor_id").alias("vendor_name"), F.col("business_unit").alias("category"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey % 10 = 3")
+    rule = lambda before, price, place: suppliers.select(F.lit("vendor").alias("scope"), F.concat(F.lit(before), F.col("s_suppkey").cast("string")).alias("name"), price.cast("double").alias("price"), F.lit(None).cast("double").alias("quantity"), F.lit(place).alias("place"))
+    special = rule("No. ", F.when(F.col("s_suppkey") % 20 == 3, 8.0), 1).unionByName(rule("NO-", F.lit(99.0), 2))
+    fixed = spark.createDataFrame([("default", None, 5.0, 2.0, 0), ("category", "NATION_1", 3.0, 4.0, 0), ("category", "nation 2", 1.0, 1.0, 0)], "scope string, name string, price double, quantity double, place int")
     return M.resolved_tolerance(rows, fixed.unionByName(special)).select("exception_id", "price_tolerance", "quantity_tolerance", "tolerance_source")
 
 
