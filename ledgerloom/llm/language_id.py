@@ -248,15 +248,14 @@ def examples_of(text: Column) -> Column:
 def learnt(rows: DataFrame, held_out: int, per_lang: int, max_rows: int, max_langs: int) -> Coder | None:
     """A coder fitted to a bounded sample of ``rows``: ``doc_id, text, lang``."""
     usable = rows.filter((fold(F.col("doc_id")) != held_out) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(LETTER), F.lit(False)))
-    langs = [r[0] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    if not counts:
         return None
-    each, order = max(1, min(per_lang, max_rows // len(langs))), F.xxhash64("doc_id", F.lit(12))
-    # Filters by rank of a window stop at ``each`` rows a language in every task before the shuffle.
-    ranked = usable.filter(F.col("lang").isin(langs)).select("doc_id", "lang", order.alias("h"))
-    shares = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    ranked = ranked.withColumn("rank", F.row_number().over(shares)).filter(F.col("rank") <= each)
-    picked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= each).select("doc_id", "lang").distinct()
+    each, order = max(1, min(per_lang, max_rows // len(counts))), F.xxhash64("doc_id", F.lit(12))
+    # A share of each language by hash that holds about twice the sample, so that ranks are over few rows.
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 30, 2 * each * (1 << 30) // n + 1))])
+    ranked = usable.select("doc_id", "lang", order.alias("h")).filter(F.pmod("h", F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0)))
+    picked = ranked.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= each).select("doc_id", "lang")
     found = usable.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     found = found.select("lang", order.alias("h"), F.col("doc_id").cast("string").alias("id"), examples_of(F.col("text")).alias("examples")).toPandas().sort_values(["h", "id", "lang"], kind="stable")
     examples, names, doc = [], [], []
