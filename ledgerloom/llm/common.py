@@ -49,6 +49,27 @@ def _delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def kept(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a stored table, and what deletes it."""
+    out, path = _written(df)
+    return out, lambda: _delete(df.sparkSession, path)
+
+
+@contextmanager
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job that is done are deleted at once; for jobs whose rows are stored and not asked for again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are stored inside are deleted at the end."""

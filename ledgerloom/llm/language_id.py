@@ -121,7 +121,8 @@ class Coder:
 
 def _logits(rows: tuple[np.ndarray, np.ndarray, np.ndarray], weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
     at, part, starts = rows
-    return np.add.reduceat(weight[at] * part[:, None], starts, axis=0) + bias
+    # A place of the code at a time, so that what is held at once is one number a feature.
+    return np.stack([np.add.reduceat(weight[at, j] * part, starts) for j in range(weight.shape[1])], axis=1) + bias
 
 
 def _packed(examples: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

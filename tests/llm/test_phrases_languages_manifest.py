@@ -60,7 +60,7 @@ def test_collocations_of_sliced_texts(spark, monkeypatch):
     text = "Aa bb, cc  ddddddddddddd e\tf. " * 9
     words = [w for p in re.split(r"[.,]", text.lower()) for w in [*p.split(), "\n"]]
     seq = b.sequence(text)
-    names = b.words()
+    names = [w.decode() for w in b.words()]
     assert [names[i] if i >= 0 else "\n" for i in seq] == words
 
 
