@@ -3,9 +3,9 @@
 The content view reads the text alone: the mean weight of its hashed words,
 their shapes and pairs of shapes, and what its characters and lines are like.  The metadata view never sees the text: it
 knows language, source and the order of magnitude of the stated length.  Each
-view learns from labelled rows.  Then, round after round, both score a share of the
-unlabelled documents in a Spark pass (in all rounds together every one of them,
-once), and what a view is sure of is taught to the other: ``each`` rows of each
+view learns from labelled rows.  Then, round after round, both score all
+unlabelled documents in a Spark pass, those that a bettered view has seen before
+too, and what a view is sure of is taught to the other: ``each`` new rows of each
 class at most, drawn by hash from all that are sure.  Both views are calibrated on labelled rows kept apart; a document's score
 multiplies their odds (each against the classes' own), so a view that knows
 nothing changes nothing.
@@ -33,6 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm.common import stored
 from ledgerloom.llm.toxicity import fold
@@ -47,40 +48,86 @@ LAYOUT = 12
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+class _Kinds(dict):
+    """Code points to the letter of their kind; what is neither letter nor digit stays."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = self[code] = next((mark for run, mark in zip(RUNS, "Xx9", strict=True) if run.fullmatch(c)), c)
+        return out
+
+
+_KIND_OF, _SAME = _Kinds(), re.compile(r"([Xx9])\1+")
+
+
 def shape(token: str) -> str:
-    for run, mark in zip(RUNS, "Xx9", strict=True):
-        token = run.sub(mark, token)
-    return token[:12]
+    """A token's runs of capitals, other letters and digits, and its other characters."""
+    return _SAME.sub(r"\1", token.translate(_KIND_OF))
 
 
-class Tokens:
-    """Texts to places of the content view's features; remembers those of words."""
+class Tokens(dict):
+    """Texts to places of the content view's features; remembers those of words, as rows of ``own`` and ``shapes``."""
 
     def __init__(self) -> None:
+        super().__init__()
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.at = np.empty((1024, 2), np.int64)
+        super().clear()
+        self.own, self.shapes, self.new, self.kinds, self.weights = np.empty(1024, np.int32), np.empty(1024, np.int32), [], {}, None
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        kinds = token.translate(_KIND_OF)
+        place = self.kinds.get(kinds)
+        if place is None:
+            place = self.kinds[kinds] = xxhash.xxh32_intdigest("shape " + _SAME.sub(r"\1", kinds)) >> (32 - BITS)
+        self.new.append((xxhash.xxh32_intdigest(token.lower()) >> (32 - BITS), place))
+        return n
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The words' rows; the table starts afresh where it has grown too large."""
+        if len(self) > TABLE_WORDS:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if self.new:
+            if len(self) > len(self.own):
+                self.own, self.shapes = (np.concatenate([x, np.empty(len(self), np.int32)]) for x in (self.own, self.shapes))
+            at = slice(len(self) - len(self.new), len(self))
+            self.own[at], self.shapes[at] = zip(*self.new, strict=True)
+            self.new = []
+        return rows
 
-    def _add(self, token: str) -> int:
-        i = self.ids[token] = len(self.ids)
-        if i == len(self.at):
-            self.at = np.concatenate([self.at, np.empty_like(self.at)])
-        self.at[i] = (xxhash.xxh32_intdigest(token.lower()) >> (32 - BITS), xxhash.xxh32_intdigest("shape " + shape(token)) >> (32 - BITS))
-        return i
+    @staticmethod
+    def pairs(shapes: np.ndarray) -> np.ndarray:
+        return (shapes[:-1] * 31 + shapes[1:] * 17 + 7) & ((1 << BITS) - 1)
 
     def places(self, words: list[str]) -> np.ndarray:
         """Places of the features, repeats included."""
         if not words:
             return np.zeros(1, np.int64)
-        if len(self.ids) > TABLE_WORDS:
-            self.clear()
-        get, add = self.ids.get, self._add
-        rows = np.fromiter((add(w) if (i := get(w)) is None else i for w in words), np.int64, len(words))
-        at = self.at[rows]
-        pairs = (at[:-1, 1] * 31 + at[1:, 1] * 17 + 7) & ((1 << BITS) - 1)
-        return np.concatenate([at.ravel(), pairs])
+        rows = self.rows(words)
+        shapes = self.shapes[rows]
+        return np.concatenate([self.own[rows], shapes, self.pairs(shapes)]).astype(np.int64)
+
+    def mean(self, words: list[str], w: np.ndarray) -> float:
+        """Mean of weights over the features, without listing them: a word's own and its shape's are added up once a word."""
+        if not words:
+            return float(w[0])
+        rows = self.rows(words)
+        if self.weights is None or self.weights[0] is not w:
+            self.weights = w, np.empty(0)
+        have = self.weights[1]
+        if len(have) < len(self):
+            more = slice(len(have), max(len(self), 2 * len(have)))
+            have = np.concatenate([have, np.zeros(more.stop - more.start)])
+            self.weights = w, have
+            self.known = more.start
+        if self.known < len(self):
+            new = slice(self.known, len(self))
+            have[new] = w[self.own[new]] + w[self.shapes[new]]
+            self.known = len(self)
+        return float(have[rows].sum() + w[self.pairs(self.shapes[rows])].sum()) / (3 * len(words) - 1)
 
 
 _KINDS = np.zeros((256, 9))  # of bytes: line feeds, capitals, digits, marks, bars, calls, signs, spaces, all
@@ -227,6 +274,11 @@ def _collected(rows: DataFrame, picked: DataFrame) -> pd.DataFrame:
     return out.sort_values("h", kind="stable")
 
 
+def _ids(rows: DataFrame, ids: list) -> DataFrame:
+    """Ids as a table, in their own type."""
+    return rows.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType)]))
+
+
 def _counts(d: pd.DataFrame) -> list[Counts]:
     return [(np.asarray(f["places"], np.int64), np.asarray(f["counts"], np.float64), np.asarray(f["layout"], np.float64)) for f in d["f"]]
 
@@ -254,7 +306,7 @@ def _scorer(docs: DataFrame, views: tuple[Content, Metadata]) -> object:
             made = []
             for t in texts:
                 words = t.split() if t else []
-                made.append(float(w[tokens.places(words)].mean()) + float(v @ layout(t, words)))
+                made.append(tokens.mean(words, w) + float(v @ layout(t, words)))
             yield pd.DataFrame({"content": np.array(made) + b, "meta": other.logits(rows)})
 
     return logits
@@ -277,22 +329,19 @@ def quality_scores(
     contents, metadata = Taught(some(counts, ~apart), y[~apart]), Taught(some(metas, ~apart), y[~apart])
     views = contents.fitted(Content()), metadata.fitted(Metadata())
     free = rows.filter("doc_id is not null").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti")
-    given: set = set()
-    for k in range(rounds if len(learnt) else 0):
-        share = free.filter(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(rounds)) == k)
-        scored = stored(share.select("doc_id", "lang", "source", "length", _scorer(docs, views)("text", "lang", "source", "length").alias("z")).select("*", "z.*", order.alias("h")).drop("z"))
+    given: dict[str, list] = {"content": [], "meta": []}
+    for _ in range(rounds if len(learnt) else 0):
+        scored = stored(free.select("doc_id", "lang", "source", "length", _scorer(docs, views)("text", "lang", "source", "length").alias("z")).select("*", "z.*", order.alias("h")).drop("z"))
         limit = float(np.log(sure / (1 - sure)))
         for label, sign in ((1, 1.0), (0, -1.0)):
-            # Bounded draws from all rows that a view is sure of; ids that were taught before are not taught again.
-            told = scored.filter(sign * F.col("content") >= limit).orderBy("h", "doc_id").limit(each).select("doc_id", "lang", "source", "length").toPandas()
-            new = ~told["doc_id"].map(lambda i: ("meta", i) in given).to_numpy(bool)
-            metadata.add(some(_metas(told), new), label)
-            given |= {("meta", i) for i in told["doc_id"]}
-            ids = scored.filter(sign * F.col("meta") >= limit).orderBy("h", "doc_id").limit(each).select("doc_id").distinct()
-            told = _collected(rows, ids)
-            new = ~told["doc_id"].map(lambda i: ("content", i) in given).to_numpy(bool)
-            contents.add(some(_counts(told), new), label)
-            given |= {("content", i) for i in told["doc_id"]}
+            # Bounded draws from all rows that a view is sure of; what was taught before (at most as many a round) isn't taught again.
+            sure_of = lambda view: scored.filter(sign * F.col(view) >= limit).join(F.broadcast(_ids(rows, given[view])), "doc_id", "left_anti").orderBy("h", "doc_id").limit(each)  # noqa: B023, E731
+            told = sure_of("content").select("doc_id", "lang", "source", "length").toPandas()
+            metadata.add(_metas(told), label)
+            given["content"] += told["doc_id"].drop_duplicates().tolist()
+            told = _collected(rows, sure_of("meta").select("doc_id").distinct())
+            contents.add(_counts(told), label)
+            given["meta"] += told["doc_id"].tolist()
         views = contents.fitted(Content()), metadata.fitted(Metadata())
     content, meta = views
     fits = (_platt(content.logits(some(counts, apart)), y[apart]), _platt(meta.logits(some(metas, apart)), y[apart])) if apart.any() else ((1.0, 0.0), (1.0, 0.0))
