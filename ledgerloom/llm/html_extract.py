@@ -16,8 +16,9 @@ with its tag.
 
 Null, empty and textless pages give the empty text.  Rows are treated one by
 one, so repeated rows and ties agree, and an empty table gives no rows.  Pages
-are read whole however long, and no block is cut; of a block's path, the 64
-innermost steps are looked at.  Columns other than id, url and html, whatever
+are read whole however long, and no block is cut.  A block's path is looked at to
+the root however deep: its 64 innermost steps one by one, those above as the set of
+their hashes that is handed down.  Columns other than id, url and html, whatever
 their names, don't reach the result.
 """
 
@@ -55,9 +56,26 @@ SPACE = re.compile(r"\s+")
 
 PATH, WORDS, EXTRA, HIDDEN, TABLE = 512, 16, 8, 24, 4096
 SIZE = PATH + WORDS + EXTRA
-STEPS, NAMES = 64, 12
+#: Steps of a path that are kept as such; those above are a set of places, a number of PATH bits that stands first.
+STEPS = 64
 
-Block = tuple[str, tuple[str, ...], float]
+Path = tuple[int | str, ...]
+Block = tuple[str, Path, float]
+
+
+def _hash(text: str, n: int, seed: int = 0) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"), seed) % n
+
+
+def stepped(path: Path, steps: list[str]) -> Path:
+    """A path with more steps at its end; what is no longer among the innermost goes into the set."""
+    whole = (*path, *steps)
+    if len(whole) <= STEPS:
+        return whole
+    places = 0
+    for step in whole[:-STEPS]:
+        places |= step if isinstance(step, int) else 1 << _hash(step, PATH, 0) | 1 << _hash(step, PATH, 1)
+    return (places, *whole[-STEPS:])
 
 
 def _tag_end(page: str, at: int, last: dict[str, int], names: list[str] | None) -> int:
@@ -94,7 +112,7 @@ def _tag_end(page: str, at: int, last: dict[str, int], names: list[str] | None)
 def blocks(page: str) -> list[Block]:
     """Text, path steps and share of linked characters of each block that has text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]  # element, steps down to it, whether its text is no text
+    stack: list[tuple[str, Path, bool]] = [("", (), False)]  # element, steps down to it, whether its text is no text
     still_open: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link = 0, False
@@ -162,7 +180,7 @@ def blocks(page: str) -> list[Block]:
                 at = at if at >= 0 else size
             if tag == "title" and not stack[-1][2]:
                 close()
-                stack.append((tag, (*stack[-1][1], "<title"), False))
+                stack.append((tag, stepped(stack[-1][1], ["<title"]), False))
                 say(inner)
                 close()
                 stack.pop()
@@ -188,32 +206,30 @@ def blocks(page: str) -> list[Block]:
             pop()
         if stack[-1][0] == tag and tag in CLOSED_BY_NEXT:
             pop()
-        steps = (*stack[-1][1], f"<{tag}", *names[:NAMES])
-        stack.append((tag, steps[-STEPS:], stack[-1][2] or tag in UNSEEN))
+        stack.append((tag, stepped(stack[-1][1], [f"<{tag}", *names]), stack[-1][2] or tag in UNSEEN))
         still_open[tag] += 1
     close()
     return out
 
 
-def _hash(text: str, n: int, seed: int = 0) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"), seed) % n
-
-
 class Vectors:
     """Blocks to vectors; remembers the hashes of words and the vectors of paths."""
 
     def __init__(self, table: np.ndarray | None = None) -> None:
         self.table = table
         self.words: dict[str, int] = {}
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.paths: dict[Path, np.ndarray] = {}
 
-    def path(self, steps: tuple[str, ...]) -> np.ndarray:
+    def path(self, steps: Path) -> np.ndarray:
         """Hashed steps; the three innermost weigh more."""
         row = self.paths.get(steps)
         if row is None:
             if len(self.paths) > 20_000:
                 self.paths.clear()
             row = self.paths[steps] = np.zeros(PATH, np.float32)
+            if steps and isinstance(steps[0], int):
+                row[np.unpackbits(np.frombuffer(steps[0].to_bytes(PATH // 8, "little"), np.uint8), bitorder="little") == 1] = 0.7
+                steps = steps[1:]
             for depth, step in enumerate(reversed(steps)):
                 for seed in (0, 1):
                     k = _hash(step, PATH, seed)

@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import html_extract
@@ -71,8 +72,29 @@ def test_tags_are_read_as_html_reads_them():
     assert html_extract.blocks("<ul><li>a<li>b</ul><p>c<p>d")[3][1] == ("<p",)
 
 
+@pytest.mark.parametrize("deep", [0, 60, 64, 70, 200, 1500])
+@pytest.mark.parametrize("classes", ["", "c " * 40 + "row"])
+def test_deep_articles_come_out_whole(labeller, deep, classes):
+    """Elements around an article's paragraphs, however many and however named, take nothing from it; nor from what is no article."""
+    words = "Many words of a paragraph that tells something, in sentences. And it goes on."
+    inside = f'<div class="{classes}">' * deep + f"<p>{words}</p><p>Second: {words}</p>" + "</div>" * deep
+    foot = '<footer class="footer">' + "<div>" * deep + "<p>© 2024 Some site. All rights reserved.</p>" + "</div>" * deep + "</footer>"
+    nav = "<nav>" + "<div>" * deep + "<ul><li><a>Home</a></li><li><a>News</a></li></ul>" + "</div>" * deep + "</nav>"
+    page = f"<html><body>{nav}<article><h1>A headline</h1>{inside}</article>{foot}</body></html>"
+    assert html_extract.main_texts([page], *labeller) == [f"A headline\n\n{words}\n\nSecond: {words}"]
+
+
+def test_paths_lose_no_step():
+    page = "<main>" + "".join(f'<div class="n{chr(97 + k % 26)}{chr(97 + k // 26)}">' for k in range(300)) + "<p>x"
+    path = html_extract.blocks(page)[0][1]
+    row = html_extract.Vectors().path(path)
+    steps = ["<main", "<div", "<p", *[f"n{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]]
+    assert len(path) == html_extract.STEPS + 1
+    assert {int(k) for k in np.flatnonzero(row)} == {html_extract._hash(s, html_extract.PATH, seed) for s in steps for seed in (0, 1)}
+
+
 def test_broken_pages_take_time_in_proportion():
-    for unit in ("<a ", "<p ", '<a href="', "<", "</", "<!--", "<script>", "<p x='", '<i a=">', "&", "<td><li>", "</div>"):
+    for unit in ("<a ", "<p ", '<a href="', "<", "</", "<!--", "<script>", "<p x='", '<i a=">', "&", "<td><li>", "</div>", "<div class='a b c d'>"):
         began = time.perf_counter()
         html_extract.blocks(unit * (1_000_000 // len(unit)))
         assert time.perf_counter() - began < 8, unit  # seconds of a busy machine; the square would take minutes
