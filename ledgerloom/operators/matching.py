@@ -134,7 +134,8 @@ def verdict(signals: Column) -> Column:
     return F.when(has("hard"), F.lit("contradicted")).when(has("soft"), F.lit("unverified")).otherwise(F.lit("consistent"))
 
 
-def _comparisons() -> Column:
+def _compared() -> dict[str, Column]:
+    """The comparisons of a case with an order, by field and in order; null where one cannot be made."""
     tol, c = F.col("price_tolerance"), F.col
     basis = V.tax_basis(c("invoice_total"), c("invoice_subtotal"), c("tax_amount"), c("invoice_line_items"))
     po_basis = V.tax_basis(c("po_total"), c("po_subtotal"), c("po_tax_amount"), c("po_line_items"))
@@ -146,20 +147,29 @@ def _comparisons() -> Column:
     both = lambda a, b: c(a).isNotNull() & c(b).isNotNull()
     vendor, number = V.compare_exact("vendor", c("vendor_name"), c("po_vendor_name")), V.compare_exact("po_number", c("invoice_po_number"), c("po_number"))
     received = F.when(c("goods_receipt_exists"), c("received_quantity"))
-    full = F.array(
-        vendor, number, V.compare("unit_price", c("invoice_unit_price"), c("po_unit_price"), tol), V.compare("quantity", c("billable"), received, c("quantity_tolerance")),
-        _line_rollup(c("line_comparisons"), tol), F.when(both("invoice_subtotal", "po_subtotal"), V.compare("subtotal", c("invoice_subtotal"), c("po_subtotal"), tol)),
-        V.self_arithmetic(c("invoice_subtotal"), c("tax_amount"), c("invoice_total"), tol), V.quoted_price(c("quotation_total"), F.coalesce(F.when(c("po_subtotal") != 0, c("po_subtotal")), c("po_total")), tol),
-        F.when(c("order_value") != 0, billed), F.when(both("tax_amount", "po_tax_amount"), V.compare("tax", c("tax_amount"), c("po_tax_amount"), tol)),
-        F.when(both("invoice_total", "po_total"), F.when(comparable, V.compare("total", c("invoice_total"), c("po_total"), tol)).otherwise(unable)),
-    )
-    return F.when(c("purchase_order_exists"), F.array_compact(full)).otherwise(F.array(vendor, number, V.missing("unit_price"), V.missing("quantity")))
+    return {
+        "vendor": vendor, "po_number": number, "unit_price": V.compare("unit_price", c("invoice_unit_price"), c("po_unit_price"), tol), "quantity": V.compare("quantity", c("billable"), received, c("quantity_tolerance")),
+        "line_items": _line_rollup(c("line_comparisons"), tol), "subtotal": F.when(both("invoice_subtotal", "po_subtotal"), V.compare("subtotal", c("invoice_subtotal"), c("po_subtotal"), tol)),
+        "tax_arithmetic": V.self_arithmetic(c("invoice_subtotal"), c("tax_amount"), c("invoice_total"), tol), "quoted_price": V.quoted_price(c("quotation_total"), F.coalesce(F.when(c("po_subtotal") != 0, c("po_subtotal")), c("po_total")), tol),
+        "po_billed_total": F.when(c("order_value") != 0, billed), "tax": F.when(both("tax_amount", "po_tax_amount"), V.compare("tax", c("tax_amount"), c("po_tax_amount"), tol)),
+        "total": F.when(both("invoice_total", "po_total"), F.when(comparable, V.compare("total", c("invoice_total"), c("po_total"), tol)).otherwise(unable)),
+    }
+
+
+def _place(field: str) -> str:
+    """The column that holds a comparison until all are put together."""
+    return f"{field}_compared_"
+
+
+def _comparisons(fields: list[str]) -> Column:
+    known = lambda f: F.col(_place(f))
+    return F.when(F.col("purchase_order_exists"), F.array_compact(F.array(*map(known, fields)))).otherwise(F.array(known("vendor"), known("po_number"), V.missing("unit_price"), V.missing("quantity")))
 
 
 def _findings() -> Column:
     """The first finding that holds: its type, impact, risk, owner and whether it needs other cases."""
     c = F.col
-    of = lambda f: F.get(F.filter("comparisons", lambda x: x["field"] == f), F.lit(0))
+    of = lambda f: F.col(_place(f))
     outside = lambda f: F.coalesce(of(f)["evaluable"] & (of(f)["classification"] == "outside_tolerance"), F.lit(False))
     made = lambda kind, impact, risk, owner, cross=False: F.struct(F.lit(kind).alias("exception_type"), F.round(impact.cast("decimal(28,6)"), 2).cast("double").alias("financial_impact"), risk.alias("risk_level"), F.lit(owner).alias("recommended_owner"), F.lit(cross).alias("cross_case"))
     amount, high, medium, low = F.coalesce(c("invoice_amount"), F.lit(0.0)), F.lit("high"), F.lit("medium"), F.lit("low")
@@ -196,8 +206,10 @@ def evaluate(inputs: DataFrame) -> DataFrame:
     """The input with comparisons, score, coherence verdict and finding."""
     out = completed(inputs).withColumn("billable", billable_quantity(F.col("invoice_quantity"), F.col("invoice_line_items")))
     out = out.withColumn("line_comparisons", compared_lines(F.col("po_line_items"), F.col("invoice_line_items"), F.col("price_tolerance")))
-    out = out.withColumns({"comparisons": _comparisons(), "signals": coherence_signals()})
-    out = out.withColumns({"finding": _findings(), "verdict": verdict(F.col("signals")), "match_score": V.match_score(F.col("comparisons"))})
+    fields = _compared()
+    out = out.withColumns({_place(f): x for f, x in fields.items()})
+    out = out.withColumns({"comparisons": _comparisons(list(fields)), "signals": coherence_signals()})
+    out = out.withColumns({"finding": _findings(), "verdict": verdict(F.col("signals")), "match_score": V.match_score(F.col("comparisons"))}).drop(*map(_place, fields))
     contradicted = F.col("verdict") == "contradicted"
     replaced = contradicted & ~F.col("finding.exception_type").isin(*SURVIVES_INCOHERENCE)
 
