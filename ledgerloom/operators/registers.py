@@ -121,8 +121,8 @@ def search(rows: DataFrame, needle: str, fields: list[str], n: int = 20, bonus:
 
 
 def register_sort(rows: DataFrame, key: str, descending: bool = False, tie: str = "exception_id") -> DataFrame:
-    """Nulls come last in either direction."""
-    c = F.col(key)
+    """Nulls come last in either direction; numbers by size, text by the root locale's order (case and accents last), not by bytes."""
+    c = F.collate(F.col(key), "UNICODE") if dict(rows.dtypes)[key].startswith("string") else F.col(key)
     return rows.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), tie)
 
 

@@ -17,6 +17,7 @@ from ledgerloom.plans.history_queries import _INV, NEAR, billed, invoices
 from ledgerloom.plans.ledger import CASES, LEDGER, cases, ledger
 from ledgerloom.plans.matching_queries import _IN, inputs
 from ledgerloom.plans.registry import query
+from ledgerloom.sources import store
 
 _N = "(part % 4)"
 _LINES_SQL = f"""WITH {LEDGER}, l AS (SELECT *, part % 4 AS n, CASE WHEN part % 5 = 0 THEN 1 ELSE 2 END AS known FROM ledger)"""
@@ -321,9 +322,9 @@ def case_orchestration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings without some late documents, brought up to date when these come: as if all had been there."""
     rules = spark.createDataFrame([("default", None, 5.0, 2.0)], "scope string, name string, price double, quantity double")
-    every = case_documents(spark, sf_dir)
+    every = store.written(case_documents(spark, sf_dir))
     late = every.filter(F.pmod(F.xxhash64("document_id"), F.lit(100)) == 0)
-    first = O.matched(every.join(late, "document_id", "left_anti"), rules).select("exception_id", "exception_type")
+    first = store.written(O.matched(every.join(late, "document_id", "left_anti"), rules).select("exception_id", "exception_type"))
     return O.reanalysed(first, every, late, rules)
 
 

@@ -34,6 +34,13 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{work_folder(spark)}/ledgerloom-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the work folder and read back: worked out once, whatever is asked of them, and a short plan after."""
+    path = fresh_path(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def once(spark: SparkSession, name: str, write) -> str:
     """Path of a table that ``write(path)`` makes the first time that this application asks for ``name``."""
     key = (spark.sparkContext.applicationId, name)

@@ -137,3 +137,15 @@ def test_stores_keep_columns_of_any_name(spark):
     assert {tuple(r)[:2] + tuple(r)[3:] for r in store.upsert(rows, new).collect()} == {("a", "z", 5, 6), ("b", "y", 3, 4)}
     merged = store.merge_fields(rows.withColumn("_status", F.lit(9)), new.select("exception_id", "status"), ["status"])
     assert {(r.exception_id, r.status, r["_status"]) for r in merged.collect()} == {("a", "z", 9), ("b", "y", 9)}
+
+
+def test_registers_sort_as_people_read(spark):
+    from ledgerloom.operators import registers
+
+    names = ["Zed", "apple", "Äpfel", "Apple", "zebra", "éclair", "Eclair", "eclair", "_x", "10", "9", None]
+    rows = spark.createDataFrame([(f"e{i}", n, None if n is None else float(i)) for i, n in enumerate(names)], "exception_id string, name string, amount double")
+    order = ["_x", "10", "9", "Äpfel", "apple", "Apple", "eclair", "Eclair", "éclair", "zebra", "Zed"]
+    assert [r.name for r in registers.register_sort(rows, "name").collect()] == [*order, None]
+    assert [r.name for r in registers.register_sort(rows, "name", descending=True).collect()] == [*order[::-1], None]
+    assert [r.amount for r in registers.register_sort(rows, "amount", descending=True).collect()] == [float(i) for i in range(10, -1, -1)] + [None]
+    assert [r.place for r in registers.placed(registers.register_sort(rows, "name")).orderBy("place").collect()] == list(range(1, 13))
