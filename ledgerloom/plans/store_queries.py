@@ -34,32 +34,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def seed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A seed file of the nations as cases, every other one with two documents, read back."""
-    document = lambda k: F.struct(F.concat(F.lit(f"D{k}-"), "n_nationkey").alias("document_id"), F.lit("vendor_invoice").alias("document_type"))
-    held = F.when(F.col("n_nationkey") % 2 == 1, F.array(document(1), document(2))).otherwise(F.array(document(1)).cast("array<struct<document_id:string,document_type:string>>"))
-    case = F.struct(F.concat(F.lit("SEED-"), "n_nationkey").alias("exception_id"), F.col("n_name").alias("vendor_name"), held.alias("documents"))
+    """A seed of the customers as cases, a line each, every other one with two documents, read back."""
+    document = lambda k: F.struct(F.concat(F.lit(f"D{k}-"), "c_custkey").alias("document_id"), F.lit("vendor_invoice").alias("document_type"))
+    held = F.when(F.col("c_custkey") % 2 == 1, F.array(document(1), document(2))).otherwise(F.array(document(1)).cast("array<struct<document_id:string,document_type:string>>"))
     path = store.fresh_path(spark)
-    _table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.collect_list(case).alias("cases"))).alias("value")).write.text(path)  # 25 nations
+    store.write_json(_table(spark, sf_dir, "customer").select(F.concat(F.lit("SEED-"), "c_custkey").alias("exception_id"), F.concat(F.lit("Customer "), "c_custkey").alias("vendor_name"), held.alias("documents")), path)
     return store.read_seed(spark, path)
 
 
-@query("SELECT 'SEED-' || n_nationkey AS exception_id, n_name AS vendor_name FROM nation UNION ALL SELECT 'SEED-' || s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT n_nationkey FROM nation)")
+@query("SELECT 'SEED-' || c_custkey AS exception_id, 'Customer ' || c_custkey AS vendor_name FROM customer UNION ALL SELECT 'SEED-' || -s_suppkey, s_name FROM supplier WHERE s_suppkey % 2 = 1")
 def seed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.fresh_path(spark)
-    store.write_json(_table(spark, sf_dir, "supplier").select(F.concat(F.lit("SEED-"), "s_suppkey").alias("exception_id"), F.col("s_name").alias("vendor_name")), path)
+    store.write_json(_table(spark, sf_dir, "supplier").select(F.concat(F.lit("SEED-"), F.when(F.col("s_suppkey") % 2 == 1, -F.col("s_suppkey")).otherwise(F.col("s_suppkey"))).alias("exception_id"), F.col("s_name").alias("vendor_name")), path)
     return store.merge_if_absent(seed(spark, sf_dir)[0].select("exception_id", "vendor_name"), spark.read.json(path))
 
 
-@query("SELECT 'SEED-' || n_nationkey AS exception_id, 'D' || k || '-' || n_nationkey AS document_id, 'vendor_invoice' AS document_type FROM nation, (VALUES (1), (2)) v(k) WHERE k = 1 OR n_nationkey % 2 = 1")
+@query("SELECT 'SEED-' || c_custkey AS exception_id, 'D' || k || '-' || c_custkey AS document_id, 'vendor_invoice' AS document_type FROM customer, (VALUES (1), (2)) v(k) WHERE k = 1 OR c_custkey % 2 = 1")
 def seed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed(spark, sf_dir)[1]
 
 
-@query("SELECT 'SEED-' || n_nationkey AS exception_id, n_name AS vendor_name FROM nation")
+@query("SELECT 'SEED-' || c_custkey AS exception_id, c_mktsegment AS vendor_name FROM customer")
 def cases_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.fresh_path(spark)
-    case = F.struct(F.concat(F.lit("SEED-"), "n_nationkey").alias("exception_id"), F.col("n_name").alias("vendor_name"))
-    _table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(case)).alias("value")).write.text(path)  # 25 nations
+    store.write_json(_table(spark, sf_dir, "customer").select(F.concat(F.lit("SEED-"), "c_custkey").alias("exception_id"), F.col("c_mktsegment").alias("vendor_name")), path)
     return store.read_cases_json(spark, path)
 
 
@@ -78,8 +76,8 @@ _WANTED = tuple(f"EXC-{order}-{line}-1" for order in (0, 1) for line in range(1,
 @query(f"WITH {CASES} SELECT exception_id, workspace_id, status FROM cases WHERE exception_id IN {_WANTED}")
 def case_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases by key, asked for in every workspace: each is there in its own alone."""
-    rows = cases(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [store.one_case(rows, i, w).select("exception_id", "workspace_id", "status") for i in _WANTED for w in REGIONS])
+    wanted = spark.createDataFrame([(i, w) for i in _WANTED for w in REGIONS], "exception_id string, workspace_id string")
+    return store.some_cases(cases(spark, sf_dir), wanted).select("exception_id", "workspace_id", "status")
 
 
 @query(f"WITH {CASES} SELECT exception_id FROM cases WHERE {_ORDER} % 5 = 0")
@@ -91,8 +89,8 @@ def default_workspace_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_DOCS} SELECT exception_id, document_id, t AS document_type FROM docs WHERE exception_id IN {_WANTED}")
 def documents_of_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [store.documents_of(rows, i).select("exception_id", "document_id", "document_type") for i in _WANTED])
+    wanted = spark.createDataFrame([(i,) for i in _WANTED], "exception_id string")
+    return store.documents_of_some(documents(spark, sf_dir), wanted).select("exception_id", "document_id", "document_type")
 
 
 @query(f"{_DOCS} SELECT d.exception_id, d.document_id FROM docs d JOIN ledger l ON l.exception_id = d.exception_id WHERE d.t = 'purchase_order' AND d.st = 'completed' AND l.workspace_id = 'EUROPE' AND d.exception_id <> '{_WANTED[0]}'")

@@ -51,9 +51,15 @@ def once(spark: SparkSession, name: str, write) -> str:
     return _STORED[key]
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """JSON records: one a line, which many tasks share, or a single value (a list, or an object that holds one), which is one task's a file."""
+    lines = spark.read.json(path)
+    return lines if KEY in lines.columns else spark.read.json(path, multiLine=True)
+
+
 def read_seed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A seed file of cases with nested documents: cases, and documents with their case's id."""
-    raw = spark.read.json(path, multiLine=True)
+    """Seed cases with nested documents, a line each or as a list: cases, and documents with their case's id."""
+    raw = _records(spark, path)
     cases = raw.select(F.explode("cases").alias("c")).select("c.*") if "cases" in raw.columns else raw
     if "documents" not in cases.columns:
         return cases, spark.createDataFrame([], DOCUMENT)
@@ -62,8 +68,8 @@ def read_seed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_cases_json(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of a JSON file that is a list or ``{"cases": […]}``; anything else is an error."""
-    raw = spark.read.json(path, multiLine=True)
+    """Cases a line each, or of a JSON file that is a list or ``{"cases": […]}``; anything else is an error."""
+    raw = _records(spark, path)
     rows = raw.select(F.explode("cases").alias("c")).select("c.*") if raw.columns == ["cases"] else raw
     if KEY not in rows.columns:
         raise ValueError(f"{path} holds no list of cases")
@@ -166,6 +172,15 @@ def documents_of(documents: DataFrame, exception_id: str) -> DataFrame:
     return documents.filter(F.col(KEY) == exception_id)
 
 
+def some_cases(cases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Cases of many keys at once: those whose id and workspace both stand in ``wanted``."""
+    return cases.join(wanted.select(KEY, "workspace_id"), [KEY, "workspace_id"], "left_semi")
+
+
+def documents_of_some(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    return documents.join(wanted.select(KEY), KEY, "left_semi")
+
+
 def public_view(cases: DataFrame) -> DataFrame:
     return cases.drop("matching_input")
 
