@@ -12,7 +12,7 @@ The corpus is kept in blocks of about ``BLOCK`` words of one language, in which
 and pairs have small numbers of their own.  A block reports each of its distinct
 pairs once with its count.  Reports of a pair meet in one shuffle by the pair,
 where they are summed and, if the pair is frequent, get its id; only those go
-back to the blocks.  So what is shuffled are vocabularies of blocks, a very common
+back to the blocks, which are stored in buckets and needn't move.  So what is shuffled are vocabularies of blocks, a very common
 pair is one row a block, and nothing is broadcast but where Spark sees that it is
 small.  Tables and shuffle files of a level are deleted when the next one is
 written.  A text that is longer than a block goes on in further ones, each with the
@@ -27,7 +27,8 @@ columns that are not named don't enter.  Counts may reach 10^15 each.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ TASK_BITS = 19
 SLICE = 4_000_000
 #: How finely rows of a language are dealt before its best are picked.
 SALT = 64
+#: Parts of all words or pairs that are summed one after the other.
+PARTS = 4
 #: Rows of a batch that a task hands on.
 BATCH = 50_000
 
@@ -107,18 +110,18 @@ def by_count(seq: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _flat(schema: pa.Schema, block: int, seq: np.ndarray, owned: int, columns: list) -> Iterator[pa.RecordBatch]:
     """A block as rows: one with its sequence, then one for each of its words or pairs with id, and count last."""
-    start = block << NUMBER_BITS
-    none = [pa.nulls(1, f.type) for f in list(schema)[1:-2]]
-    yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), *none, pa.array([packed(seq)], pa.binary()), pa.array([owned], pa.int64())], schema=schema)
+    start, kinds = block << NUMBER_BITS, list(schema)[2:-2]
+    none = [pa.nulls(1, f.type) for f in kinds]
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([start], pa.int64()), *none, pa.array([packed(seq)], pa.binary()), pa.array([owned], pa.int64())], schema=schema)
     for at in range(0, len(columns[0]), BATCH):
         part = [c[at : at + BATCH] for c in columns]
         n = len(part[0])
-        arrays = [pa.array(c, f.type) for c, f in zip(part, list(schema)[1:-2], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(start + at, start + at + n), pa.int64()), *arrays, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
+        arrays = [pa.array(c, f.type) for c, f in zip(part, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(start + at, start + at + n), pa.int64()), *arrays, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
 
 
-_WORDS = pa.schema([("at", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("count", pa.int64()), ("seq", pa.binary()), ("owned", pa.int64())])
-_PAIRS = pa.schema([("at", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("count", pa.int64()), ("seq", pa.binary()), ("owned", pa.int64())])
+_WORDS = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("count", pa.int64()), ("seq", pa.binary()), ("owned", pa.int64())])
+_PAIRS = pa.schema([("block", pa.int64()), ("at", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("count", pa.int64()), ("seq", pa.binary()), ("owned", pa.int64())])
 
 
 def _blocks_of(longest: int, block: int):  # noqa: ANN202
@@ -189,18 +192,31 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def _frequent(read: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Words or pairs of blocks whose counts over all blocks reach ``least``: with the sum ``a`` and the ``id``, the first place that has it."""
+def _frequent(read: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Words or pairs of blocks whose counts over all blocks reach ``least``: with the sum ``a`` and the ``id``, the first place that has it; and what deletes them.
+
+    They are summed a part of all keys at a time, so that no shuffle holds all reports.
+    """
     all_blocks = Window.partitionBy(*keys)
     told = read.filter("seq is null").select("at", *keys, "count")
-    return told.select("at", *keys, F.sum("count").over(all_blocks).alias("a"), F.min("at").over(all_blocks).alias("id")).filter(F.col("a") >= least)
+    made = []
+    for part in range(PARTS):
+        some = told.filter(F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(PARTS)) == part)
+        summed = some.select("at", *keys, F.sum("count").over(all_blocks).alias("a"), F.min("at").over(all_blocks).alias("id"))
+        made.append(kept(summed.filter(F.col("a") >= least)))
+
+    def delete() -> None:
+        for _, done in made:
+            done()
+
+    return reduce(DataFrame.unionByName, [df for df, _ in made]), delete
 
 
 def _with_ids(read: DataFrame, named: DataFrame) -> DataFrame:
     """Blocks with their numbers that have an id; blocks without any are gone."""
     block, number = F.shiftright("at", NUMBER_BITS).alias("block"), F.col("at").bitwiseAND((1 << NUMBER_BITS) - 1).alias("number")
     lists = named.select(block, number, "id").groupBy("block").agg(F.collect_list(F.struct("number", "id")).alias("have"))
-    return read.filter("seq is not null").select(block, "owned", "seq").join(lists, "block")
+    return read.filter("seq is not null").select("block", "owned", "seq").join(lists, "block")
 
 
 def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 5, least: int = 100, block: int = BLOCK) -> DataFrame:
@@ -210,17 +226,17 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     1, 2, ... words) and ``inside`` (level and id of the shorter phrases in it).
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    read, done = kept(rows.mapInArrow(_blocks_of(longest, block), _ddl(_WORDS)))
+    read, done = kept(rows.mapInArrow(_blocks_of(longest, block), _ddl(_WORDS)), by="block")
     sizes = stored(read.filter("seq is null").groupBy("lang").agg(F.sum("count").alias("n")))
-    named, named_done = kept(_frequent(read, ["lang", "word"], least))
+    named, named_done = _frequent(read, ["lang", "word"], least)
     before = stored(named.filter("at = id").select("id", "lang", F.array("word").alias("words"), "a", *[F.array().cast(t).alias(c) for c, t in (("heads", "array<long>"), ("tails", "array<long>"), ("inside", "array<struct<level:int,id:long>>"))]))
     found = None
     for level in range(2, longest + 1):
-        pairs, pairs_done = kept(_with_ids(read, named).mapInArrow(_paired, _ddl(_PAIRS)))
+        pairs, pairs_done = kept(_with_ids(read, named).mapInArrow(_paired, _ddl(_PAIRS)), by="block")
         done()
         named_done()
         read, done = pairs, pairs_done
-        named, named_done = kept(_frequent(read, ["left", "right"], least))
+        named, named_done = _frequent(read, ["left", "right"], least)
         part = lambda side: before.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in before.columns if c != "id"])  # noqa: B023, E731
         both = named.filter("at = id").select("left", "right", "a", "id").join(part("left"), "left").join(part("right"), "right")
         parents = F.array(*[F.struct(F.lit(level - 1).alias("level"), F.col(side).alias("id")) for side in ("left", "right")]) if level > 2 else F.array().cast("array<struct<level:int,id:long>>")

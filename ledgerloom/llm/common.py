@@ -49,10 +49,26 @@ def _delete(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def kept(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-    """``df`` as a stored table, and what deletes it."""
-    out, path = _written(df)
-    return out, lambda: _delete(df.sparkSession, path)
+def kept(df: DataFrame, by: str | None = None) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` as a stored table, and what deletes it.
+
+    With ``by`` it is bucketed by that column into as many buckets as shuffles have
+    partitions, so that a join on the column moves the other side alone, and written
+    for size.
+    """
+    spark = df.sparkSession
+    if by is None:
+        out, path = _written(df)
+        return out, lambda: _delete(spark, path)
+    name = f"ledgerloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).option("compression", "zstd").option("parquet.writer.version", "v2").saveAsTable(name)
+
+    def delete() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)
+
+    return spark.table(name), delete
 
 
 @contextmanager
