@@ -6,12 +6,14 @@ permuted by a keyed Feistel network over exactly their format: the digits of a
 number, the octets of an address, the days from 1900 to 2099.  A permutation
 gives equal values equal pseudonyms and different values different ones, in any
 document.  Cards keep their issuer's two
-digits and a valid check digit, phones their country code or leading
+digits and a valid check digit, account numbers (IBAN, by country, length and check)
+their country and a valid check, phones their country code or leading
 zero, separators their places.  ``dd/mm`` is tried before ``mm/dd``; what can
 only be the latter is permuted among its like.  E-mail addresses, IPv6
 addresses and secrets have no fixed domain; they get a keyed hash in their own
-shape.  Secrets are what follows a password's name, what follows a key's or
-token's name and has a digit, keys of known beginnings, and long hexadecimals.
+shape.  Secrets are what follows a password's name in quotes or at once, what follows
+the name of a password, key or token after a space and has a digit, keys of known
+beginnings, private keys between their lines, and long hexadecimals.
 
 Each text is searched as a whole, however long, unless it has none of the signs
 that every shape needs (a digit, ``@``, ``:`` or ``=``).  Null and empty texts
@@ -35,16 +37,27 @@ _ADDRESS = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 #: Where a run of digit groups ends for something of another shape.
 _OTHER = rf"(?!{_ADDRESS}|\d{{3}}-\d{{2}}-\d{{4}}(?!\d)|\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?!\d)|(?:19|20)\d\d-\d\d-\d\d(?!\d)|0\d{{2,4}}[ /-]\d{{6,8}}(?!\d))"
 _NAMED = r"(?i:passwords?|passwd|passphrase|pwd)(?:[\"']?: ?[\"']| = [\"']?|[\"']?[=:][\"']?)"
+#: Without quotes, the value must have a digit.
+_PLAIN = r"(?i:passwords?|passwd|passphrase|pwd)\s{0,2}[=:]\s{0,2}(?=[^\s\"'<>,;])"
+_PEM = r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
+_PEM_END = r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"
 _KEYED = r"(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|private[_-]?key|(?:auth|access)?[_-]?token)[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
 _KNOWN = r"(?:(?i:AKIA|ASIA)(?=[A-Za-z0-9]{16}(?![A-Za-z0-9]))|[spr]k[-_](?:(?:live|test|proj)[-_])?(?=[A-Za-z0-9_-]{16})|gh[pousr]_(?=[A-Za-z0-9]{30})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[A-Za-z0-9_-]{30})|eyJ(?=[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.))"
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LI": 21,
+    "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
 SHAPES = {
-    "secret": rf"(?<![A-Za-z0-9])(?:{_NAMED}[^\s\"'<>]{{6,}}|{_KEYED}(?=[^\s\"'<>,;]*\d)[^\s\"'<>,;]{{8,}}|{_KNOWN}[A-Za-z0-9._-]*[A-Za-z0-9]|[0-9a-fA-F]{{32,}}(?![A-Za-z0-9]))",
+    "secret": rf"(?<![A-Za-z0-9])(?:{_PEM}[A-Za-z0-9+/=\s:,-]*?{_PEM_END}|{_NAMED}[^\s\"'<>]{{6,}}|{_PLAIN}(?=[^\s\"'<>,;]*\d)[^\s\"'<>,;]{{6,}}|{_KEYED}(?=[^\s\"'<>,;]*\d)[^\s\"'<>,;]{{8,}}|{_KNOWN}[A-Za-z0-9._-]*[A-Za-z0-9]|[0-9a-fA-F]{{32,}}(?![A-Za-z0-9]))",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d/-])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "ip": rf"(?<![\d.]){_ADDRESS}",
     "ipv6": r"(?<![\p{L}\p{N}:.])(?=(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(?![\p{L}\p{N}:]))(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?=[0-9a-fA-F:]*[0-9])[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5}::(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,5})?)",
+    "iban": "(?<![A-Za-z0-9])(?:" + "|".join(rf"{c}\d\d(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for c, n in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
     "phone": (
+        r"(?<![\d+])\+\d{1,3}[ .-]\d(?:[ .-]\d\d){4}(?!\d)|"
         rf"(?<![\d+])(?:\+\d{{1,3}}[ .-]?)(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?:[ .-]{_OTHER})?\d{{2,4}}){{1,4}}(?!\d)"
         r"|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.+/-])[2-9]\d\d[-.]\d{3}[-.]\d{4}(?![\d-]|\.\d)|(?<![\d.+/-])0[1-9]\d{1,3}[ /-]\d{6,8}(?![\d-]|\.\d)"
     ),
@@ -54,7 +67,9 @@ ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
 #: Beginnings and lengths of card numbers that are issued.
 ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12}|35\d{14,17}|6\d{15,18})$"
 #: What begins a secret and stays.
-SECRET_HEAD = rf"^(?:{_NAMED}|{_KEYED}|{_KNOWN})"
+SECRET_HEAD = rf"^(?:{_PEM}\s*|{_PLAIN}|{_NAMED}|{_KEYED}|{_KNOWN})"
+#: What ends one and stays.
+SECRET_TAIL = rf"\s*{_PEM_END}$"
 #: A sign that each shape has.
 SIGNS = "[0-9@:=]"
 ROUNDS = 10
@@ -167,6 +182,22 @@ def _ip(key: str, x: Column) -> Column:
     return F.get(F.transform(F.array(moved), lambda m: F.concat_ws(".", *parts(m["l"]), *parts(m["r"]))), F.lit(0))
 
 
+def _account_sum(x: Column) -> Column:
+    """The check of an account number: its rest by 97 with the first four characters behind the others, letters as 10 to 35."""
+    turned = F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))
+    value = lambda c: F.when(c.between("A", "Z"), F.ascii(c) - 55).otherwise(c.cast("int"))
+    return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda have, c: (have * F.when(c.between("A", "Z"), 100).otherwise(10) + value(c)) % 97)
+
+
+def _iban(key: str, x: Column) -> Column:
+    """An account number to another of its country: its digits are permuted, letters and spaces stay, and its check holds."""
+    bare = F.replace(x, F.lit(" "), F.lit(""))
+    country, account = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare))
+    moved = _refilled(account, permuted_digits(key, "iban", _digits(account)))
+    checked = lambda a: _refilled(x, F.concat(F.lpad((98 - _account_sum(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0"), _digits(a)))
+    return F.get(F.transform(F.array(moved), checked), F.lit(0))
+
+
 def card_in(x: Column) -> Column:
     """What of a match in a card's shape is a card: all of it, else the first of its runs of groups that passes the check; null if none."""
 
@@ -193,7 +224,7 @@ def kind_of(x: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for kind, shape in SHAPES.items():
         # What a shape wants around a match isn't there any more; cards, dates and known kinds are told by what they are.
-        out = out.when(x.rlike(f"^(?:{shape})$"), F.when(card_in(x).isNotNull(), F.lit(kind)) if kind == "card" else F.when(_day(x).isNotNull(), F.lit(kind)) if kind == "date" else F.lit(kind))
+        out = out.when(x.rlike(f"^(?:{shape})$"), F.when(card_in(x).isNotNull(), F.lit(kind)) if kind == "card" else F.when(_day(x).isNotNull(), F.lit(kind)) if kind == "date" else F.when(_account_sum(F.replace(x, F.lit(" "), F.lit(""))) == 1, F.lit(kind)) if kind == "iban" else F.lit(kind))
     return out
 
 
@@ -216,9 +247,10 @@ def pseudonym(key: str, kind: Column, x: Column) -> Column:
 
     card = F.get(F.transform(F.array(card_in(x)), card_of), F.lit(0))
     head = F.regexp_extract(x, SECRET_HEAD, 0)
-    value = F.substring(x, F.length(head) + 1, F.length(x))
+    tail = F.regexp_extract(x, SECRET_TAIL, 0)
+    value = F.substring(x, F.length(head) + 1, F.length(x) - F.length(head) - F.length(tail))
     hashed = F.substring(F.repeat(_hashed(key, "secret", value), F.ceil(F.length(x) / 64).cast("int")), F.lit(1), F.length(value))
-    secret = F.concat(head, F.when(x.rlike("^(?i:AKIA|ASIA)"), F.upper(hashed)).otherwise(hashed))
+    secret = F.concat(head, F.when(x.rlike("^(?i:AKIA|ASIA)"), F.upper(hashed)).otherwise(hashed), tail)
     shape = F.lower(x)
     ipv6 = F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(_hashed(key, "ipv6", shape), i + 1, F.lit(1)))), "")
     return (
@@ -228,6 +260,7 @@ def pseudonym(key: str, kind: Column, x: Column) -> Column:
         .when(kind == "ip", _ip(key, x))
         .when(kind == "ipv6", ipv6)
         .when(kind == "card", card)
+        .when(kind == "iban", _iban(key, x))
         .when(kind == "phone", F.concat(country, _refilled(local, permuted_digits(key, "phone", _digits(local)))))
         .when(kind == "secret", secret)
         .otherwise(x)
