@@ -25,10 +25,13 @@ HIGH_VALUE = 100_000.0
 MATCHED = ("matched", "within_tolerance")
 DEFAULT_WORKSPACE = "default"
 MAX_DAYS, MAX_VENDORS, MAX_MONTHS = 730, 50, 24
-STOPWORDS = tuple(
-    "and for the with per each unit units item items nos no qty quantity rate amount total including incl excluding excl tax gst supply supplied delivery delivered "
-    "charges charge service services work works job misc other others sub part parts set sets pcs pieces assorted various sku code ref reference model type line description".split()
-)
+# Words that describe no item.
+STOPWORDS = (
+    "and", "for", "the", "with", "per", "each", "unit", "units", "item", "items", "nos", "no", "qty", "quantity", "rate", "amount", "total", "including",
+    "incl", "excluding", "excl", "tax", "gst", "supply", "supplied", "delivery", "delivered", "charges", "charge", "service", "services", "work", "works",
+    "job", "misc", "other", "others", "sub", "part", "parts", "set", "sets", "pcs", "pieces", "assorted", "various", "sku", "code", "ref", "reference",
+    "model", "type", "line", "description",
+)
 SERVICE_WORDS = (
     "work", "works", "labour", "labor", "service", "servicing", "installation", "installing", "providing and fixing", "reconditioning", "repair",
     "maintenance", "charges", "consultancy", "supervision", "erection", "commissioning", "painting",
