@@ -25,9 +25,12 @@ keep extra columns whatever their names.
 ``one_per_alike`` has another contract: texts link if their sets of five-word
 shingles have a Jaccard similarity of 0.8 or more.  There two fingerprints of 64
 bits differ in about ten bits, and no bands reach all of them short of all
-pairs.  So it retrieves by repeated fingerprints, 24 of four minima of hashed
-shingles each, of which one agrees at 0.8 but for about three pairs in a
-million, and links only pairs whose shingles, compared exactly, are that alike.
+pairs.  So it repeats the fingerprint eight times, under other hashes, and takes
+its shards from samples of these 512 bits; three of the repeats form the points of
+the shards' BK-trees, whose radius is that of the least similarity with room for
+chance.  Samples are so many that by calculation two sets at 0.8 share a shard but
+for two times in a million.  What a tree finds is a candidate; only texts whose
+shingles, compared exactly, are that alike are linked.
 """
 
 from __future__ import annotations
@@ -42,18 +45,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import fresh, stored
+from ledgerloom.llm.common import fresh, lean_shuffles, stored
 
 RADIUS = 4
 #: Bands of 11, 11, 11, 11, 10 and 10 bits, as (shift, width).
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Least Jaccard similarity of near copies in the pipeline, as a fraction.
 ALIKE = (4, 5)
-#: Repeated fingerprints, and minima in each.
+#: Rows and columns of the multipliers that make further hashes of one.
 REPEATS, MINIMA = 24, 4
 _ODD = np.random.default_rng(7).integers(0, 1 << 63, (REPEATS * MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints of a shard that one task may hold; larger shards are dealt further.
 MOST_IN_SHARD = 20_000
+#: Repeated fingerprints of a text, and those of them that the trees of ``one_per_alike`` hold.
+WIDTH, POINT = 8, 3
+#: Bits in which two points may differ; alike ones differ in 31 of 192 at most on average, four shingles and five in 36 (deviation 5), unrelated ones in 96.
+ALIKE_RADIUS = 58
+#: Most that the bits of alike sets of six shingles and more differ, as a share (counted out for sets of each size), and the share of pairs at it that no sample of bits may bring together.
+DIFFER, MISSED = 0.1611, 2e-6
+#: Fingerprints a shard of ``one_per_alike`` should have on average, and samples of bits whose shards are made at once.
+IN_SHARD, AT_ONCE = 256, 24
+#: Candidates that are compared as one group; larger groups are compared shard by shard.
+MOST_TOGETHER = 2_000
 #: Bits of the map of candidate rows, at most.
 MAP_BITS = 26
 
@@ -301,22 +314,166 @@ def grouped(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: st
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: The bits of a byte as eight bytes, so that sums of up to 255 count each bit.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def repeated(hashes: np.ndarray) -> np.ndarray:
+    """``WIDTH`` fingerprints of a set of hashes, each under other hashes made of these."""
+    first, second = _ODD[:WIDTH, 0], _ODD[WIDTH : 2 * WIDTH, 0]
+    bits = np.zeros(64 * WIDTH, np.int64)
+    for at in range(0, len(hashes), 255):
+        z = hashes[at : at + 255, None] * first
+        z = (z ^ (z >> np.uint64(32))) * second
+        z ^= z >> np.uint64(29)
+        bits += _SPREAD[z.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)
+
+
 def sketches(text: Column, size: int) -> Column:
     """``fp``, a hash of a text's set of shingles, and its repeated fingerprints; none without words."""
 
     def of(texts: pd.Series) -> pd.DataFrame:
-        fps, keys = [], []
+        fps, prints = [], []
         for t in texts:
             have = np.unique(_hashes(t, size))
             fps.append(xxhash.xxh64_intdigest(have.tobytes()) if len(have) else 0)
-            if not len(have):
-                keys.append(np.empty(0, np.int64))
-                continue
-            least = np.min([(have[at : at + 1024] * _ODD).min(axis=1) for at in range(0, len(have), 1024)], axis=0).reshape(REPEATS, MINIMA)
-            keys.append(np.array([xxhash.xxh64_intdigest(x.tobytes(), n) for n, x in enumerate(least)], np.uint64).view(np.int64))
-        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": keys})
+            prints.append(repeated(have).view(np.int64) if len(have) else np.empty(0, np.int64))
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "prints": prints})
+
+    return F.pandas_udf(of, "fp long, prints array<long>")(text)
+
+
+def samples(n: int) -> np.ndarray:
+    """Samples of the repeated fingerprints' bits, a row each, for ``n`` texts: the more texts, the longer and the more of them."""
+    width = max(10, int(np.ceil(np.log2(max(1, n) / IN_SHARD))))
+    many = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - DIFFER) ** width))))
+    r = np.random.default_rng(11)
+    return np.array([r.permutation(64 * WIDTH)[:width] for _ in range(many)])
+
+
+def sampled(prints: np.ndarray, bits: np.ndarray, first: int = 0) -> np.ndarray:
+    """Shards of texts (rows of ``prints``): one for each sample of bits, numbered from ``first``."""
+    shards = np.empty((len(bits), len(prints)), np.uint64)
+    for n, some in enumerate(bits):
+        key = np.full(len(prints), first + n, np.uint64)
+        for bit in some.tolist():
+            key = (key << np.uint64(1)) | ((prints[:, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1))
+        shards[n] = key
+    return shards
+
+
+def _to_shards(batches: Iterator[pd.DataFrame], bits: np.ndarray, first: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            prints, fp = np.array(batch["prints"].tolist(), np.int64).view(np.uint64), batch["fp"].to_numpy(np.int64)
+            points = {f"p{i}": prints[:, i].view(np.int64) for i in range(POINT)}
+            for shard in sampled(prints, bits, first):
+                yield pd.DataFrame({"shard": shard.view(np.int64), "fp": fp, **points})
 
-    return F.pandas_udf(of, "fp long, keys array<long>")(text)
+
+def tree_groups(points: np.ndarray, radius: int, leaf: int = 32) -> np.ndarray:
+    """BK-tree join of a shard's points (rows of 64-bit words) with itself: the number of each one's group, its first member.
+
+    Whole sets of searches walk the tree together; a subtree of ``leaf`` points or
+    fewer is held against its searches at once.  Points of a subtree that are all
+    of one group already are no more searched for by that group.
+    """
+    group = np.arange(len(points))
+    words = [np.ascontiguousarray(points[:, i]) for i in range(points.shape[1])]
+
+    def apart_of(a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        return reduce(np.add, (np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words))
+
+    def meet(places: np.ndarray) -> None:
+        found = np.unique(group[places])
+        if len(found) > 1:
+            group[np.isin(group, found)] = found[0]
+
+    todo = [(np.arange(len(points)), np.arange(len(points)))]
+    while todo:
+        members, asking = todo.pop()
+        mine = group[members[0]]
+        if (group[members] == mine).all():
+            asking = asking[group[asking] != mine]
+        if not len(asking):
+            continue
+        if len(members) <= leaf:
+            close = (apart_of(members[:, None], asking) <= radius) & (group[members, None] != group[asking])
+            for i in np.flatnonzero(close.any(axis=1)).tolist():
+                meet(np.append(asking[close[i]], members[i]))
+            continue
+        # The first point is the pivot, the others hang on it by their distance.
+        apart = apart_of(members[0], asking)
+        meet(np.append(asking[apart <= radius], members[0]))
+        rest = members[1:]
+        edges = apart_of(members[0], rest)
+        for e in np.unique(edges).tolist():
+            near = asking[(apart + radius >= e) & (apart <= e + radius)]
+            if len(near):
+                todo.append((rest[edges == e], near))
+    return group
+
+
+def _met(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Sorted shards to the groups of several that their trees find; a shard may run over batches."""
+    names = ["shard", "fp", *(f"p{i}" for i in range(POINT))]
+    left: list[np.ndarray] = []
+    for batch in batches:
+        rows = batch[names].to_numpy(np.int64)
+        if not len(rows):
+            continue
+        if left and rows[-1, 0] == left[0][0, 0]:  # still the same shard
+            left.append(rows)
+            continue
+        rows = np.concatenate([*left, rows])
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        yield _groups_of_rows(rows[:cut], radius)
+        left = [rows[cut:]]
+    yield _groups_of_rows(np.concatenate([np.empty((0, len(names)), np.int64), *left]), radius)
+
+
+def _groups_of_rows(rows: np.ndarray, radius: int) -> pd.DataFrame:
+    found: list[np.ndarray] = []
+    if len(rows):
+        starts = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] - 1))
+        sizes = np.diff(starts, append=len(rows))
+        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            group = tree_groups(np.ascontiguousarray(rows[s : s + n, 2:]).view(np.uint64), radius)
+            for g in np.flatnonzero(np.bincount(group, minlength=n) > 1).tolist():
+                found.append(np.sort(rows[s : s + n, 1][group == g]))
+    return pd.DataFrame({"fps": pd.Series(found, dtype=object)})
+
+
+def spanning(met: DataFrame) -> DataFrame:
+    """Groups (sorted ``fps``) to ``a, b`` edges that connect what they connect: one for each member, and those between first members.
+
+    A member of many groups is tied to the least of their first members, and these
+    to each other, so a large family that many shards find in part has few edges.
+    """
+    firsts = met.select(F.explode("fps").alias("a"), F.element_at("fps", 1).alias("b")).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    least = F.element_at("bs", 1).alias("b")
+    return firsts.select("a", least).unionByName(firsts.filter(F.size("bs") > 1).select(F.explode("bs").alias("a"), least)).filter("a <> b").distinct()
+
+
+def candidates(ids: DataFrame, radius: int = ALIKE_RADIUS) -> DataFrame:
+    """``fp, prints`` rows, one per fingerprint, to ``bucket, fp``: groups in which all pairs are that share a shard and are close in its tree."""
+    asked = ids.select("fp", "prints").filter(F.size("prints") > 0)
+    bits = samples(asked.count())
+    points = ", ".join(f"p{i} long" for i in range(POINT))
+    rounds = []
+    with lean_shuffles(ids.sparkSession):
+        for at in range(0, len(bits), AT_ONCE):
+            shards = asked.mapInPandas(partial(_to_shards, bits=bits[at : at + AT_ONCE], first=at), f"shard long, fp long, {points}")
+            rounds.append(stored(shards.repartition("shard").sortWithinPartitions("shard").mapInPandas(partial(_met, radius=radius), "fps array<long>").distinct()))
+        met = stored(reduce(DataFrame.unionByName, rounds).distinct())
+    # Groups of several shards that overlap are compared as one, unless that is too large for a task.
+    roots = components(spanning(met))
+    named = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    large = named.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_TOGETHER).select("root")
+    small = named.join(large, "root", "left_anti").select(F.col("root").alias("bucket"), F.col("node").alias("fp"))
+    by_shard = met.withColumn("node", F.element_at("fps", 1)).join(named.join(large, "root", "left_semi"), "node")
+    return small.unionByName(by_shard.select(F.xxhash64("fps").alias("bucket"), F.explode("fps").alias("fp")))
 
 
 def shingle_sets(text: Column, size: int) -> Column:
@@ -408,13 +565,9 @@ def _row_map(rows: DataFrame, n: int, row: str) -> Column:
     return F.pandas_udf(of, "boolean")(F.col(row))
 
 
-def alike_links(docs: DataFrame, ids: DataFrame, size: int, text_col: str, row: str) -> DataFrame:
-    """``fp, keys, first`` rows, and ``docs`` with ``row``, to ``a, b`` links that span the groups of near copies."""
-    keyed = ids.select("fp", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
-    # Close copies meet in many keys, mostly the same of them.
-    met = stored(met.select("fps").distinct().withColumn("bucket", F.xxhash64("fps")))
-    asked = met.select("bucket", F.explode("fps").alias("fp"))
+def alike_links(docs: DataFrame, ids: DataFrame, size: int, text_col: str, row: str, radius: int) -> DataFrame:
+    """``fp, prints, first`` rows, and ``docs`` with ``row``, to ``a, b`` links that span the groups of near copies."""
+    asked = stored(candidates(ids, radius))
     rows = stored(asked.select("fp").distinct().join(ids, "fp").select("fp", F.col("first.row").alias("row")))
     some = docs.filter(_row_map(rows, rows.count(), row)).select(F.col(row).alias("own"), F.col(text_col).alias("text"))
     texts = some.join(rows, some["own"] == rows["row"]).groupBy("fp").agg(F.min("text").alias("text"))
@@ -452,12 +605,12 @@ def one_per_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_c
     return _one_of_each(docs, row, _roots(ids, links(ids.select("fp"))))
 
 
-def one_per_alike(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_alike(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = ALIKE_RADIUS) -> DataFrame:
     """``docs`` with one row of each group of texts that are ``ALIKE``: that of its smallest id."""
     docs, row, first = _firsts(docs, id_col, text_col)
-    rows = stored(docs.select(first.alias("first"), sketches(F.col(text_col), size).alias("s")).select("first", "s.fp", "s.keys"))
-    ids = stored(rows.groupBy("fp").agg(F.min("first").alias("first"), F.any_value("keys").alias("keys")))
-    return _one_of_each(docs, row, _roots(ids.drop("keys"), alike_links(docs, ids, size, text_col, row)))
+    rows = stored(docs.select(first.alias("first"), sketches(F.col(text_col), size).alias("s")).select("first", "s.fp", "s.prints"))
+    ids = stored(rows.groupBy("fp").agg(F.min("first").alias("first"), F.any_value("prints").alias("prints")))
+    return _one_of_each(docs, row, _roots(ids.drop("prints"), alike_links(docs, ids, size, text_col, row, radius)))
 
 
 def simhash_report(docs: DataFrame, **cols: str) -> DataFrame:

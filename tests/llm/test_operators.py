@@ -219,6 +219,79 @@ def test_repeated_fingerprints_meet_at_the_least_similarity():
     assert met == tried
 
 
+def test_stage_retrieves_by_repeated_fingerprints_in_trees(spark):
+    """Near copies meet through the fingerprints' shards and trees alone: with a radius of none only equal points are held together."""
+    r = random.Random(21)
+    docs = []
+    for _ in range(12):
+        base = " ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(200))
+        docs += [base, changed(r, base, 3)]
+    prints = [simhash.repeated(np.unique(simhash._hashes(t, 5))) for t in docs]
+    apart = [int(np.bitwise_count(a[: simhash.POINT] ^ b[: simhash.POINT]).sum()) for a, b in zip(prints[::2], prints[1::2], strict=True)]
+    assert all(jaccard5(a, b) >= 0.8 for a, b in zip(docs[::2], docs[1::2], strict=True)) and 0 < min(apart) <= max(apart) <= simhash.ALIKE_RADIUS
+    rows = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(docs)])
+    assert sorted(x.doc_id for x in simhash.one_per_alike(rows).collect()) == list(range(0, 24, 2))
+    assert sorted(x.doc_id for x in simhash.one_per_alike(rows, radius=0).collect()) == list(range(24))
+
+
+def test_repeated_fingerprints_share_a_shard_at_the_least_similarity():
+    r = np.random.default_rng(5)
+    bits = simhash.samples(200_000)
+    for common, one, other in ((144, 18, 18), (40, 5, 5), (12, 3, 0), (4, 0, 1)):
+        prints = [[], []]
+        for _ in range(1000):
+            s = r.integers(0, 1 << 63, common + one + other, np.uint64) * np.uint64(2)
+            prints[0].append(simhash.repeated(s[: common + one]))
+            prints[1].append(simhash.repeated(np.concatenate([s[:common], s[common + one :]])))
+        a, b = map(np.array, prints)
+        near = np.bitwise_count(a[:, : simhash.POINT] ^ b[:, : simhash.POINT]).sum(axis=1) <= simhash.ALIKE_RADIUS
+        assert ((simhash.sampled(a, bits) == simhash.sampled(b, bits)).any(axis=0) & near).all()
+
+
+def test_tree_groups_lose_no_link():
+    r = np.random.default_rng(6)
+    centres = r.integers(0, 1 << 63, (6, 3), np.uint64)
+    flips = r.random((300, 192)) < r.choice([0.02, 0.1, 0.2], 300)[:, None]
+    points = centres[r.integers(0, 6, 300)] ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    for radius in (0, 20, 40, 58):
+        want = roots([tuple(x) for x in points.tolist()], lambda a, b, k=radius: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= k)
+        for leaf in (1, 8, 1000):
+            assert simhash.tree_groups(points, radius, leaf).tolist() == want
+
+
+def test_groups_that_overlap_have_an_edge_a_member(spark):
+    r = random.Random(23)
+    groups = [sorted(r.sample(range(k * 1000, k * 1000 + 400), 120)) for k in range(3) for _ in range(40)] + [[5000, 5001], [5001, 5002]]
+    edges = [(x.a, x.b) for x in simhash.spanning(spark.createDataFrame([(g,) for g in groups], "fps array<long>")).collect()]
+    ids = sorted({i for g in groups for i in g})
+    at = {i: k for k, i in enumerate(ids)}
+
+    def parts(pairs):
+        up = {i: i for i in ids}
+        while True:
+            new = dict(up)
+            for a, b in pairs:
+                new[a] = new[b] = min(new[a], new[b])
+            if new == up:
+                return [at[up[i]] for i in ids]
+            up = new
+
+    assert parts(edges) == parts([(i, g[0]) for g in groups for i in g])
+    assert len(edges) < 1.2 * len(ids) < 0.2 * sum(map(len, groups))
+
+
+def test_large_groups_are_compared_by_shard(spark, monkeypatch):
+    r = random.Random(22)
+    docs = [" ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(150))]
+    while len(docs) < 12:
+        docs.append(changed(r, docs[-1], 2))
+    rows = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(docs)])
+    assert all(jaccard5(a, b) >= 0.8 for a, b in zip(docs, docs[1:])) and jaccard5(docs[0], docs[-1]) < 0.8
+    for most in (2_000, 3):
+        monkeypatch.setattr(simhash, "MOST_TOGETHER", most)
+        assert [x.doc_id for x in simhash.one_per_alike(rows).collect()] == [0]
+
+
 def test_line_dedup(spark):
     r = random.Random(8)
     fresh = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
