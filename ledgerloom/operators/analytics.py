@@ -117,11 +117,12 @@ WOULD_HAVE_CLEARED = " %d of them scored a full three-way match on their own doc
 
 def why_at_risk() -> Column:
     """A sentence over the columns of ``vendor_measures``."""
-    pct = lambda r: F.concat(F.bround(r * 100, 0).cast("int").cast("string"), F.lit("%"))
+    # Multiplied first: a quotient times 100 may fall just beside a half.
+    pct = lambda part, whole: F.concat(F.bround(100.0 * part / whole, 0).cast("int").cast("string"), F.lit("%"))
     top, n, e = F.get("recurring_types", F.lit(0)), F.col("invoice_count"), F.col("exception_count")
     some = F.concat_ws(
-        " ", F.format_string(RAISED, e, n, pct(e / n)),
-        F.when(F.col("top_exception_type").isNotNull(), F.format_string(MOST_COMMON, F.replace("top_exception_type", F.lit("_"), F.lit(" ")), pct(top["n"] / e))),
+        " ", F.format_string(RAISED, e, n, pct(e, n)),
+        F.when(F.col("top_exception_type").isNotNull(), F.format_string(MOST_COMMON, F.replace("top_exception_type", F.lit("_"), F.lit(" ")), pct(top["n"], e))),
         F.when(F.col("value_at_risk") > 0, F.format_string(OPEN_VALUE, F.format_number("value_at_risk", 0))),
         F.when(F.col("average_open_age_days") >= SLA_DAYS, F.format_string(AVERAGING, F.format_number("average_open_age_days", 0))),
     )
