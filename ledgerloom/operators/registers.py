@@ -38,11 +38,16 @@ def invoice_totals(rows: DataFrame) -> DataFrame:
 def po_rows(cases: DataFrame) -> DataFrame:
     """A row per purchase order as written: billed and ordered amounts and statuses; ``po_invoices`` has its invoices."""
     place = F.struct("created_at", "exception_id")
-    rows = cases.filter(F.coalesce(F.col("purchase_order_id"), F.lit("")) != "").groupBy("purchase_order_id").agg(
+    rows = cases.filter(F.coalesce(F.col("purchase_order_id"), F.lit("")) != "")
+    rows = rows.select("purchase_order_id", "created_at", "exception_id", "vendor_id", "invoice_id", "invoice_amount", "po_amount", "exception_type", "status").repartition("purchase_order_id")
+    # Different vendors and invoices are told by the first row of each, where the order's rows have moved together: counts of several different columns would move each row once more for each.
+    fresh = lambda c: F.col(c).isNotNull() & (F.row_number().over(Window.partitionBy("purchase_order_id", c).orderBy("exception_id")) == 1)
+    rows = rows.withColumn("new_vendor", fresh("vendor_id")).withColumn("new_invoice", fresh("invoice_id"))
+    rows = rows.groupBy("purchase_order_id").agg(
         F.count(F.lit(1)).alias("invoice_count"), F.sum(money(F.col("invoice_amount"))).cast("double").alias("billed_amount"),
         F.min(F.when(F.col("po_amount") > 0, F.struct(place.alias("place"), F.col("po_amount").alias("v")))).alias("first"),
-        F.count_if(is_exception()).alias("exception_count"), F.count_distinct("vendor_id").alias("vendor_count"), F.array_sort(F.collect_set("status")).alias("statuses"),
-        (F.count(F.lit(1)) - F.count_distinct("invoice_id")).alias("repeated_invoices"),
+        F.count_if(is_exception()).alias("exception_count"), F.count_if("new_vendor").alias("vendor_count"), F.array_sort(F.collect_set("status")).alias("statuses"),
+        (F.count(F.lit(1)) - F.count_if("new_invoice")).alias("repeated_invoices"),
     )
     rows = rows.withColumn("ordered_amount", F.col("first.v")).drop("first")
     return rows.withColumn("over_billed", F.col("billed_amount") > F.col("ordered_amount") + 0.01)
@@ -133,11 +138,11 @@ def placed(ordered: DataFrame) -> DataFrame:
     """
     spark = ordered.sparkSession
     path = store.fresh_path(spark)
-    ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).write.parquet(path)
+    store.write_packed(ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)), path)
     rows = spark.read.parquet(path)
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
-    out = rows.join(sizes.select("_part", before.alias("_before")), "_part")
+    out = rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
     return out.withColumn("place", F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).drop("_id", "_part", "_before")
 
 
